@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, lsm
+from . import bpe, lsm, packing, pii
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_lsm_exact_dedup": lsm.op2_lsm_exact_dedup,
+    "op4_best_two_fit": packing.op4_best_two_fit,
+    "op5_pii": pii.op5_pii,
 }
 
 ORACLE_SQL = {"op2_lsm_exact_dedup": lsm.OP2_SQL}
