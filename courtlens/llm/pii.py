@@ -263,12 +263,15 @@ def op5_pii(spark, sf_dir: str) -> DataFrame:
     def joined(which):
         return F.array_join(F.transform(which, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
+    def of_kind(kind, only_plain=False):
+        return lambda s: (s["kind"] == kind) & (s["plain"] | F.lit(not only_plain))
+
     found = find(table(spark, sf_dir, "documents"))
     every = F.col("spans")
     return found.select(
         "doc_id",
-        *(F.size(F.filter(every, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS),
+        *(F.size(F.filter(every, of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(joined(F.filter(every, lambda s: s["plain"])), 256).alias("base_sha256"),
         joined(every).alias("spans"),
-        *(F.size(F.filter(every, lambda s, k=k: s["plain"] & (s["kind"] == k))).cast("long").alias(f"n_base_{k}") for k in KINDS),
+        *(F.size(F.filter(every, of_kind(k, True))).cast("long").alias(f"n_base_{k}") for k in KINDS),
     )
