@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, lsm, packing, pii
+from . import bpe, jaccard, lsm, packing, pii
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_lsm_exact_dedup": lsm.op2_lsm_exact_dedup,
     "op4_best_two_fit": packing.op4_best_two_fit,
     "op5_pii": pii.op5_pii,
+    "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
 }
 
 ORACLE_SQL = {"op2_lsm_exact_dedup": lsm.OP2_SQL}
