@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, lsm, packing, pii
+from . import bpe, jaccard, lsm, packing, perplexity, pii, urlmodel
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
     "op2_lsm_exact_dedup": lsm.op2_lsm_exact_dedup,
     "op4_best_two_fit": packing.op4_best_two_fit,
     "op5_pii": pii.op5_pii,
+    "op3_url_model": urlmodel.op3_url_model,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
+    "op10_perplexity": perplexity.op10_perplexity,
 }
 
 ORACLE_SQL = {"op2_lsm_exact_dedup": lsm.OP2_SQL}
