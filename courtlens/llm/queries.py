@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, lsm, packing, perplexity, pii, urlmodel
+from . import bpe, jaccard, langid, lsm, packing, perplexity, pii, tokenpack, urlmodel
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_best_two_fit": packing.op4_best_two_fit,
     "op5_pii": pii.op5_pii,
     "op3_url_model": urlmodel.op3_url_model,
+    "op6_language": langid.op6_language,
+    "op7_token_rows": tokenpack.op7_token_rows,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op10_perplexity": perplexity.op10_perplexity,
 }
