@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, langid, lsm, packing, perplexity, pii, tokenpack, urlmodel
+from . import bpe, jaccard, langid, licenses, lsm, packing, perplexity, pii, tokenpack, urlmodel
 
 QUERIES = {
     "op1_byte_bpe": bpe.op1_byte_bpe,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_language": langid.op6_language,
     "op7_token_rows": tokenpack.op7_token_rows,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
+    "op9_license_scan": licenses.op9_license_scan,
     "op10_perplexity": perplexity.op10_perplexity,
 }
 
