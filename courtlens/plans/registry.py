@@ -12,6 +12,7 @@ from ..operators import ballentry, boxes, camera, cluster, evaluate, grid, histo
 from ..sources import text
 from ..sources.store import scratch
 from . import fixtures as X
+from . import oracles as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -295,7 +296,7 @@ def _(spark, d):
     return signal.still_sides(X.motions(spark, d))
 
 
-@query("w14_inherited_sides")
+@query("w14_inherited_sides", O.INHERITED_SIDES)
 def _(spark, d):
     return signal.inherited_sides(X.motions(spark, d))
 
@@ -328,7 +329,7 @@ def _(spark, d):
     return rounded(segments.run_means(_runs(spark, d)))
 
 
-@query("q2_validate_runs")
+@query("q2_validate_runs", f"{O.valid_runs(_SR)} SELECT game_id, run_id, start_idx, end_idx, is_positive, round(max_mag, 6) AS max_mag, round(min_mag, 6) AS min_mag, auc, valid FROM runs JOIN valid USING (game_id, run_id)")
 def _(spark, d):
     return rounded(segments.validate_runs(_runs(spark, d)))
 
@@ -339,22 +340,29 @@ def _(spark, d):
     return rounded(segments.normalise_runs(smooth, segments.sign_runs(smooth)))
 
 
-_NORM = f"{_SR}, m AS (SELECT s.game_id, run_id, s.idx, is_positive, start_idx, end_idx, coalesce(abs(value / nullif(CASE WHEN is_positive THEN max_mag ELSE abs(min_mag) END, 0)), 0) AS a FROM smooth s JOIN runs r ON s.game_id = r.game_id AND s.idx BETWEEN r.start_idx AND r.end_idx), l AS (SELECT *, coalesce(lag(a) OVER w, 0) AS b, lead(a) OVER w AS n FROM m WINDOW w AS (PARTITION BY game_id, run_id ORDER BY idx)), f AS (SELECT game_id, run_id, min(idx) FILTER (a > 0.5 AND a > b) AS hit, max_by(a, idx) AS fin FROM l GROUP BY 1, 2), e AS (SELECT l.*, hit, coalesce((SELECT b FROM l x WHERE x.game_id = l.game_id AND x.run_id = l.run_id AND x.idx = hit), fin) AS carried FROM l JOIN f USING (game_id, run_id))"
+def _thresholds(enter: float, leave: float, valid: bool = False) -> str:
+    only = "JOIN valid t ON t.game_id = r.game_id AND t.run_id = r.run_id AND t.valid" if valid else ""
+    return f"""{O.valid_runs(_SR) if valid else _SR}, m AS (SELECT s.game_id, r.run_id, s.idx, is_positive, coalesce(abs(value / nullif(CASE WHEN is_positive THEN max_mag ELSE abs(min_mag) END, 0)), 0) AS a FROM smooth s JOIN runs r ON s.game_id = r.game_id AND s.idx BETWEEN r.start_idx AND r.end_idx {only}),
+l AS (SELECT *, coalesce(lag(a) OVER w, 0) AS b, lead(a) OVER w AS n FROM m WINDOW w AS (PARTITION BY game_id, run_id ORDER BY idx)),
+f AS (SELECT game_id, run_id, min(idx) FILTER (a > {enter} AND a > b) AS hit, max_by(a, idx) AS fin FROM l GROUP BY 1, 2),
+e AS (SELECT l.*, hit, coalesce((SELECT b FROM l x WHERE x.game_id = l.game_id AND x.run_id = l.run_id AND x.idx = hit), fin) AS carried FROM l JOIN f USING (game_id, run_id)),
+g AS (SELECT game_id, run_id, any_value(is_positive) AS pos, coalesce(any_value(hit), min(idx)) AS i, coalesce(max(idx) FILTER (a > {leave} AND a > coalesce(n, carried)), max(idx)) AS j FROM e GROUP BY 1, 2)
+SELECT game_id, run_id, i * 15 + 1 AS start_frame, j * 15 + 1 AS end_frame, CASE WHEN pos THEN 'L' ELSE 'R' END AS side, CAST((j - i) * 15 AS INT) AS length FROM g"""
 
 
-@query("q2b_threshold_segments", f"{_NORM}, g AS (SELECT game_id, run_id, any_value(is_positive) AS pos, coalesce(any_value(hit), min(idx)) AS i, coalesce(max(idx) FILTER (a > 0.3 AND a > coalesce(n, carried)), max(idx)) AS j FROM e GROUP BY 1, 2) SELECT game_id, run_id, i * 15 + 1 AS start_frame, j * 15 + 1 AS end_frame, CASE WHEN pos THEN 'L' ELSE 'R' END AS side, CAST((j - i) * 15 AS INT) AS length FROM g")
+@query("q2b_threshold_segments", _thresholds(0.5, 0.3))
 def _(spark, d):
     smooth = signal.smooth(X.differences(spark, d))
     return segments.threshold_segments(segments.normalise_runs(smooth, segments.sign_runs(smooth)))
 
 
-@query("q2b_single_threshold")
+@query("q2b_single_threshold", _thresholds(0.3, 0.3))
 def _(spark, d):
     smooth = signal.smooth(X.differences(spark, d))
     return segments.threshold_segments(segments.normalise_runs(smooth, segments.sign_runs(smooth)), 0.3, 0.3)
 
 
-@query("lc1_find_segments")
+@query("lc1_find_segments", _thresholds(0.5, 0.3, True))
 def find_segments(spark, d):
     return segments.find_segments(X.differences(spark, d))
 
@@ -369,7 +377,7 @@ def _(spark, d):
     return segments.pair_markers(segments.dead_band_markers(signal.smooth(X.differences(spark, d)), 0.0, 12.0))
 
 
-@query("q4_zero_crossings")
+@query("q4_zero_crossings", O.ZERO_CROSSINGS)
 def _(spark, d):
     return segments.zero_crossings(signal.smooth(X.differences(spark, d)))
 
@@ -409,24 +417,24 @@ def _(spark, d):
     return evaluate.ball_entry_scores(truth, found)
 
 
-@query("j9_q9b_transition_scores")
+@query("j9_q9b_transition_scores", O.TRANSITION_SCORES)
 def _(spark, d):
     return evaluate.transition_scores(X.truth_markers(spark, d), segments.zero_crossings(signal.smooth(X.differences(spark, d))))
 
 
-@query("j11_q7_segment_scores")
+@query("j11_q7_segment_scores", O.SEGMENT_SCORES)
 def _(spark, d):
     return evaluate.segment_scores(X.truth_markers(spark, d), X.found_segments(spark, d))
 
 
-@query("j12_q8_segment_scores_between")
+@query("j12_q8_segment_scores_between", O.SEGMENT_SCORES_BETWEEN)
 def _(spark, d):
     return evaluate.segment_scores_between(X.truth_markers(spark, d), X.found_segments(spark, d))
 
 
-@query("j8_q9_agreement")
+@query("j8_q9_agreement", O.AGREEMENT)
 def _(spark, d):
-    return evaluate.agreement(X.true_segments(spark, d), X.found_segments(spark, d))
+    return rounded(evaluate.agreement(X.true_segments(spark, d), X.found_segments(spark, d)))
 
 
 @query("j8_overlaps", f"{W}, {X.FOUND}, {X.TRUE_SEGMENTS} SELECT f.game_id, f.start_frame, f.end_frame, f.side, CAST(sum(least(f.end_frame, t.end_frame) - greatest(f.start_frame, t.start_frame)) AS BIGINT) AS covered, count(*) AS met, round(sum(least(f.end_frame, t.end_frame) - greatest(f.start_frame, t.start_frame)) / CAST(f.end_frame - f.start_frame AS DOUBLE), 6) AS share FROM found f JOIN trues t ON f.game_id = t.game_id AND f.side = t.side AND f.start_frame <= t.end_frame AND t.start_frame <= f.end_frame GROUP BY 1, 2, 3, 4")
@@ -511,7 +519,7 @@ def _(spark, d):
     return camera.camera_candidates(X.motions(spark, d))
 
 
-@query("q5a_simple_candidates")
+@query("q5a_simple_candidates", O.SIMPLE_CANDIDATES)
 def _(spark, d):
     return camera.simple_candidates(X.motions(spark, d))
 
