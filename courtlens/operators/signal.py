@@ -100,7 +100,7 @@ def histogram_bounds(df: DataFrame, default_low: float = -1.0, default_high: flo
     positive = F.col("value") >= 0
     bin_ = F.least(F.floor(F.abs(F.col("value").cast("int")) / width), F.lit(bins - 1)).cast("int")
     counts = df.groupBy("game_id", positive.alias("positive"), bin_.alias("bin")).agg(F.count("*").alias("n"))
-    all_bins = df.select("game_id").distinct().crossJoin(df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))).withColumn("positive", F.explode(F.array(F.lit(True), F.lit(False))))
+    all_bins = df.select("game_id").distinct().withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).withColumn("positive", F.explode(F.array(F.lit(True), F.lit(False))))
     full = all_bins.join(counts, ["game_id", "positive", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     fallen = full.withColumn("fall", F.lag("n").over(Window.partitionBy("game_id", "positive").orderBy("bin")) - F.col("n")).where(F.col("fall") > drop)
     picked = fallen.groupBy("game_id").agg(F.max(F.when(F.col("positive"), F.col("bin"))).alias("p"), F.max(F.when(~F.col("positive"), F.col("bin"))).alias("m"))

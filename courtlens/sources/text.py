@@ -150,6 +150,27 @@ def write_edges(df: DataFrame, path: str, mode: str = "error") -> None:
     write_lines(df, path, ["src", "dst"], None, mode)
 
 
+def write_markers(df: DataFrame, path: str, negated: bool = False, mode: str = "error") -> None:
+    """Frames of markers; the list of zero crossings holds them negated."""
+    write_lines(df.withColumn("out", -F.col("frame_number") if negated else F.col("frame_number")), path, ["out"], ["game_id"], mode)
+
+
+def write_vectors(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Feature vectors, one frame a line."""
+    line = F.array_join(F.transform("vector", lambda v: v.cast("string")), " ")
+    write_lines(df.withColumn("line", line), path, ["line"], ["segment_id"], mode)
+
+
+def write_frame_index(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Places and the frames they stand for."""
+    df.select("idx", "frame_number").write.mode(mode).parquet(path)
+
+
+def write_crops(df: DataFrame, path: str, mode: str = "error") -> None:
+    """Cropped images as rows: segment, number, bytes and the name they go by."""
+    df.withColumn("name", F.format_string("S%d_%04d.jpg", "segment_id", "frame")).write.mode(mode).partitionBy("segment_id").parquet(path)
+
+
 def write_report(metrics: DataFrame, path: str) -> None:
     """Score rows, added to what the folder has."""
     metrics.write.mode("append").json(path)

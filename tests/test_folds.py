@@ -84,3 +84,24 @@ def test_find_segments_is_the_chain_of_its_parts(spark):
     parts = {(r.game_id, r.run_id): (r.start_frame, r.end_frame, r.side) for r in segments.threshold_segments(segments.normalise_runs(smooth, runs)).collect()}
     assert whole == parts
     assert [whole[0, i] for i in range(6)] == PLAYS
+
+
+def test_homography_survives_wrong_matches():
+    import numpy as np
+
+    from courtlens.operators import panorama
+
+    rng = np.random.default_rng(1)
+    h = np.array([[1.1, 0.05, 4], [-0.03, 0.9, 2], [1e-4, 2e-4, 1]])
+    a = rng.uniform(0, 200, (40, 2))
+    b = panorama.apply(h, a)
+    b[::5] += 50
+    got, inliers = panorama.consensus(a, b, 0.5)
+    assert inliers == 32 and np.allclose(got, h, atol=1e-6)
+
+
+def test_options():
+    from courtlens.plans import options
+
+    program, o = options.parse(["segments", "--signals", "in", "--out", "out", "--enter", "0.6"])
+    assert program == "segments" and (o.signals, o.enter, o.leave) == ("in", 0.6, 0.3)
