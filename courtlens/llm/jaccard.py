@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import rows
@@ -42,9 +42,13 @@ from .store import discard, store, table
 SKETCH, SKETCH_ROW = 1 << 21, 1 << 15
 #: Classes of a list that are held against each other in one piece of work.
 BLOCK = 2048
+#: Lists of so many members or fewer are gone through without arrays.
+SMALL = 12
 FRAGMENTS = 8
+#: Most cells of a parity bitmap that goes with each row of a list, and the bits of the table that tells which documents verification reads.
+MOST_CELLS, WANTED = 1024, 1 << 24
 CACHE_ENTRIES = 400_000
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Words(dict):
@@ -75,10 +79,13 @@ def shingles(text: str | None, width: int) -> np.ndarray:
         return np.empty(0, np.uint64)
     h = np.fromiter(map(_words().__getitem__, words), np.uint64, len(words))
     n = min(width, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for i in range(n):
-        out = _mixed(out * _MIX[0] + h[i : len(h) - n + 1 + i])
-    return np.unique(out)
+    k = len(h) - n + 1
+    out = h[:k] + np.uint64(n)
+    for i in range(1, n):
+        # The words' hashes are random numbers already: an odd factor for each place keeps their order apart.
+        out *= _FACTOR
+        out += h[i : k + i]
+    return np.unique(_mixed(out))
 
 
 def need(n, num: int, den: int):
@@ -91,44 +98,54 @@ def most_apart(total, num: int, den: int):
     return total - 2 * (-(-total * num // (num + den)))
 
 
-def bitmap(found: np.ndarray, num: int, den: int) -> bytes:
-    """One bit of parity for each cell that shingles fall into, about eight cells for each allowed difference."""
+def bitmap(found: np.ndarray, num: int, den: int, most: int | None = None) -> bytes:
+    """One bit of parity for each cell that shingles fall into: four cells for each allowed difference, or ``most``.
+
+    Two bitmaps differ in no more bits than their sets do in shingles, whatever the number of cells.
+    """
     bits = 64
-    while bits < 8 * most_apart(2 * len(found), num, den):
+    wanted = 4 * most_apart(2 * len(found), num, den)
+    while bits < (wanted if most is None else min(most, wanted)):
         bits *= 2
     cells = np.bincount((found >> np.uint64(8)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(cells.astype(np.uint8), bitorder="little").tobytes()
 
 
 def _profiles(source: DataFrame, id_type: str, width: int, num: int, den: int) -> DataFrame:
-    """Of each document (doc_id, n, sig, bits), and rows of the sketch of each task (row, counts)."""
+    """Of each document (doc_id, n, sig, bits, wide), and rows of the sketch of each task (row, counts).
+
+    ``wide`` is the whole bitmap of a set that is too large for MOST_CELLS, else null.
+    """
 
     def run(batches):
         sketch, seen = np.zeros(SKETCH, np.uint32), False
         id_pa = None
-        names = ["doc_id", "n", "sig", "bits", "row", "counts"]
+        names = ["doc_id", "n", "sig", "bits", "wide", "row", "counts"]
         for batch in batches:
             id_pa = batch.schema.field(0).type
             for some in rows(batch):
-                ids, n, sig, bits = [], [], [], []
+                ids, n, sig, bits, wide = [], [], [], [], []
                 for doc_id, text in some:
                     found = shingles(text, width)
                     ids.append(doc_id)
                     n.append(len(found))
                     sig.append(xxhash.xxh3_128_digest(found.tobytes()))
-                    bits.append(bitmap(found, num, den) if len(found) else b"")
+                    whole = bitmap(found, num, den) if len(found) else b""
+                    large = 8 * len(whole) > MOST_CELLS
+                    bits.append(bitmap(found, num, den, MOST_CELLS) if large else whole)
+                    wide.append(whole if large else None)
                     if len(found):
                         seen = True
                         sketch[(found >> np.uint64(20)).astype(np.int64) & (SKETCH - 1)] += 1
                 k = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, id_pa), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(bits, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, id_pa), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
         if seen:
             for row in range(SKETCH // SKETCH_ROW):
                 own = sketch[row * SKETCH_ROW : (row + 1) * SKETCH_ROW]
                 if own.any():
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, id_pa), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([row], pa.int32()), pa.array([own.astype("<u4").tobytes()], pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(1, id_pa), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([row], pa.int32()), pa.array([own.astype("<u4").tobytes()], pa.binary())], names)
 
-    return source.mapInArrow(run, f"doc_id {id_type}, n long, sig binary, bits binary, row int, counts binary")
+    return source.mapInArrow(run, f"doc_id {id_type}, n long, sig binary, bits binary, wide binary, row int, counts binary")
 
 
 def _sketch(profiles: DataFrame) -> np.ndarray:
@@ -151,10 +168,13 @@ def _sketch(profiles: DataFrame) -> np.ndarray:
     return np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0, 30).astype(np.uint8)
 
 
-def _ordered(found: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """Shingles by the global order, as numbers whose own order it is: frequency class, then hash."""
+def _ordered(found: np.ndarray, classes: np.ndarray, first: int | None = None) -> np.ndarray:
+    """Shingles by the global order, all or the first ones, as numbers whose own order it is: frequency class, then hash."""
     cell = (found >> np.uint64(20)).astype(np.int64) & (SKETCH - 1)
-    return np.sort((classes[cell].astype(np.uint64) << np.uint64(58)) | (found >> np.uint64(6)))
+    out = (classes[cell].astype(np.uint64) << np.uint64(58)) | (found >> np.uint64(6))
+    if first is not None and first < len(out):
+        out = np.partition(out, first - 1)[:first]
+    return np.sort(out)
 
 
 def _lists(source: DataFrame, id_type: str, classes, width: int, num: int, den: int) -> DataFrame:
@@ -171,7 +191,7 @@ def _lists(source: DataFrame, id_type: str, classes, width: int, num: int, den:
                     if not len(found) or doc_id is None or (sig := xxhash.xxh3_128_digest(found.tobytes())) in seen:
                         continue
                     seen.add(sig)
-                    first = _ordered(found, classes.value)[: len(found) - need(len(found), num, den) + 1]
+                    first = _ordered(found, classes.value, len(found) - need(len(found), num, den) + 1)
                     ids.append(doc_id)
                     sizes.append(len(found))
                     tokens.append(first)
@@ -213,88 +233,181 @@ class _List:
         return j[apart <= total - 2 * least]
 
 
+def _same_size(x: int, x_bytes: int, y: int, y_bytes: int) -> tuple[int, int]:
+    """Two bitmaps folded to the smaller one's size."""
+    while x_bytes > y_bytes:
+        x_bytes //= 2
+        x = (x & ((1 << 8 * x_bytes) - 1)) ^ (x >> 8 * x_bytes)
+    while y_bytes > x_bytes:
+        y_bytes //= 2
+        y = (y & ((1 << 8 * y_bytes) - 1)) ^ (y >> 8 * y_bytes)
+    return x, y
+
+
 def _pairs(lists: DataFrame, id_type: str, num: int, den: int, leaders: bool) -> DataFrame:
-    """Candidate pairs (a, b) of the lists (token, block, doc_id, n, pos, bits, part), which come sorted by token and block.
+    """Candidate pairs (a, b) of the lists (token, block, doc_id, n, pos, bits, part, side).
 
-    With ``leaders``, a class is held against the leaders before it only; else pairs of different parts are made.
+    With ``leaders``, a class is held against the leaders before it only, and a row with a ``token`` in place of a
+    pair names each list in which pairs were left out. Else pairs of different parts are made, all of them.
     """
 
-    def of(members: list[tuple]) -> Iterator[tuple]:
-        if len(members) < 2:
-            return
+    def small(token: int, members: list[tuple]) -> Iterator[tuple]:
+        """A few members in plain numbers: same bounds, without arrays."""
+        heads: list[tuple] = []
+        members = [(m[0], m[1], m[1] - m[2], m[3], int.from_bytes(m[3], "little"), m[4]) for m in members]
+        for i, (doc_id, n, rest, raw, bits, part) in enumerate(members):
+            near = False
+            for other in heads if leaders else members[:i]:
+                total = n + other[1]
+                least = -(-total * num // (num + den))
+                if min(rest, other[2]) < least or not leaders and (part[0] == other[5][0] or part[1] == other[5][1] != 2):
+                    continue
+                x, y = (bits, other[4]) if len(raw) == len(other[3]) else _same_size(bits, len(raw), other[4], len(other[3]))
+                if (x ^ y).bit_count() <= total - 2 * least:
+                    near = True
+                    yield doc_id, other[0], None
+            if not near:
+                heads.append(members[i])
+        if leaders and len(heads) < len(members):
+            yield None, None, token
+
+    def of(token: int, members: list[tuple]) -> Iterator[tuple]:
         members = sorted(members, key=lambda m: (m[2], m[0]))
+        if len(members) <= SMALL:
+            yield from small(token, members)
+            return
         own = _List(members, num, den)
         if leaders:
             heads = np.empty(0, np.int64)
             for i in range(len(members)):
                 near = own.may(i, heads) if len(heads) else heads
-                yield from ((own.id[i], own.id[j]) for j in near)
+                yield from ((own.id[i], own.id[j], None) for j in near)
                 if not len(near):
                     heads = np.append(heads, i)
+            if len(heads) < len(members):
+                yield None, None, token
             return
         part, side = np.array([p[0] for p in own.part]), np.array([p[1] for p in own.part])
         for i in range(1, len(members)):
             j = np.arange(i)
             j = j[(part[:i] != part[i]) & ((side[:i] != side[i]) | (side[i] == 2))]
             if len(j):
-                yield from ((own.id[i], own.id[k]) for k in own.may(i, j))
+                yield from ((own.id[i], own.id[k], None) for k in own.may(i, j))
 
     def run(batches):
-        key, members, out, id_pa = None, [], [], None
+        key, members, out, id_pa = None, [], {}, None
 
         def made():
-            pairs = [(min(a, b), max(a, b)) for a, b in dict.fromkeys(out)]
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], id_pa), pa.array([p[1] for p in pairs], id_pa)], ["a", "b"])
+            ordered = [(a, b, t) if a is None or a < b else (b, a, t) for a, b, t in out]
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in ordered], id_pa), pa.array([p[1] for p in ordered], id_pa), pa.array([p[2] for p in ordered], pa.int64())], ["a", "b", "token"])
 
         for batch in batches:
             id_pa = batch.schema.field(2).type
             for some in rows(batch, 4096):
                 for token, block, *m in some:
                     if (token, block) != key:
-                        out += of(members)
+                        if len(members) > 1:
+                            out.update(dict.fromkeys(of(key[0], members)))
                         key, members = (token, block), []
                         if len(out) > 50_000:
                             yield made()
-                            out = []
+                            out.clear()
                     members.append((m[0], m[1], m[2], m[3], (m[4], m[5])))
-        out += of(members)
+        if len(members) > 1:
+            out.update(dict.fromkeys(of(key[0], members)))
         if out:
             yield made()
 
-    return lists.select("token", "block", "doc_id", "n", "pos", "bits", "part", "side").sortWithinPartitions("token", "block").mapInArrow(run, f"a {id_type}, b {id_type}")
+    ordered = lists.select("token", "block", "doc_id", "n", "pos", "bits", "part", "side").repartition("token", "block").sortWithinPartitions("token", "block")
+    return ordered.mapInArrow(run, f"a {id_type}, b {id_type}, token long")
+
+
+def _narrowed(pairs: DataFrame, reps: DataFrame, id_type: str, num: int, den: int) -> DataFrame:
+    """The pairs without those of large sets whose whole bitmaps differ too much."""
+
+    def run(batches):
+        for batch in batches:
+            for some in rows(batch, 512):
+                kept = []
+                for a, b, na, nb, wa, wb in some:
+                    x, y = _same_size(int.from_bytes(wa, "little"), len(wa), int.from_bytes(wb, "little"), len(wb))
+                    if (x ^ y).bit_count() <= most_apart(na + nb, num, den):
+                        kept.append((a, b))
+                if kept:
+                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], batch.schema.field(0).type), pa.array([k[1] for k in kept], batch.schema.field(1).type)], ["a", "b"])
+
+    of = lambda c: reps.select(F.col("class_id").alias(c), F.col("n").alias(f"n{c}"), F.coalesce("wide", "bits").alias(f"w{c}"), F.col("wide").isNotNull().alias(f"large_{c}"))
+    met = pairs.join(of("a"), "a").join(of("b"), "b")
+    large = F.col("large_a") & F.col("large_b")
+    return met.where(~large).select("a", "b").unionByName(met.where(large).select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, f"a {id_type}, b {id_type}"))
+
+
+def _wanted(ids: DataFrame) -> np.ndarray:
+    """WANTED bits, set where an identifier's hash falls. At most WANTED / 64 rows come to the driver."""
+    place = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(WANTED)).alias("place"))
+    words = place.selectExpr("shiftright(place, 6) AS word", "shiftleft(1L, CAST(place % 64 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(WANTED // 64, np.int64)
+    for r in words.toLocalIterator():
+        out[r["word"]] = r["bits"]
+    return out.view(np.uint64)
+
+
+def _texts(source: DataFrame, ids: DataFrame, id_type: str) -> DataFrame:
+    """The texts of some documents, and of a few others: a table of bits, broadcast, passes over most others."""
+    wanted = source.sparkSession.sparkContext.broadcast(_wanted(ids))
+
+    def run(batches):
+        for batch in batches:
+            place = batch.column("place").to_numpy(zero_copy_only=False)
+            hit = (wanted.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
+            yield batch.filter(pa.array(hit.astype(bool))).select(["doc_id", "text"])
+
+    placed = source.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(WANTED)).alias("place"))
+    return placed.mapInArrow(run, f"doc_id {id_type}, text string")
 
 
-def _fragments(source: DataFrame, ids: DataFrame, id_type: str, classes, width: int) -> DataFrame:
-    """(doc_id, fragment, n, tokens): the sets of some documents, cut where the global order is cut."""
+def _overlaps(met: DataFrame, id_type: str, classes, width: int) -> DataFrame:
+    """(a, b, na, nb, fragment, part) of pairs with their texts: the overlap within each fragment of the global order."""
 
     def run(batches):
+        held: dict = {}
+
+        def fragments(key, text):
+            if key not in held:
+                if len(held) >= 64:
+                    held.clear()
+                tokens = _ordered(shingles(text, width), classes.value)
+                # Each frequency class of the order is cut at the same places for all documents.
+                where = (tokens >> np.uint64(55)) % np.uint64(FRAGMENTS)
+                held[key] = len(tokens), [tokens[where == f] for f in range(FRAGMENTS)]
+            return held[key]
+
         for batch in batches:
             id_pa = batch.schema.field(0).type
             for some in rows(batch, 64):
                 out = []
-                for doc_id, text in some:
-                    tokens = _ordered(shingles(text, width), classes.value)
-                    # Each frequency class of the order is cut at the same places for all documents.
-                    where = ((tokens >> np.uint64(55)) % np.uint64(FRAGMENTS)).astype(np.int64)
-                    out += [(doc_id, f, len(tokens), tokens[where == f].view(np.int64)) for f in range(FRAGMENTS)]
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], id_pa), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64()))], ["doc_id", "fragment", "n", "tokens"])
+                for a, b, ta, tb in some:
+                    (na, fa), (nb, fb) = fragments(a, ta), fragments(b, tb)
+                    out += [(a, b, na, nb, f, len(np.intersect1d(fa[f], fb[f], assume_unique=True))) for f in range(FRAGMENTS)]
+                types = [id_pa, id_pa, pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], ["a", "b", "na", "nb", "fragment", "part"])
 
-    wanted = source.join(ids, "doc_id", "left_semi")
-    return wanted.mapInArrow(run, f"doc_id {id_type}, fragment int, n long, tokens array<long>")
+    return met.select("a", "b", "ta", "tb").mapInArrow(run, f"a {id_type}, b {id_type}, na long, nb long, fragment int, part long")
 
 
 def _verified(pairs: DataFrame, source: DataFrame, id_type: str, classes, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that are similar, from overlaps that are counted by fragment and summed."""
+    """The pairs (a, b) that are similar, from overlaps that are counted by fragment and summed.
+
+    Texts travel, not sets: they are smaller, and an executor cuts a text that many pairs share once.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = store(_fragments(source, ids, id_type, classes, width), "fragments")
-    left = sets.select(F.col("doc_id").alias("a"), "fragment", F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("doc_id").alias("b"), "fragment", F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-    parts = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "na", "nb", "fragment", F.size(F.array_intersect("ta", "tb")).cast("long").alias("part"))
+    texts = store(_texts(source, ids, id_type), "texts")
+    met = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
     # Rows that repeat a document give the same part again: it counts once.
-    whole = parts.groupBy("a", "b", "na", "nb", "fragment").agg(F.max("part").alias("part")).groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
+    parts = _overlaps(met, id_type, classes, width).groupBy("a", "b", "na", "nb", "fragment").agg(F.max("part").alias("part"))
+    whole = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
     out = store(whole.where(F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num).select("a", "b"), "links")
-    discard(sets)
+    discard(texts)
     return out
 
 
@@ -309,37 +422,44 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: i
     profiles = store(_profiles(source, id_type, width, num, den), "profiles")
     docs = profiles.where("row is null").drop("row", "counts")
     classes = spark.sparkContext.broadcast(_sketch(profiles))  # SKETCH bytes
-    firsts = docs.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    firsts = docs.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
     reps = store(firsts, "classes")
 
-    listed = _lists(source, id_type, classes, width, num, den)
-    shared = listed.withColumn("members", F.count("*").over(Window.partitionBy("token"))).where("members > 1").drop("members")
+    listed = store(_lists(source, id_type, classes, width, num, den), "postings")
+    several = listed.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
     # Tasks skip sets on their own, so a document that does not stand for its class may have listed it.
     # What it listed belongs to its class.
-    own = docs.select("doc_id", "sig").join(reps.select("sig", "class_id", "bits"), "sig").select("doc_id", "class_id", "bits")
-    full = shared.join(own, "doc_id").groupBy("token", "class_id").agg(F.first("n").alias("n"), F.first("pos").alias("pos"), F.first("bits").alias("bits")).withColumnRenamed("class_id", "doc_id")
-    lists = store(full, "lists")
-
-    none = F.lit(None)
-    sizes = lists.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    sized = lists.join(sizes, "token")
-    blocked = sized.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)))
-    first = blocked.withColumns({"part": none.cast(id_type), "side": none.cast("int")}).repartition("token", "block")
-    pairs = store(_pairs(first, id_type, num, den, True).distinct(), "pairs")
+    own = docs.select("doc_id", "sig").join(reps.select("sig", "class_id"), "sig").select("doc_id", "class_id").distinct()
+    full = listed.join(several, "token").join(own, "doc_id").groupBy("token", "class_id").agg(F.first("n").alias("n"), F.first("pos").alias("pos")).withColumnRenamed("class_id", "doc_id")
+    full = store(full, "lists")
+    discard(listed)
+    sizes = full.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
+    lists = store(full.join(sizes, "token"), "lists")
+    discard(full)
+
+    bits = reps.select(F.col("class_id").alias("doc_id"), "bits")
+    first = lists.join(bits, "doc_id").withColumns({"block": F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)), "part": F.lit(None).cast(id_type), "side": F.lit(None).cast("int")})
+    made = store(_pairs(first, id_type, num, den, True), "pairs")
+    # Pairs by distinct lists; then what whole bitmaps rule out goes.
+    pairs = store(_narrowed(made.where("token is null").select("a", "b").distinct(), reps, id_type, num, den), "pairs")
     links = _verified(pairs, source, id_type, classes, width, num, den)
     found = components(links) if not links.isEmpty() else None
 
-    # Lists that hold several components still: pairs of different components that are no candidates yet.
-    labelled = sized if found is None else sized.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    labelled = labelled.withColumn("part", F.coalesce("component", "doc_id") if found is not None else F.col("doc_id")).drop("component")
-    several = labelled.groupBy("token").agg(F.countDistinct("part").alias("parts")).where("parts > 1").select("token")
+    # Lists in which pairs were left out and that still hold several components: pairs of different components.
+    left_out = made.where("token is not null").select("token").unionByName(lists.where(F.col("size") > BLOCK).select("token")).distinct()
+    labelled = lists.join(left_out, "token", "left_semi")
+    if found is not None:
+        labelled = labelled.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
+    else:
+        labelled = labelled.withColumn("part", F.col("doc_id"))
+    several = labelled.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
     open_ = labelled.join(several, "token", "left_semi").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
     mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     # Each two blocks of a list meet once; within one block (side 2) all pairs count, between two only crossing ones.
     met = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("mine", mine)
     met = met.withColumn("block", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).withColumn("side", F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") < F.col("other")).cast("int")))
-    more = _pairs(met.repartition("token", "block"), id_type, num, den, False).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = store(more, "pairs")
+    more = _pairs(met.join(bits, "doc_id"), id_type, num, den, False).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+    more = store(_narrowed(more, reps, id_type, num, den), "pairs")
     if not more.isEmpty():
         links = links.unionByName(_verified(more, source, id_type, classes, width, num, den))
         found = components(links)
@@ -359,3 +479,17 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"), width=3, num=90, den=100).drop("class_id")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))
+                                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+reach AS (SELECT doc_id, doc_id AS r FROM w UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a)
+SELECT doc_id, n AS n_shingles, min(r) AS component_id FROM reach JOIN n USING (doc_id) GROUP BY 1, 2
+"""

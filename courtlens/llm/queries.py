@@ -17,4 +17,4 @@ QUERIES = {
     "op10_perplexity": perplexity.op10_perplexity,
 }
 
-ORACLE_SQL = {"op2_lsm_exact_dedup": lsm.OP2_SQL}
+ORACLE_SQL = {"op2_lsm_exact_dedup": lsm.OP2_SQL, "op8_ngram_jaccard": jaccard.OP8_SQL}

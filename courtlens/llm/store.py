@@ -6,6 +6,7 @@ setting is absent, as in tests.
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -31,13 +32,19 @@ def store(df: DataFrame, label: str) -> DataFrame:
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`store` that no later plan reads."""
+    """Delete a table made by :func:`store` that no later plan reads.
+
+    Spark drops shuffle files when the driver's garbage collector finds their plans gone; asking for a collection here
+    keeps the files of finished steps from piling up.
+    """
     path = getattr(df, "_courtlens_path", None)
     if path is None:
         return
-    jvm = df.sparkSession.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    context = df.sparkSession.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    context._jvm.System.gc()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
