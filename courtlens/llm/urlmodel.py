@@ -7,7 +7,7 @@ threshold comes from a part of the rule-judged urls that the models have not see
 difference between the shares of accepted and rejected urls above it.
 
 The alphabet has ``SIZE`` symbols, so the table of all (context, symbol) log ratios has ``SIZE ** (ORDER + 1)``
-entries at any scale; it is the one thing that is broadcast, as one row. Everything is DataFrame work.
+entries at any scale; it is the one thing that is broadcast. Everything is DataFrame work.
 
 Edge cases: null urls and urls without ``://`` have empty host and path, fit no rule and are scored as they are
 (null: as empty); empty tables give empty results; where rules leave no url of either verdict to learn from, the
@@ -108,14 +108,12 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
     trained = counts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     if not (trained["good"] and trained["bad"]):
         return source.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("threshold"))
-    # SIZE ** (ORDER + 1) floats in the order of their n-grams: in slices first, so that no task sorts all of them.
-    slices = _model(counts, spark).groupBy(F.floor(F.col("gram") / SIZE**2).cast("int").alias("slice")).agg(F.transform(F.array_sort(F.collect_list(F.struct("gram", "ratio"))), lambda x: x["ratio"]).alias("part"))
-    ratios = store(slices.agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("slice", "part"))), lambda x: x["part"])).alias("ratios")).withColumn("one", F.lit(1)), "url-model")
-
-    scored = source.withColumn("one", F.lit(1)).join(F.broadcast(ratios), "one")
-    grams = _grams(_codes(F.col("url")))
-    score = F.aggregate(grams, F.lit(0.0), lambda held, g: held + F.get(F.col("ratios"), g).cast("double")) / F.size(grams)
-    scored = store(scored.select("page_id", "host", "path", "rule", "by_rule", score.alias("score"), held_out.alias("held_out")), "url-scores")
+    # SIZE ** (ORDER + 1) rows at any scale: the one table that is broadcast.
+    ratios = store(_model(counts, spark), "url-model")
+    keyed = source.withColumn("key", F.monotonically_increasing_id()).withColumn("held_out", held_out)
+    each = keyed.select("key", "page_id", "host", "path", "rule", "by_rule", "held_out", F.explode(_grams(_codes(F.col("url")))).alias("gram"))
+    of_url = each.join(F.broadcast(ratios), "gram").groupBy("key").agg(F.avg(F.col("ratio").cast("double")).alias("score"), *(F.first(c).alias(c) for c in ("page_id", "host", "path", "rule", "by_rule", "held_out")))
+    scored = store(of_url.select("page_id", "host", "path", "rule", "by_rule", "score", "held_out"), "url-scores")
 
     cells = scored.where("by_rule is not null and held_out").groupBy(F.floor(F.col("score") * CELLS).cast("int").alias("cell")).agg(F.count(F.when(F.col("by_rule") == "allow", 1)).alias("good"), F.count(F.when(F.col("by_rule") == "block", 1)).alias("bad"))
     # A few thousand cells at most, whatever the input.
