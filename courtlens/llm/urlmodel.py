@@ -108,11 +108,14 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
     trained = counts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     if not (trained["good"] and trained["bad"]):
         return source.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("threshold"))
-    # SIZE ** (ORDER + 1) rows at any scale: the one table that is broadcast.
-    ratios = store(_model(counts, spark), "url-model")
+    # SIZE ** ORDER rows of SIZE numbers at any scale: the one table that is broadcast.
+    by_context = F.transform(F.array_sort(F.collect_list(F.struct("gram", "ratio"))), lambda x: x["ratio"])
+    ratios = store(_model(counts, spark).groupBy(F.floor(F.col("gram") / SIZE).cast("int").alias("context")).agg(by_context.alias("ratios")), "url-model")
     keyed = source.withColumn("key", F.monotonically_increasing_id()).withColumn("held_out", held_out)
     each = keyed.select("key", "page_id", "host", "path", "rule", "by_rule", "held_out", F.explode(_grams(_codes(F.col("url")))).alias("gram"))
-    of_url = each.join(F.broadcast(ratios), "gram").groupBy("key").agg(F.avg(F.col("ratio").cast("double")).alias("score"), *(F.first(c).alias(c) for c in ("page_id", "host", "path", "rule", "by_rule", "held_out")))
+    each = each.withColumn("context", F.floor(F.col("gram") / SIZE).cast("int"))
+    ratio = F.get("ratios", F.col("gram") % SIZE).cast("double")
+    of_url = each.join(F.broadcast(ratios), "context").groupBy("key").agg(F.avg(ratio).alias("score"), *(F.first(c).alias(c) for c in ("page_id", "host", "path", "rule", "by_rule", "held_out")))
     scored = store(of_url.select("page_id", "host", "path", "rule", "by_rule", "score", "held_out"), "url-scores")
 
     cells = scored.where("by_rule is not null and held_out").groupBy(F.floor(F.col("score") * CELLS).cast("int").alias("cell")).agg(F.count(F.when(F.col("by_rule") == "allow", 1)).alias("good"), F.count(F.when(F.col("by_rule") == "block", 1)).alias("bad"))
