@@ -1,20 +1,26 @@
 """License scans by conditional compression.
 
-Lines that speak of licensing, with what stands between close ones, are candidate blocks. A block is compressed
-with zstandard alone and with each template as raw dictionary; the templates are ranked by how much smaller it
-gets. The best ones are then compared word by word, and the one with the fewest differing words is reported:
-``exact`` where the block holds all words of the template in order, ``modified`` where it holds most of them.
-
-Edge cases: a null text is the empty text and has no blocks; equal reductions and equal differences are ranked by
-the template's name; repeated rows are reported alike, each for itself; long texts are scanned whole, blocks of
-any length in windows of twice a template's words; columns other than the named ones are not read.
+Around each word that speaks of licensing lies a window for every template, as wide as the template is long, whatever
+lines or signs of comments stand between. Where most of a template's words occur in its window, the window is compressed
+with zstandard alone and with the template as raw dictionary; the templates that make it smaller are ranked, and the
+best ones compared word by word. The place with the most words of a template and the fewest differing ones is
+reported: ``exact`` where the place holds all words of the
+template in order, ``modified`` where it holds most of them.
+
+Edge cases: a null text is the empty text and has no notices; equal places are ranked by the template's name; repeated
+rows are reported alike, each for itself; long texts and long lines are
+scanned whole; columns other than the named ones are not read.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import functools
+import heapq
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
@@ -55,21 +61,29 @@ TEMPLATES = {
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
     "Proprietary": ("All rights reserved.", "Copyright. All rights reserved. No part of this work may be reproduced without written permission."),
 }
-_SPEAKS = re.compile(r"licen[sc]|copyright|\(c\)|©|permission is|all rights reserved|public domain|redistribut|spdx|free software|creative commons|\bcc0\b|\bcc by", re.IGNORECASE)
-#: Lines between two that speak of licensing which still belong to one block.
-GAP = 1
-#: Templates that are compared word by word, and the share of a template's words that must be there.
+_GAP = r"[\W_]+"  # between words: blanks, line breaks, signs of comments
+_SPEAKS = re.compile(r"licen[sc]|copyright|\(c\)|©|permission is|all rights reserved|public domain|redistribut|spdx|free software|creative commons|\bcc0\b|\bcc by".replace(" ", _GAP), re.IGNORECASE)
+#: Templates that are compared word by word around a hit, and the share of a template's words that must be there.
 RANKED, LEAST_SHARE = 3, 0.7
 _WORD = re.compile(r"[^\W_]+(?:[.'/-][^\W_]+)*")
 
 
+class _Template(NamedTuple):
+    name: str
+    no: int
+    held: zstandard.ZstdCompressor
+    words: list[str]
+    counts: Counter
+
+
 @functools.lru_cache(maxsize=1)
-def _compressors() -> list[tuple[str, int, zstandard.ZstdCompressor, list[str]]]:
+def _templates() -> list[_Template]:
     out = []
     for name, texts in TEMPLATES.items():
         for no, text in enumerate(texts):
             held = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            out.append((name, no, zstandard.ZstdCompressor(level=3, dict_data=held, write_content_size=False, write_dict_id=False), [w.lower() for w in _WORD.findall(text)]))
+            words = [w.lower() for w in _WORD.findall(text)]
+            out.append(_Template(name, no, zstandard.ZstdCompressor(level=3, dict_data=held, write_content_size=False, write_dict_id=False), words, Counter(words)))
     return out
 
 
@@ -78,65 +92,103 @@ def _alone() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=3, write_content_size=False)
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Candidate blocks (start, end) of a text."""
+def compare(words: list[str], template: list[str]) -> tuple[int, int, int, int]:
+    """(differing words, words of the template that are there, first, last word of the best place) of a window."""
+    runs = [m for m in difflib.SequenceMatcher(None, words, template, autojunk=False).get_matching_blocks() if m.size]
+    best = (len(template), 0, 0, 0)
+    for i in range(len(runs)):  # a stray word on either side does not belong to the place
+        there = 0
+        for m in runs[i:]:
+            there += m.size
+            first, last = runs[i].a, m.a + m.size
+            if there >= LEAST_SHARE * len(template):
+                best = min(best, (len(template) + last - first - 2 * there, there, first, last)) if best[1] else (len(template) + last - first - 2 * there, there, first, last)
+    return best
+
+
+class _Found(NamedTuple):
+    """A confirmed place: the more of a template is there and the less differs, the better."""
+
+    rank: int
+    differing: int
+    name: str
+    no: int
+    first: int
+    last: int
+
+
+class _Text:
+    """The words of a text, and the places that a notice can stand in."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.words, self.at, self.to = [], [], []
+        for m in _WORD.finditer(text):
+            self.words.append(m.group().lower())
+            self.at.append(m.start())
+            self.to.append(m.end())
+
+    def hits(self) -> list[int]:
+        """The words at which a text speaks of licensing."""
+        last = len(self.words) - 1
+        return sorted({min(last, bisect.bisect_right(self.to, m.start())) for m in _SPEAKS.finditer(self.text)}) if self.words else []
+
+    def gain(self, template: _Template, low: int, high: int) -> int:
+        """Bytes that the template saves on some words."""
+        data = self.text[self.at[low] : self.to[high - 1]].lower().encode()
+        return len(_alone().compress(data)) - len(template.held.compress(data))
+
+    def best(self, hit: int, low: int, high: int) -> _Found | None:
+        """The best place of any template around a hit, within the words from ``low`` to ``high``."""
+        ranked, results = [], []
+        for t in _templates():
+            n = len(t.words)
+            reach = n + n // 2 + 2  # a notice with words put in is longer than its template
+            a, b = max(low, hit - reach), min(high, hit + reach + 1)
+            own = self.words[a:b]
+            if sum(map(t.counts.__getitem__, t.counts.keys() & own)) >= LEAST_SHARE * n and (gain := self.gain(t, a, b)) > 0:
+                ranked.append((-gain, t.name, t.no, t, a, own))
+        for _, name, no, t, a, own in sorted(ranked)[:RANKED]:
+            differing, there, first, last = compare(own, t.words)
+            if there:
+                results.append(_Found(differing - there, differing, name, no, a + first, a + last))
+        return min(results, default=None)
+
+
+def notices(text: str) -> list[tuple]:
+    """(start, end, license, template, reduction, differing words, verdict) of each notice of a text, in order.
+
+    The best place of all is taken first.
+    """
     if not _SPEAKS.search(text):
         return []
-    out, last, at = [], None, 0
-    for no, line in enumerate(text.split("\n")):
-        end = at + len(line)
-        if _SPEAKS.search(line):
-            if last is not None and no - last <= GAP + 1:
-                out[-1] = (out[-1][0], end)
-            else:
-                out.append((at, end))
-            last = no
-        at = end + 1
-    return out
-
-
-def compare(words: list[str], template: list[str]) -> tuple[int, int, int, int]:
-    """(differing words, words of the template that are there, first, last word of the best place) of a block."""
-    wide = 2 * len(template)
-    best = None
-    vocabulary = set(template)
-    for low in range(0, max(1, len(words) - len(template)), max(1, len(template))) if len(words) > wide else (0,):
-        own = words[low : low + wide] if len(words) > wide else words
-        if len(vocabulary.intersection(own)) < LEAST_SHARE * len(vocabulary):
-            continue
-        runs = [m for m in difflib.SequenceMatcher(None, own, template, autojunk=False).get_matching_blocks() if m.size]
-        if not runs:
+    of = _Text(text)
+    taken: list[tuple[int, int]] = []
+    out, waiting = [], []
+
+    def judge(hit: int) -> None:
+        no = bisect.bisect_right(taken, (hit, len(of.words)))
+        if no and taken[no - 1][1] > hit:
+            return
+        found = of.best(hit, taken[no - 1][1] if no else 0, taken[no][0] if no < len(taken) else len(of.words))
+        if found:
+            heapq.heappush(waiting, (found, hit))
+
+    for hit in of.hits():
+        judge(hit)
+    while waiting:
+        found, hit = heapq.heappop(waiting)
+        no = bisect.bisect_left(taken, (found.last, 0))
+        if no and taken[no - 1][1] > found.first:
             continue
-        there = sum(m.size for m in runs)
-        first, last = runs[0].a, runs[-1].a + runs[-1].size
-        found = (len(template) - there + (last - first) - there, there, low + first, low + last)
-        if best is None or found < best:
-            best = found
-    return best or (len(template), 0, 0, 0)
-
-
-def judge(text: str, start: int, end: int) -> tuple | None:
-    """(start, end, license, template, reduction, differing words, verdict) of a block, or None."""
-    block = text[start:end]
-    data = block.lower().encode()
-    alone = len(_alone().compress(data))
-    ranked = sorted((len(c.compress(data)) - alone, name, no, words) for name, no, c, words in _compressors())
-    found = [(m.group().lower(), *m.span()) for m in _WORD.finditer(block)]
-    own = [f[0] for f in found]
-    results = []
-    for gain, name, no, words in ranked[:RANKED]:
-        if gain < 0:
-            differing, there, first, last = compare(own, words)
-            if there >= LEAST_SHARE * len(words):
-                results.append((differing / len(words), -len(words), name, no, gain, differing, first, last))
-    if not results:
-        return None
-    _, _, name, no, gain, differing, first, last = min(results)
-    return start + found[first][1], start + found[last - 1][2], name, no, -gain, differing, "modified" if differing else "exact"
+        taken.insert(no, (found.first, found.last))
+        template = next(t for t in _templates() if (t.name, t.no) == (found.name, found.no))
+        out.append((of.at[found.first], of.to[found.last - 1], found.name, found.no, of.gain(template, found.first, found.last), found.differing, "modified" if found.differing else "exact"))
+    return sorted(out)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, start, end, license, template, reduction, n_different, verdict): one row for each confirmed block.
+    """(doc_id, start, end, license, template, reduction, n_different, verdict): one row for each notice.
 
     ``reduction`` is in bytes; places are code points, end exclusive.
     """
@@ -146,7 +198,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     def run(batches):
         for batch in batches:
             for some in rows(batch):
-                out = [(doc_id, *f) for doc_id, text in some for a, b in blocks(text) if (f := judge(text, a, b)) is not None]
+                out = [(doc_id, *f) for doc_id, text in some for f in notices(text)]
                 if out:
                     types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], ["doc_id", "start", "end", "license", "template", "reduction", "n_different", "verdict"])

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -293,6 +294,12 @@ def test_licenses(spark):
     assert texts[3][got[3].start : got[3].end] == "Released under the MIT License"
     assert licenses.scan(docs(spark, [])).collect() == []
 
+def test_wrapped_licenses_are_found_whole():
+    for name, no in (("MIT", 2), ("GPL-3.0", 1), ("GPL-2.0", 1), ("Apache-2.0", 1), ("MPL-2.0", 0)):
+        text = "\n * ".join(textwrap.wrap(licenses.TEMPLATES[name][no], 78))
+        assert [(f[2], f[6]) for f in licenses.notices(f"Copyright (c) 2020 Ann\n\n * {text}\n\nint main() {{}}")] == [(name, "exact")], name
+    assert [f[2] for f in licenses.notices("All rights\nreserved.")] == ["Proprietary"]
+
 
 # --- op10 ---------------------------------------------------------------------------------------------------------
 def test_plain_counts_of_a_text():
