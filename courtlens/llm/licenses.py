@@ -2,8 +2,8 @@
 
 Around each word that speaks of licensing lies a window for every template, as wide as the template is long, whatever
 lines or signs of comments stand between. Where most of a template's words occur in its window, the window is compressed
-with zstandard alone and with the template as raw dictionary; the templates that make it smaller are ranked, and the
-best ones compared word by word. The place with the most words of a template and the fewest differing ones is
+with zstandard alone and with the template as raw dictionary; every template that makes it smaller, or whose words are
+all there, is compared word by word. The place with the most words of a template and the fewest differing ones is
 reported: ``exact`` where the place holds all words of the
 template in order, ``modified`` where it holds most of them.
 
@@ -63,8 +63,8 @@ TEMPLATES = {
 }
 _GAP = r"[\W_]+"  # between words: blanks, line breaks, signs of comments
 _SPEAKS = re.compile(r"licen[sc]|copyright|\(c\)|©|permission is|all rights reserved|public domain|redistribut|spdx|free software|creative commons|\bcc0\b|\bcc by".replace(" ", _GAP), re.IGNORECASE)
-#: Templates that are compared word by word around a hit, and the share of a template's words that must be there.
-RANKED, LEAST_SHARE = 3, 0.7
+#: The share of a template's words that must be there.
+LEAST_SHARE = 0.7
 _WORD = re.compile(r"[^\W_]+(?:[.'/-][^\W_]+)*")
 
 
@@ -140,18 +140,18 @@ class _Text:
 
     def best(self, hit: int, low: int, high: int) -> _Found | None:
         """The best place of any template around a hit, within the words from ``low`` to ``high``."""
-        ranked, results = [], []
+        results = []
         for t in _templates():
             n = len(t.words)
             reach = n + n // 2 + 2  # a notice with words put in is longer than its template
             a, b = max(low, hit - reach), min(high, hit + reach + 1)
             own = self.words[a:b]
-            if sum(map(t.counts.__getitem__, t.counts.keys() & own)) >= LEAST_SHARE * n and (gain := self.gain(t, a, b)) > 0:
-                ranked.append((-gain, t.name, t.no, t, a, own))
-        for _, name, no, t, a, own in sorted(ranked)[:RANKED]:
+            there = sum(map(t.counts.__getitem__, t.counts.keys() & own))
+            if there < LEAST_SHARE * n or (there < n and self.gain(t, a, b) <= 0):
+                continue
             differing, there, first, last = compare(own, t.words)
             if there:
-                results.append(_Found(differing - there, differing, name, no, a + first, a + last))
+                results.append(_Found(differing - there, differing, t.name, t.no, a + first, a + last))
         return min(results, default=None)
 
 

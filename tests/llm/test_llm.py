@@ -300,6 +300,14 @@ def test_wrapped_licenses_are_found_whole():
         assert [(f[2], f[6]) for f in licenses.notices(f"Copyright (c) 2020 Ann\n\n * {text}\n\nint main() {{}}")] == [(name, "exact")], name
     assert [f[2] for f in licenses.notices("All rights\nreserved.")] == ["Proprietary"]
 
+def test_every_template_is_found_in_a_long_line():
+    rng = random.Random(9)
+    prose = words(rng, 3000, "bcdefgh")
+    for name, texts in licenses.TEMPLATES.items():
+        for no, notice in enumerate(texts):
+            text = f"{prose} {notice} {prose}"
+            assert [(f[2], f[3], f[6]) for f in licenses.notices(text)] == [(name, no, "exact")], (name, no)
+
 
 # --- op10 ---------------------------------------------------------------------------------------------------------
 def test_plain_counts_of_a_text():
