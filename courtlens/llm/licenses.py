@@ -4,11 +4,11 @@ Around each word that speaks of licensing lies a window for every template, as w
 lines or signs of comments stand between. Where most of a template's words occur in its window, the window is compressed
 with zstandard alone and with the template as raw dictionary; every template that makes it smaller, or whose words are
 all there, is compared word by word. The place with the most words of a template and the fewest differing ones is
-reported: ``exact`` where the place holds all words of the
+reported, then the best of what is left on both sides, until nothing is: ``exact`` where the place holds all words of the
 template in order, ``modified`` where it holds most of them.
 
 Edge cases: a null text is the empty text and has no notices; equal places are ranked by the template's name; repeated
-rows are reported alike, each for itself; long texts and long lines are
+rows are reported alike, each for itself; repeated notices of a text are each reported; long texts and long lines are
 scanned whole; columns other than the named ones are not read.
 """
 
@@ -48,9 +48,17 @@ TEMPLATES = {
     "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     "LGPL-3.0": ("Licensed under the GNU Lesser General Public License, version 3.",),
     "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",),
+    # The clauses that all of them share.
+    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",),
+    "BSD-2-Clause": (
+        "Licensed under the BSD 2-Clause License.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. This software is provided by the copyright holders and contributors",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. This software is provided by the copyright holders and contributors",
+    ),
     "BSD-3-Clause": (
         "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. This software is provided by the copyright holders and contributors",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. This software is provided by the copyright holders and contributors",
     ),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
@@ -158,7 +166,7 @@ class _Text:
 def notices(text: str) -> list[tuple]:
     """(start, end, license, template, reduction, differing words, verdict) of each notice of a text, in order.
 
-    The best place of all is taken first.
+    The best place of all is taken first; what it leaves on both sides is judged again.
     """
     if not _SPEAKS.search(text):
         return []
@@ -180,10 +188,12 @@ def notices(text: str) -> list[tuple]:
         found, hit = heapq.heappop(waiting)
         no = bisect.bisect_left(taken, (found.last, 0))
         if no and taken[no - 1][1] > found.first:
+            judge(hit)
             continue
         taken.insert(no, (found.first, found.last))
         template = next(t for t in _templates() if (t.name, t.no) == (found.name, found.no))
         out.append((of.at[found.first], of.to[found.last - 1], found.name, found.no, of.gain(template, found.first, found.last), found.differing, "modified" if found.differing else "exact"))
+        judge(hit)
     return sorted(out)
 
 

@@ -308,6 +308,16 @@ def test_every_template_is_found_in_a_long_line():
             text = f"{prose} {notice} {prose}"
             assert [(f[2], f[3], f[6]) for f in licenses.notices(text)] == [(name, no, "exact")], (name, no)
 
+def test_each_notice_of_a_block_is_reported():
+    text = "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License. All rights reserved."
+    found = licenses.notices(text)
+    assert [(f[2], f[6]) for f in found] == [("Apache-2.0", "exact"), ("MIT", "exact"), ("Proprietary", "exact")]
+    assert [text[f[0] : f[1]] for f in found] == ["Licensed under the Apache License, Version 2.0", "Released under the MIT License", "All rights reserved"]
+    assert len(licenses.notices("All rights reserved. Page of a book. " * 30)) == 30
+    two, three = licenses.TEMPLATES["BSD-2-Clause"][1], licenses.TEMPLATES["BSD-3-Clause"][1]
+    for text, name in ((two, "BSD-2-Clause"), (three, "BSD-3-Clause"), (three.replace("the copyright holder nor", "Example nor"), "BSD-3-Clause")):
+        assert [f[2] for f in licenses.notices("\n".join(textwrap.wrap(text, 78)))] == [name]
+
 
 # --- op10 ---------------------------------------------------------------------------------------------------------
 def test_plain_counts_of_a_text():
