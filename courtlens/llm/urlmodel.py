@@ -1,13 +1,14 @@
 """URL filter: rules, and for what no rule fits, the ratio of two character language models.
 
-The urls that rules allow or block train two variable-order Markov models over folded characters. A model
-interpolates its orders (Witten-Bell): contexts that it has not seen fall back to shorter ones, so the order in
-use varies with what was seen. A url's score is the difference of its log-likelihoods divided by its length; the
+The urls that rules allow or block train two variable-order Markov models over characters as they are. A model
+interpolates its orders (Witten-Bell) up to ``ORDER``: contexts that it has not seen fall back to shorter ones, so the
+order in use varies with what was seen. A url's score is the difference of its log-likelihoods divided by its length; the
 threshold comes from a part of the rule-judged urls that the models have not seen, as the point of largest
 difference between the shares of accepted and rejected urls above it.
 
-The alphabet has ``SIZE`` symbols, so the table of all (context, symbol) log ratios has ``SIZE ** (ORDER + 1)``
-entries at any scale; it is the one thing that is broadcast. Everything is DataFrame work.
+The table of n-grams grows with the input: it holds every n-gram of the urls, of all orders. It is written to the shared
+folder and joined, order by order with the next shorter one, then with the urls; nothing of it is broadcast or sent
+to the driver. Everything is DataFrame work.
 
 Edge cases: null urls and urls without ``://`` have empty host and path, fit no rule and are scored as they are
 (null: as empty); empty tables give empty results; where rules leave no url of either verdict to learn from, the
@@ -16,17 +17,19 @@ method allows all; repeated rows count as often as they occur. Other columns are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import store, table
+from .store import discard, store, table
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-ORDER = 3
-#: Symbols: 0 is the edge of a url, 1 to 26 letters, 27 digits, then the signs here, then any other character.
-SIGNS = "./-_:?&=%+#"
-SIZE = 28 + len(SIGNS) + 1
+#: The longest context: host labels, words of a path and numbers fit in it.
+ORDER = 12
+#: The edge of a url, before and behind it.
+EDGE = "\0"
+#: Symbols that a model without any evidence chooses from: the code points.
+SIZE = 0x110000
 #: One of so many rule-judged urls is kept from the models, for the threshold.
 HELD_OUT = 4
 #: Cells of the threshold's histogram for one nat.
@@ -50,73 +53,65 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _codes(url: Column) -> Column:
-    """The symbols of a url, with an edge behind it."""
-    table = [SIZE - 1] * 128
-    for i, c in enumerate(_LOWER):
-        table[ord(c)] = table[ord(c.upper())] = 1 + i
-    for c in "0123456789":
-        table[ord(c)] = 27
-    for i, c in enumerate(SIGNS):
-        table[ord(c)] = 28 + i
-    known = F.lit(table)
+def _grams(url: Column) -> Column:
+    """The n-grams of a url with an edge behind it: each symbol with the ``ORDER`` symbols before it."""
     chars = F.filter(F.split(F.coalesce(url, F.lit("")), ""), lambda c: c != "")
-    return F.concat(F.transform(chars, lambda c: F.get(known, F.least(F.ascii(c), F.lit(127)))), F.array(F.lit(0)))
-
-
-def _grams(codes: Column) -> Column:
-    """The n-grams of a url: symbol and ``ORDER`` symbols before it, as one number each."""
-    padded = F.concat(F.array_repeat(F.lit(0), ORDER), codes)
-    at = F.sequence(F.lit(ORDER), F.size(padded) - 1)
-    return F.transform(at, lambda i: sum((F.get(padded, i - k) * SIZE**k for k in range(1, ORDER + 1)), F.get(padded, i)))
-
-
-def _model(counts: DataFrame, spark: SparkSession) -> DataFrame:
-    """(gram, ratio): the log ratio of both models for every context and symbol."""
-    every = spark.range(SIZE ** (ORDER + 1)).select(F.col("id").cast("int").alias("gram"))
-    # Order 0 first: the last symbol alone, then with one more symbol before it each time.
-    logs = {k: F.lit(1.0 / SIZE) for k in ("good", "bad")}
-    out = every
+    padded = F.concat(F.array_repeat(F.lit(EDGE), ORDER), chars, F.array(F.lit(EDGE)))
+    at = F.sequence(F.lit(1), F.size(padded) - ORDER)
+    return F.transform(at, lambda i: F.array_join(F.slice(padded, i, ORDER + 1), ""))
+
+
+def _model(counts: DataFrame) -> DataFrame:
+    """(gram, ratio): the log ratio of both models for every n-gram of ``counts`` (gram, good, bad).
+
+    An n-gram has as many longer ones, and a context as many n-grams, as there are symbols: no key of a join is frequent.
+    """
+    orders = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("order")
+    ends = counts.select("good", "bad", "gram", orders).select("order", F.expr(f"substring(gram, {ORDER + 1} - order, order + 1)").alias("gram"), "good", "bad")
+    levels = store(ends.groupBy("order", "gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("context", F.expr("substring(gram, 1, order)")), "url-levels")
+    contexts = levels.where("good + bad > 0").groupBy(F.col("order").alias("of"), F.col("context").alias("seen")).agg(
+        *(F.sum(k).alias(f"{k}_all") for k in ("good", "bad")), *(F.count(F.when(F.col(k) > 0, 1)).alias(f"{k}_kinds") for k in ("good", "bad"))
+    )
+    contexts = store(contexts, "url-contexts")
+    out = None
     for order in range(ORDER + 1):
-        own, ctx = SIZE ** (order + 1), SIZE**order
-        level = counts.groupBy((F.col("gram") % own).cast("int").alias(f"g{order}")).agg(F.sum("good").alias(f"good{order}"), F.sum("bad").alias(f"bad{order}"))
-        contexts = level.groupBy(F.floor(F.col(f"g{order}") / SIZE).cast("int").alias(f"c{order}")).agg(
-            *(F.sum(f"{k}{order}").alias(f"{k}_all{order}") for k in logs), *(F.count(F.when(F.col(f"{k}{order}") > 0, 1)).alias(f"{k}_kinds{order}") for k in logs)
-        )
-        out = out.withColumn(f"g{order}", (F.col("gram") % own).cast("int")).withColumn(f"c{order}", F.floor(F.col(f"g{order}") / SIZE).cast("int"))
-        out = out.join(level, f"g{order}", "left").join(contexts, f"c{order}", "left")
-        for k in logs:
-            kinds, total = (F.coalesce(F.col(f"{k}_{x}{order}"), F.lit(0)) for x in ("kinds", "all"))
-            n = F.coalesce(F.col(f"{k}{order}"), F.lit(0))
-            logs[k] = F.when(total > 0, (n + kinds * logs[k]) / (total + kinds)).otherwise(logs[k])
-        out = out.select("gram", *(logs[k].alias(f"p_{k}") for k in logs))
-        logs = {k: F.col(f"p_{k}") for k in logs}
-    return out.select("gram", (F.log("p_good") - F.log("p_bad")).cast("float").alias("ratio"))
+        level = levels.where(F.col("order") == order).join(contexts.where(F.col("of") == order), F.col("context") == F.col("seen"), "left")
+        if out is None:
+            level = level.withColumns({"p_good": F.lit(1.0 / SIZE), "p_bad": F.lit(1.0 / SIZE)})
+        else:
+            level = level.join(out.withColumnRenamed("gram", "end"), F.expr(f"substring(gram, 2, {order})") == F.col("end"))
+        p = []
+        for k in ("good", "bad"):
+            kinds, total = (F.coalesce(F.col(f"{k}_{x}"), F.lit(0)) for x in ("kinds", "all"))
+            p.append(F.when(total > 0, (F.col(k) + kinds * F.col(f"p_{k}")) / (total + kinds)).otherwise(F.col(f"p_{k}")).alias(f"p_{k}"))
+        out = level.select("gram", *p)
+    model = store(out.select("gram", (F.log("p_good") - F.log("p_bad")).alias("ratio")), "url-model")
+    discard(levels)
+    discard(contexts)
+    return model
 
 
 def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score, threshold) for each row of ``df``."""
-    spark = df.sparkSession
     host, path = host_and_path(F.col("url"))
     source = df.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")).withColumns({"host": host, "path": path})
     rule, by_rule = rule_of(F.col("host"), F.col("path"), rules)
     source = source.withColumns({"rule": rule, "by_rule": by_rule})
     held_out = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
 
-    seen = source.where(F.col("by_rule").isNotNull() & ~held_out).select("by_rule", F.explode(_grams(_codes(F.col("url")))).alias("gram"))
-    counts = store(seen.groupBy("gram").agg(F.count(F.when(F.col("by_rule") == "allow", 1)).alias("good"), F.count(F.when(F.col("by_rule") == "block", 1)).alias("bad")), "url-counts")
-    trained = counts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    keyed = store(source.withColumn("key", F.monotonically_increasing_id()).withColumn("held_out", held_out), "url-keyed")
+    trains = F.col("by_rule").isNotNull() & ~F.col("held_out")
+    trained = keyed.agg(*(F.count(F.when(trains & (F.col("by_rule") == v), 1)).alias(k) for k, v in (("good", "allow"), ("bad", "block")))).first()
     if not (trained["good"] and trained["bad"]):
-        return source.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("threshold"))
-    # SIZE ** ORDER rows of SIZE numbers at any scale: the one table that is broadcast.
-    by_context = F.transform(F.array_sort(F.collect_list(F.struct("gram", "ratio"))), lambda x: x["ratio"])
-    ratios = store(_model(counts, spark).groupBy(F.floor(F.col("gram") / SIZE).cast("int").alias("context")).agg(by_context.alias("ratios")), "url-model")
-    keyed = source.withColumn("key", F.monotonically_increasing_id()).withColumn("held_out", held_out)
-    each = keyed.select("key", "page_id", "host", "path", "rule", "by_rule", "held_out", F.explode(_grams(_codes(F.col("url")))).alias("gram"))
-    each = each.withColumn("context", F.floor(F.col("gram") / SIZE).cast("int"))
-    ratio = F.get("ratios", F.col("gram") % SIZE).cast("double")
-    of_url = each.join(F.broadcast(ratios), "context").groupBy("key").agg(F.avg(ratio).alias("score"), *(F.first(c).alias(c) for c in ("page_id", "host", "path", "rule", "by_rule", "held_out")))
-    scored = store(of_url.select("page_id", "host", "path", "rule", "by_rule", "score", "held_out"), "url-scores")
+        return keyed.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("threshold"))
+    each = keyed.select("key", *(F.when(trains & (F.col("by_rule") == v), 1).otherwise(0).alias(k) for k, v in (("good", "allow"), ("bad", "block"))), F.explode(_grams(F.col("url"))).alias("gram"))
+    counts = store(each.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url-counts")
+    ratios = _model(counts)
+    discard(counts)
+    of_url = each.select("key", "gram").join(ratios, "gram").groupBy("key").agg(F.avg("ratio").alias("score"))
+    scored = store(keyed.join(of_url, "key").select("page_id", "host", "path", "rule", "by_rule", "score", "held_out"), "url-scores")
+    discard(keyed)
+    discard(ratios)
 
     cells = scored.where("by_rule is not null and held_out").groupBy(F.floor(F.col("score") * CELLS).cast("int").alias("cell")).agg(F.count(F.when(F.col("by_rule") == "allow", 1)).alias("good"), F.count(F.when(F.col("by_rule") == "block", 1)).alias("bad"))
     # A few thousand cells at most, whatever the input.

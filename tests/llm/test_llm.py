@@ -98,6 +98,47 @@ def test_url_rules_and_verdicts(spark):
     assert urlmodel.filter_urls(df.limit(0)).collect() == []
     assert {r.verdict for r in urlmodel.filter_urls(df.where("page_id = 9")).collect()} == {"allow"}
 
+def test_url_model_learns_from_long_contexts_and_numbers(spark):
+    rng = random.Random(3)
+
+    tails = ["".join(rng.choices("abcdef", k=4)) + str(i) for i in range(400)]
+    urls = [f"http://example.org/{'en/1' if i % 2 else 'en/2'}/{t}" for i, t in enumerate(tails)] + [f"http://other.net/{w}/{t}" for t in tails[:20] for w in ("en/1", "en/2")]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = (("allow", "org", "/"), ("block", "example.org", "/en/1"))
+    got = [r.score for r in sorted(urlmodel.filter_urls(df, rules=rules).collect()) if r.rule is None]
+    assert len(got) == 40
+    assert all(one < two for one, two in zip(got[::2], got[1::2], strict=True))  # the same url but for the digit
+
+
+def test_url_model_scores_are_those_of_brute_force(spark):
+    rng = random.Random(4)
+    urls = ["http://" + rng.choice(("a.org", "b.example.org", "é.com", "q.net")) + rng.choice(("/en/1", "/es/", "/fr/", "/de/", "/x")) + "".join(rng.choices("ab1中2", k=5)) for _ in range(80)]
+    got = sorted(urlmodel.filter_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect())
+    held = {r.url for r in spark.createDataFrame([(u,) for u in urls], "url string").where("pmod(xxhash64(url), 4) = 0").collect()}
+    models = []
+    for verdict in ("allow", "block"):
+        following = defaultdict(Counter)
+        for r, u in zip(got, urls, strict=True):
+            if r.rule is not None and r.verdict == verdict and u not in held:
+                s = "\0" * urlmodel.ORDER + u + "\0"
+                for i in range(urlmodel.ORDER, len(s)):
+                    for k in range(urlmodel.ORDER + 1):
+                        following[s[i - k : i]][s[i]] += 1
+        models.append(following)
+
+    def log_p(following, context, symbol):
+        p = 1 / urlmodel.SIZE
+        for k in range(len(context) + 1):
+            f = following.get(context[len(context) - k :])
+            if f:
+                p = (f[symbol] + len(f) * p) / (sum(f.values()) + len(f))
+        return np.log(p)
+
+    for r, u in zip(got, urls, strict=True):
+        s = "\0" * urlmodel.ORDER + u + "\0"
+        want = [log_p(models[0], s[i - urlmodel.ORDER : i], s[i]) - log_p(models[1], s[i - urlmodel.ORDER : i], s[i]) for i in range(urlmodel.ORDER, len(s))]
+        assert r.score == pytest.approx(np.mean(want), abs=1e-9)
+
 
 # --- op4 ----------------------------------------------------------------------------------------------------------
 def test_word_ids_are_those_of_the_library():
