@@ -542,8 +542,8 @@ def _(spark, d):
 
 
 # --- 2.10: clusters ----------------------------------------------------------------------------------------------------
-def _similar(spark, d):
-    s = X.samples(spark, d).where("idx < 20").select("game_id", F.col("idx").alias("i"), "event_id")
+def _similar(s):
+    s = s.select("game_id", F.col("idx").alias("i"), "event_id")
     a, b = s.select("game_id", F.col("i").alias("a"), F.col("event_id").alias("ea")), s.select("game_id", F.col("i").alias("b"), F.col("event_id").alias("eb"))
     return a.join(b, "game_id").where("a < b").select("game_id", "a", "b", ((F.col("ea") * 7 + F.col("eb") * 13) % 120).alias("matches"))
 
@@ -551,13 +551,10 @@ def _similar(spark, d):
 _SIMILAR = f"{W}, p AS (SELECT x.game_id, x.idx AS a, y.idx AS b, (x.event_id * 7 + y.event_id * 13) % 120 AS matches FROM samples x JOIN samples y ON x.game_id = y.game_id AND x.idx < y.idx WHERE x.idx < 20 AND y.idx < 20)"
 
 
-def _nodes(spark, d):
-    return X.samples(spark, d).where("idx < 20").select("game_id", F.col("idx").alias("image_id"))
-
-
 @query("c1_leader_clusters")
 def _(spark, d):
-    return cluster.leader_clusters(_similar(spark, d), _nodes(spark, d))
+    s = X.samples(spark, d)
+    return cluster.leader_clusters(_similar(s), s.select("game_id", F.col("idx").alias("image_id")))
 
 
 @query("c1b_consecutive_clusters", f"{W} SELECT game_id, idx AS image_id, CAST(sum(CASE WHEN m < 80 THEN 1 ELSE 0 END) OVER (PARTITION BY game_id ORDER BY idx) AS INT) AS cluster FROM (SELECT game_id, idx, CASE WHEN idx > 0 THEN event_id * 7 % 120 END AS m FROM samples)")
@@ -575,13 +572,13 @@ def _(spark, d):
 t AS (SELECT game_id, cluster, image_id, CAST(sum(matches) AS BIGINT) AS total FROM e GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY game_id, cluster ORDER BY total DESC, image_id) AS no FROM t), z AS (SELECT game_id, cluster, count(*) AS size, row_number() OVER (PARTITION BY game_id ORDER BY count(*) DESC, cluster) AS r FROM c GROUP BY 1, 2)
 SELECT k.game_id, k.cluster, k.image_id, k.total, z.size FROM k JOIN z USING (game_id, cluster) WHERE no = 1 AND r <= 2""")
 def _(spark, d):
-    c = X.samples(spark, d).where("idx < 20").select("game_id", F.col("idx").alias("image_id"), (F.col("event_id") % 3).cast("int").alias("cluster"))
-    return cluster.best_of_clusters(_similar(spark, d), c)
+    s = X.samples(spark, d).where("idx < 20")
+    return cluster.best_of_clusters(_similar(s), s.select("game_id", F.col("idx").alias("image_id"), (F.col("event_id") % 3).cast("int").alias("cluster")))
 
 
 @query("c4_t8_u1_merge_clusters")
 def _(spark, d):
-    s = X.samples(spark, d).where("idx < 12")
+    s = X.samples(spark, d)
     h = s.select("game_id", F.col("idx").alias("candidate"), F.array(*(((F.col("event_id") * k) % 50).cast("double") for k in (3, 7, 11))).alias("histogram"))
     return cluster.merge_clusters(h)
 
@@ -640,9 +637,9 @@ def _(spark, d):
     return v.select("segment_id", "frame", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
-def _flow(spark, d):
-    """A coarse flow field of one vector every 20 pixels for a few samples of each game."""
-    s = X.samples(spark, d).where("idx < 4").select(F.col("game_id").alias("segment_id"), F.col("idx").alias("frame"), "event_id")
+def _flow(s):
+    """A coarse flow field of one vector every 20 pixels for each sample."""
+    s = s.select(F.col("game_id").alias("segment_id"), F.col("idx").alias("frame"), "event_id")
     px = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(143)))).withColumns({"px": F.floor(F.col("i") / 9) * 20 + 10, "py": F.col("i") % 9 * 20 + 10})
     return px.select("segment_id", "frame", "px", "py", ((F.col("event_id") * 13 + F.col("i") * F.col("i") * 7) % 101 / 10.0).alias("magnitude"))
 
@@ -652,12 +649,12 @@ _FLOW = f"{W}, flow AS (SELECT game_id AS segment_id, idx AS frame, (i // 9) * 2
 
 @query("a8_cell_means", f"{_FLOW}, g AS (SELECT CAST(i * 5 + j AS INT) AS cell_idx, i * 64 AS x, j * 36 AS y FROM (SELECT unnest(range(5)) AS i), (SELECT unnest(range(5)) AS j)) SELECT segment_id, frame, cell_idx, round(avg(magnitude), 6) AS mean FROM flow JOIN g ON px >= x AND px < x + 64 AND py >= y AND py < y + 36 GROUP BY 1, 2, 3")
 def _(spark, d):
-    return rounded(grid.cell_means(_flow(spark, d), grid.cells(spark, 320, 180, "even")))
+    return rounded(grid.cell_means(_flow(X.samples(spark, d).where("idx < 4")), grid.cells(spark, 320, 180, "even")))
 
 
 @query("e7_refine")
 def _(spark, d):
-    f, g = _flow(spark, d), grid.cells(spark, 320, 180)
+    f, g = _flow(X.samples(spark, d)), grid.cells(spark, 320, 180)
     return rounded(grid.refine(grid.active_cells(grid.cell_means(f, g)), g, f, grid.radial_points(spark), 320, 180))
 
 

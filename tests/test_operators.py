@@ -4,8 +4,10 @@ import os
 
 from pyspark.sql import functions as F
 
+from courtlens.functions import folds
 from courtlens.functions import scalar as S
 from courtlens.operators import ballentry, evaluate, grid, match, segments, signal
+from courtlens.plans.registry import QUERIES
 from courtlens.sources import text
 
 
@@ -86,3 +88,20 @@ def test_stream_finds_what_the_batch_finds(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("rests").collect())) == sorted(map(tuple, batch(spark.createDataFrame(data, schema)).collect()))
+
+
+def test_queries_without_sql_take_every_sample_of_a_game(spark, tmp_path):
+    n = {1: 30, 2: 7}
+    events = [(100 * u + i, i, u, "a", 1.0) for u in n for i in range(n[u])]
+    spark.createDataFrame(events, "event_id long, ts long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    found = {u: {} for u in n}
+    for r in QUERIES["c1_leader_clusters"](spark, str(tmp_path)).collect():
+        found[r.game_id][r.image_id] = r.cluster
+    for u in n:
+        close = {(a, b) for a in range(n[u]) for b in range(a + 1, n[u]) if ((100 * u + a) * 7 + (100 * u + b) * 13) % 120 >= 80}
+        assert found[u] == folds.leader_clusters(list(range(n[u])), close)
+    members = {}
+    for r in QUERIES["c4_t8_u1_merge_clusters"](spark, str(tmp_path)).collect():
+        members.setdefault(r.game_id, []).append(r.members)
+    assert {u: (len(m), sum(m)) for u, m in members.items()} == {u: (3, n[u]) for u in n}
+    assert {(r.segment_id, r.frame) for r in QUERIES["e7_refine"](spark, str(tmp_path)).select("segment_id", "frame").collect()} == {(u, i) for u in n for i in range(n[u])}
