@@ -27,6 +27,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import rows
+
 #: Characters of a chunk without its overlap, and of the overlap. Longer texts than a chunk are cut.
 CHUNK, OVERLAP = 65_536, 1_024
 #: Texts with a run of so many letters, digits, signs or spaces are encoded here, with a heap, in n log n steps.
@@ -117,12 +119,6 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def rows(batch: pa.RecordBatch, step: int = 128) -> Iterator[list[tuple]]:
-    """The rows of a batch as tuples, a few at a time, so that few texts are Python objects at once."""
-    for at in range(0, batch.num_rows, step):
-        yield list(zip(*(c.to_pylist() for c in batch.slice(at, step).columns), strict=True))
-
-
 def stitch(chunks: list[tuple[int, str, np.ndarray]], split, text_end: int) -> list[tuple[int, int]]:
     """Pieces (start, end) of a text from its chunks (start, text, sure boundaries as of ``Codec.ends``), in order.
 

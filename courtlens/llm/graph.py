@@ -27,4 +27,6 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         labels._courtlens_path = new._courtlens_path
         if not changed:
             discard(both)
-            return labels.select("node", F.col("l").alias("component"))
+            out = labels.select("node", F.col("l").alias("component"))
+            out._courtlens_path = labels._courtlens_path
+            return out

@@ -1,17 +1,19 @@
 """N-gram Jaccard join by vertical partitioning of a global order of shingles.
 
-The global order puts rare shingles first. How frequent a shingle is comes from a sketch of fixed size that is
-counted over all documents; ties go by hash. Any order gives right results, a good one few candidates.
+The global order puts rare shingles first. A shingle is no more frequent than its words, so it is ranked by how often
+its words occur, after a check that the shingle itself is not common; both come from counts by hash that are made over
+all documents. Ties go by hash. Any order gives right results, a good one few candidates.
 
-1. Documents with equal sets form a class, and the smallest identifier of a class stands for it.
+1. Documents with equal sets form a class, which is named by a digest of its set.
 2. Two sets of Jaccard similarity t or more share one of the first ``n - ceil(t n) + 1`` shingles of the order.
-   A class lists those; lists of one class fall away.
-3. Within a list, sizes, places in the order and parity bitmaps bound the overlap from above. A pair that no bound
-   rules out becomes a candidate, but a class is only held against the leaders of its list: classes that no
-   earlier leader may be similar to. Long lists are split into blocks for this.
-4. Candidates are verified by vertical partitioning: the global order is cut into fragments, the overlap of a pair
-   is counted within each fragment by itself, and the counts are summed for each pair.
-5. Verified pairs are links; connected classes form components. Lists that still hold several components are
+   Each class is listed under those, in one exchange that also drops the lists of one class.
+3. Short lists give all their pairs that sizes and places in the order allow. In long ones, a class is only held
+   against the leaders of its list, classes that no earlier leader may be similar to by size, place and parity
+   bitmap; very long lists are split into blocks for this. Distinct pairs are then held against whole bitmaps.
+4. Candidates are verified by vertical partitioning: the global order is cut into fragments at places that hold about
+   equally many shingles, each class sends each fragment of its set by itself, pairs meet a fragment at a time, and the
+   overlaps of the fragments are summed for each pair.
+5. Verified pairs are links; connected classes form components. Long lists that still hold several components are
    taken again, now with all pairs of classes from different components that no bound rules out, so no
    connection between different texts is lost. A pair within one component needs no further look.
 
@@ -25,7 +27,7 @@ links and are their own component (null); an empty table gives an empty result.
 
 from __future__ import annotations
 
-import functools
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,58 +36,23 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import rows
+from .arrow import made, rows
 from .graph import components
+from .shingles import runs, words
 from .store import discard, store, table
 
-#: Counters of the sketch, and of a row of it that travels as one value.
-SKETCH, SKETCH_ROW = 1 << 21, 1 << 15
+#: Counters for words, and as many for shingles.
+CELLS = 1 << 21
+#: Steps of the order for one doubling of the product of word counts, and the highest level that words give.
+STEPS, LEVELS = 1, 128
 #: Classes of a list that are held against each other in one piece of work.
 BLOCK = 2048
-#: Lists of so many members or fewer are gone through without arrays.
+#: Lists of so many classes or fewer give all their pairs.
 SMALL = 12
 FRAGMENTS = 8
-#: Most cells of a parity bitmap that goes with each row of a list, and the bits of the table that tells which documents verification reads.
+#: Most cells of a parity bitmap that goes with each row of a long list, and the bits of the table that tells which documents verification reads.
 MOST_CELLS, WANTED = 1024, 1 << 24
-CACHE_ENTRIES = 400_000
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
-@functools.lru_cache(maxsize=1)
-def _words() -> _Words:
-    return _Words()
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """The sorted different 64-bit hashes of a text's shingles."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_words().__getitem__, words), np.uint64, len(words))
-    n = min(width, len(h))
-    k = len(h) - n + 1
-    out = h[:k] + np.uint64(n)
-    for i in range(1, n):
-        # The words' hashes are random numbers already: an odd factor for each place keeps their order apart.
-        out *= _FACTOR
-        out += h[i : k + i]
-    return np.unique(_mixed(out))
+_HASH_BITS = 52
 
 
 def need(n, num: int, den: int):
@@ -98,131 +65,259 @@ def most_apart(total, num: int, den: int):
     return total - 2 * (-(-total * num // (num + den)))
 
 
-def bitmap(found: np.ndarray, num: int, den: int, most: int | None = None) -> bytes:
-    """One bit of parity for each cell that shingles fall into: four cells for each allowed difference, or ``most``.
+def bitmap(found: np.ndarray, num: int, den: int) -> bytes:
+    """One bit of parity for each cell that shingles fall into, four cells for each allowed difference.
 
     Two bitmaps differ in no more bits than their sets do in shingles, whatever the number of cells.
     """
     bits = 64
     wanted = 4 * most_apart(2 * len(found), num, den)
-    while bits < (wanted if most is None else min(most, wanted)):
+    while bits < wanted:
         bits *= 2
     cells = np.bincount((found >> np.uint64(8)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(cells.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _profiles(source: DataFrame, id_type: str, width: int, num: int, den: int) -> DataFrame:
-    """Of each document (doc_id, n, sig, bits, wide), and rows of the sketch of each task (row, counts).
+def folded(raw: bytes, size: int) -> bytes:
+    """A bitmap with so many bytes or fewer."""
+    while len(raw) > size:
+        half = len(raw) // 2
+        raw = (int.from_bytes(raw[:half], "little") ^ int.from_bytes(raw[half:], "little")).to_bytes(half, "little")
+    return raw
 
-    ``wide`` is the whole bitmap of a set that is too large for MOST_CELLS, else null.
-    """
 
-    def run(batches):
-        sketch, seen = np.zeros(SKETCH, np.uint32), False
-        id_pa = None
-        names = ["doc_id", "n", "sig", "bits", "wide", "row", "counts"]
-        for batch in batches:
-            id_pa = batch.schema.field(0).type
-            for some in rows(batch):
-                ids, n, sig, bits, wide = [], [], [], [], []
-                for doc_id, text in some:
-                    found = shingles(text, width)
-                    ids.append(doc_id)
-                    n.append(len(found))
-                    sig.append(xxhash.xxh3_128_digest(found.tobytes()))
-                    whole = bitmap(found, num, den) if len(found) else b""
-                    large = 8 * len(whole) > MOST_CELLS
-                    bits.append(bitmap(found, num, den, MOST_CELLS) if large else whole)
-                    wide.append(whole if large else None)
-                    if len(found):
-                        seen = True
-                        sketch[(found >> np.uint64(20)).astype(np.int64) & (SKETCH - 1)] += 1
-                k = len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, id_pa), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names)
-        if seen:
-            for row in range(SKETCH // SKETCH_ROW):
-                own = sketch[row * SKETCH_ROW : (row + 1) * SKETCH_ROW]
-                if own.any():
-                    yield pa.RecordBatch.from_arrays([pa.nulls(1, id_pa), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([row], pa.int32()), pa.array([own.astype("<u4").tobytes()], pa.binary())], names)
-
-    return source.mapInArrow(run, f"doc_id {id_type}, n long, sig binary, bits binary, wide binary, row int, counts binary")
-
-
-def _sketch(profiles: DataFrame) -> np.ndarray:
-    """Frequency classes of the cells: 0 up to twice the mean, then by powers of two."""
+def differing(x: bytes, y: bytes) -> int:
+    """Bits in which two bitmaps differ, folded to the smaller one's size."""
+    size = min(len(x), len(y))
+    return (int.from_bytes(folded(x, size), "little") ^ int.from_bytes(folded(y, size), "little")).bit_count()
 
-    def summed(batches):
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for row, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = np.frombuffer(counts, "<u4").astype(np.uint64)
-                sums[row] = sums[row] + own if row in sums else own
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.astype("<u8").tobytes() for s in sums.values()], pa.binary())], ["row", "counts"])
 
-    rows_ = profiles.where("row is not null").select("row", "counts").repartition("row").mapInArrow(summed, "row int, counts binary")
-    counts = np.zeros(SKETCH, np.float64)
-    for r in rows_.toLocalIterator():  # SKETCH counters in all, whatever the input
-        counts[r["row"] * SKETCH_ROW : (r["row"] + 1) * SKETCH_ROW] += np.frombuffer(r["counts"], "<u8")
-    mean = max(1.0, counts.mean())
-    return np.clip(np.floor(np.log2(np.maximum(counts, 1) / mean)), 0, 30).astype(np.uint8)
+def _cell(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(20)).astype(np.int64) & (CELLS - 1)
+
 
+def _shingled(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, word hashes, bounds of rows in them, shingle hashes by first word) of some rows at a time."""
+    for low, h, bounds in words(column):
+        yield low, h, bounds, runs(h, width)
 
-def _ordered(found: np.ndarray, classes: np.ndarray, first: int | None = None) -> np.ndarray:
-    """Shingles by the global order, all or the first ones, as numbers whose own order it is: frequency class, then hash."""
-    cell = (found >> np.uint64(20)).astype(np.int64) & (SKETCH - 1)
-    out = (classes[cell].astype(np.uint64) << np.uint64(58)) | (found >> np.uint64(6))
-    if first is not None and first < len(out):
-        out = np.partition(out, first - 1)[:first]
-    return np.sort(out)
 
+# --- the order --------------------------------------------------------------------------------------------------
 
-def _lists(source: DataFrame, id_type: str, classes, width: int, num: int, den: int) -> DataFrame:
-    """(token, doc_id, n, pos): of each set, the first shingles of the global order. A task skips sets it has seen."""
+
+def _counted(source: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """How common each cell of words is (log2 of its count), and how far each cell of shingles is above the mean."""
 
     def run(batches):
-        seen = set()
+        sums = [np.zeros(CELLS, np.uint32), np.zeros(CELLS, np.uint32)]
+        held: list[list[np.ndarray]] = [[], []]
+        size = 0
+
+        def settle():
+            for s, parts in zip(sums, held, strict=True):
+                if parts:
+                    s += np.bincount(np.concatenate(parts), minlength=CELLS).astype(np.uint32)
+                    parts.clear()
+
+        for batch in batches:
+            for _, h, bounds, shingles in _shingled(batch.column("text"), width):
+                held[0].append(_cell(h).astype(np.int32))
+                # Runs that go over the end of a text are counted too: any order will do.
+                held[1].append(_cell(shingles).astype(np.int32))
+                size += len(h)
+                if size >= CELLS:
+                    settle()
+                    size = 0
+        settle()
+        for kind, s in enumerate(sums):
+            if s.any():
+                planes = s.astype("<u4").view(np.uint8).reshape(-1, 4).T.copy()
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([zlib.compress(planes.tobytes(), 1)], pa.binary())], ["kind", "counts"])
+
+    def summed(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for ((kind, counts),) in rows(batch, 1):
+                own = np.frombuffer(zlib.decompress(counts), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
+                sums[kind] = sums[kind] + own if kind in sums else own.astype(np.uint64)
+        for kind, s in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([zlib.compress(s.astype("<u8").tobytes(), 1)], pa.binary())], ["kind", "counts"])
+
+    # Two arrays a task, then sums of them in a tree: what comes to the driver is a few arrays of CELLS, whatever the input.
+    each = source.select("text").mapInArrow(run, "kind int, counts binary")
+    some = each.repartition(16).mapInArrow(summed, "kind int, counts binary")
+    counts = [np.zeros(CELLS, np.uint64), np.zeros(CELLS, np.uint64)]
+    for r in some.toLocalIterator():
+        counts[r["kind"]] += np.frombuffer(zlib.decompress(r["counts"]), "<u8")
+    common = np.minimum(np.round(np.log2(counts[0].astype(np.float64) + 1) * 4), 255).astype(np.uint8)
+    mean = max(1.0, counts[1].mean())
+    above = np.clip(np.floor(np.log2(np.maximum(counts[1], 1) / mean)), 0, 30).astype(np.uint8)
+    return common, above
+
+
+def ordered(h: np.ndarray, shingles: np.ndarray, common: np.ndarray, above: np.ndarray, width: int) -> np.ndarray:
+    """The places of ``shingles`` in the global order as numbers: how common by itself, by its words, then hash."""
+    k, n = len(shingles), len(h)
+    of_words = common[_cell(h)].astype(np.int64)
+    total = np.zeros(k, np.int64)
+    for i in range(min(width, n)):
+        total += of_words[i : i + k]
+    level = np.minimum(total * STEPS // 4, LEVELS - 1)
+    return ((above[_cell(shingles)].astype(np.int64) * LEVELS + level).astype(np.uint64) << np.uint64(_HASH_BITS)) | (shingles >> np.uint64(64 - _HASH_BITS))
+
+
+def _sets(column: pa.Array, order, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, places in the order, hashes): the different shingles of each row that has a word, in the global order."""
+    common, above = order
+    for low, h, bounds, shingles in _shingled(column, width):
+        places = ordered(h, shingles, common, above, width)
+        for i in range(len(bounds) - 1):
+            a, b = int(bounds[i]), int(bounds[i + 1])
+            if b - a >= width:
+                own, at = shingles[a : b - width + 1], places[a : b - width + 1]
+                by = np.argsort(at)
+                own, at = own[by], at[by]
+                fresh = np.ones(len(at), bool)
+                fresh[1:] = (at[1:] != at[:-1]) | (own[1:] != own[:-1])
+                yield low + i, at[fresh], own[fresh]
+            elif b > a:
+                own = runs(h[a:b], b - a)
+                yield low + i, ordered(h[a:b], own, common, above, b - a), own
+
+
+# --- classes and their lists ------------------------------------------------------------------------------------
+
+
+def _profiles(source: DataFrame, id_type: str, order, width: int, num: int, den: int) -> DataFrame:
+    """(doc_id, th, n, sig, bits, tokens) of each document, and rows (levels, counts) of each task for the fragments.
+
+    ``tokens`` are the shingles that a set is listed under; a task gives bitmap and tokens of a set once.
+    """
+    names = ["doc_id", "th", "n", "sig", "bits", "tokens", "levels", "counts"]
+    rest = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+
+    def run(batches):
+        seen: set[bytes] = set()
+        levels = np.zeros(32 * LEVELS, np.int64)
+        id_pa = None
         for batch in batches:
             id_pa = batch.schema.field(0).type
-            for some in rows(batch):
-                ids, sizes, tokens, lengths = [], [], [], []
-                for doc_id, text in some:
-                    found = shingles(text, width)
-                    if not len(found) or doc_id is None or (sig := xxhash.xxh3_128_digest(found.tobytes())) in seen:
-                        continue
-                    seen.add(sig)
-                    first = _ordered(found, classes.value, len(found) - need(len(found), num, den) + 1)
-                    ids.append(doc_id)
-                    sizes.append(len(found))
-                    tokens.append(first)
-                    lengths.append(len(first))
-                if ids:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(ids, lengths), id_pa), pa.array(np.repeat(sizes, lengths).astype(np.int32)), pa.array(np.concatenate([np.arange(k) for k in lengths]).astype(np.int32))],
-                        ["token", "doc_id", "n", "pos"],
-                    )
-
-    return source.mapInArrow(run, f"token long, doc_id {id_type}, n int, pos int")
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids, hashes = part.column("doc_id").to_pylist(), part.column("th").to_pylist()
+                out = [(d, t, 0, None, None, None, None, None) for d, t in zip(ids, hashes, strict=True)]
+                for row, places, own in _sets(part.column("text"), order.value, width):
+                    n, sig = len(own), xxhash.xxh3_128_digest(own.tobytes())
+                    bits = tokens = None
+                    if ids[row] is not None and sig not in seen:
+                        seen.add(sig)
+                        bits = bitmap(own, num, den)
+                        tokens = places[: n - need(n, num, den) + 1].view(np.int64)
+                        np.add.at(levels, (places >> np.uint64(_HASH_BITS)).astype(np.int64), 1)
+                    out[row] = (ids[row], hashes[row], n, sig, bits, tokens, None, None)
+                yield made(out, names, [id_pa, *rest])
+        if levels.any():
+            where = np.flatnonzero(levels)
+            yield made([(None, None, None, None, None, None, where.astype(np.int32), levels[where])], names, [id_pa, *rest])
+
+    return source.mapInArrow(run, f"doc_id {id_type}, th long, n long, sig binary, bits binary, tokens array<long>, levels array<int>, counts array<long>")
+
+
+def _pivots(profiles: DataFrame) -> np.ndarray:
+    """The levels at which fragments of the order start, but for the first: each holds about equally many shingles."""
+    each = profiles.where("levels is not null").select(F.explode(F.arrays_zip("levels", "counts")).alias("x")).select("x.levels", "x.counts")
+    found = sorted(each.groupBy("levels").agg(F.sum("counts").alias("n")).collect())  # 32 * LEVELS rows at most
+    sums = np.cumsum([r["n"] for r in found]) if found else np.zeros(0)
+    return np.array([found[int(np.searchsorted(sums, sums[-1] * f / FRAGMENTS))]["levels"] for f in range(1, FRAGMENTS)] if found else [], np.uint64)
+
+
+def _short_lists(postings: DataFrame, num: int, den: int) -> DataFrame:
+    """From rows (token, sig, n, pos): pairs (a, b) of the short lists, and the rows (token, a, n, pos) of long ones.
+
+    Rows come sorted by token and sig. A list that goes on over a batch is carried along until it is long.
+    """
+
+    def run(batches):
+        carry = None
+        long_token = None
+
+        def of(token, n, pos):
+            """Pairs of short lists, as places of rows, and the rows of long lists."""
+            starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            sizes = np.diff(np.append(starts, len(token)))
+            pairs = []
+            for k in range(2, SMALL + 1):
+                own = starts[sizes == k]
+                if len(own):
+                    i, j = np.triu_indices(k, 1)
+                    a, b = (own[:, None] + i).ravel(), (own[:, None] + j).ravel()
+                    least = -(-(n[a] + n[b]) * num // (num + den))
+                    fits = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least
+                    pairs.append(np.stack([a[fits], b[fits]]))
+            long_ = np.repeat(sizes > SMALL, sizes)
+            return np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64), np.flatnonzero(long_)
+
+        def sent(sigs, token, n, pos, pairs, long_):
+            if pairs.shape[1]:
+                a, b = sigs.take(pa.array(pairs[0])), sigs.take(pa.array(pairs[1]))
+                k = len(a)
+                yield pa.RecordBatch.from_arrays([a, b, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], ["a", "b", "token", "n", "pos"])
+            if len(long_):
+                yield pa.RecordBatch.from_arrays([sigs.take(pa.array(long_)), pa.nulls(len(long_), pa.binary()), pa.array(token[long_]), pa.array(n[long_]), pa.array(pos[long_])], ["a", "b", "token", "n", "pos"])
+
+        def settled(batch, last):
+            """Pairs and rows of the lists that are whole; the rows of the last list are carried unless it is over."""
+            nonlocal carry, long_token
+            if batch.num_rows:
+                sigs = batch.column("sig").cast(pa.binary(16))
+                token = batch.column("token").to_numpy()
+                raw = np.frombuffer(sigs.buffers()[1], np.uint64, 2 * (sigs.offset + len(sigs))).reshape(-1, 2)[sigs.offset :]
+                # The digests of equal sets lie next to each other.
+                fresh = np.ones(len(token), bool)
+                fresh[1:] = (token[1:] != token[:-1]) | (raw[1:] != raw[:-1]).any(axis=1)
+                if not fresh.all():
+                    batch = batch.filter(pa.array(fresh))
+                    token = batch.column("token").to_numpy()
+                sigs, n, pos = batch.column("sig"), batch.column("n").to_numpy(), batch.column("pos").to_numpy()
+                if long_token is not None:
+                    k = int(np.searchsorted(token != long_token, True))
+                    yield from sent(sigs, token, n, pos, np.empty((2, 0), np.int64), np.arange(k))
+                    batch = batch.slice(k)
+                    if not batch.num_rows:  # the next batch may start with the last digest again; the list's reader drops it
+                        carry = None
+                        return
+                    long_token = None
+                    token, sigs, n, pos = token[k:], sigs.slice(k), n[k:], pos[k:]
+                end = len(token) if last else int(np.searchsorted(token == token[-1], True))
+                if not last and len(token) - end > SMALL:
+                    long_token, end = token[-1], len(token)
+                if end:
+                    yield from sent(sigs, token, n, pos, *of(token[:end], n, pos))
+                carry = batch.slice(end)
+
+        for batch in batches:
+            if batch.num_rows:
+                if carry is not None and carry.num_rows:
+                    batch = pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
+                yield from settled(batch, False)
+        if carry is not None and carry.num_rows:
+            yield from settled(carry, True)
+
+    dealt = postings.repartition("token").sortWithinPartitions("token", "sig")
+    return dealt.mapInArrow(run, "a binary, b binary, token long, n long, pos long")
 
 
 class _List:
     """Classes of one list as arrays; ``may(i, j)`` tells which of ``j`` may be similar to ``i``."""
 
     def __init__(self, members: list[tuple], num: int, den: int):
-        self.id = np.array([m[0] for m in members])
+        self.id = [m[0] for m in members]
         self.n = np.array([m[1] for m in members], np.int64)
         self.pos = np.array([m[2] for m in members], np.int64)
         self.part = [m[4] for m in members]
         self.num, self.den = num, den
-        bits = min(len(m[3]) for m in members)
-        self.bits = np.stack([self._folded(m[3], bits) for m in members])
-
-    @staticmethod
-    def _folded(raw: bytes, size: int) -> np.ndarray:
-        x = np.frombuffer(raw, np.uint64)
-        while len(x) * 8 > size:
-            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-        return x
+        bits = min(min(len(m[3]) for m in members), MOST_CELLS // 8)
+        self.bits = np.stack([np.frombuffer(folded(m[3], bits), np.uint64) for m in members])
 
     def may(self, i: int, j: np.ndarray) -> np.ndarray:
         total = self.n[i] + self.n[j]
@@ -233,49 +328,15 @@ class _List:
         return j[apart <= total - 2 * least]
 
 
-def _same_size(x: int, x_bytes: int, y: int, y_bytes: int) -> tuple[int, int]:
-    """Two bitmaps folded to the smaller one's size."""
-    while x_bytes > y_bytes:
-        x_bytes //= 2
-        x = (x & ((1 << 8 * x_bytes) - 1)) ^ (x >> 8 * x_bytes)
-    while y_bytes > x_bytes:
-        y_bytes //= 2
-        y = (y & ((1 << 8 * y_bytes) - 1)) ^ (y >> 8 * y_bytes)
-    return x, y
-
-
-def _pairs(lists: DataFrame, id_type: str, num: int, den: int, leaders: bool) -> DataFrame:
-    """Candidate pairs (a, b) of the lists (token, block, doc_id, n, pos, bits, part, side).
+def _pairs(lists: DataFrame, num: int, den: int, leaders: bool) -> DataFrame:
+    """Candidate pairs (a, b) of the lists (token, block, sig, n, pos, bits, part, side).
 
     With ``leaders``, a class is held against the leaders before it only, and a row with a ``token`` in place of a
     pair names each list in which pairs were left out. Else pairs of different parts are made, all of them.
     """
 
-    def small(token: int, members: list[tuple]) -> Iterator[tuple]:
-        """A few members in plain numbers: same bounds, without arrays."""
-        heads: list[tuple] = []
-        members = [(m[0], m[1], m[1] - m[2], m[3], int.from_bytes(m[3], "little"), m[4]) for m in members]
-        for i, (doc_id, n, rest, raw, bits, part) in enumerate(members):
-            near = False
-            for other in heads if leaders else members[:i]:
-                total = n + other[1]
-                least = -(-total * num // (num + den))
-                if min(rest, other[2]) < least or not leaders and (part[0] == other[5][0] or part[1] == other[5][1] != 2):
-                    continue
-                x, y = (bits, other[4]) if len(raw) == len(other[3]) else _same_size(bits, len(raw), other[4], len(other[3]))
-                if (x ^ y).bit_count() <= total - 2 * least:
-                    near = True
-                    yield doc_id, other[0], None
-            if not near:
-                heads.append(members[i])
-        if leaders and len(heads) < len(members):
-            yield None, None, token
-
     def of(token: int, members: list[tuple]) -> Iterator[tuple]:
-        members = sorted(members, key=lambda m: (m[2], m[0]))
-        if len(members) <= SMALL:
-            yield from small(token, members)
-            return
+        members = sorted({m[0]: m for m in members}.values(), key=lambda m: (m[2], m[0]))
         own = _List(members, num, den)
         if leaders:
             heads = np.empty(0, np.int64)
@@ -287,7 +348,8 @@ def _pairs(lists: DataFrame, id_type: str, num: int, den: int, leaders: bool) ->
             if len(heads) < len(members):
                 yield None, None, token
             return
-        part, side = np.array([p[0] for p in own.part]), np.array([p[1] for p in own.part])
+        names = {p: k for k, p in enumerate({p[0] for p in own.part})}
+        part, side = np.array([names[p[0]] for p in own.part]), np.array([p[1] for p in own.part])
         for i in range(1, len(members)):
             j = np.arange(i)
             j = j[(part[:i] != part[i]) & ((side[:i] != side[i]) | (side[i] == 2))]
@@ -295,186 +357,220 @@ def _pairs(lists: DataFrame, id_type: str, num: int, den: int, leaders: bool) ->
                 yield from ((own.id[i], own.id[k], None) for k in own.may(i, j))
 
     def run(batches):
-        key, members, out, id_pa = None, [], {}, None
+        key, members, out = None, [], {}
 
-        def made():
-            ordered = [(a, b, t) if a is None or a < b else (b, a, t) for a, b, t in out]
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in ordered], id_pa), pa.array([p[1] for p in ordered], id_pa), pa.array([p[2] for p in ordered], pa.int64())], ["a", "b", "token"])
+        def flushed():
+            found = [(a, b, t) if a is None or a < b else (b, a, t) for a, b, t in out]
+            out.clear()
+            return made(found, ["a", "b", "token"], [pa.binary(), pa.binary(), pa.int64()])
+
+        def ended():
+            if len(members) > 1:
+                for pair in of(key[0], members):
+                    out[pair] = None
+                    if len(out) >= 20_000:
+                        yield flushed()
 
         for batch in batches:
-            id_pa = batch.schema.field(2).type
-            for some in rows(batch, 4096):
+            for some in rows(batch, 1024):
                 for token, block, *m in some:
                     if (token, block) != key:
-                        if len(members) > 1:
-                            out.update(dict.fromkeys(of(key[0], members)))
+                        yield from ended()
                         key, members = (token, block), []
-                        if len(out) > 50_000:
-                            yield made()
-                            out.clear()
                     members.append((m[0], m[1], m[2], m[3], (m[4], m[5])))
-        if len(members) > 1:
-            out.update(dict.fromkeys(of(key[0], members)))
+        yield from ended()
         if out:
-            yield made()
+            yield flushed()
 
-    ordered = lists.select("token", "block", "doc_id", "n", "pos", "bits", "part", "side").repartition("token", "block").sortWithinPartitions("token", "block")
-    return ordered.mapInArrow(run, f"a {id_type}, b {id_type}, token long")
+    dealt = lists.select("token", "block", "sig", "n", "pos", "bits", "part", "side").repartition("token", "block").sortWithinPartitions("token", "block")
+    return dealt.mapInArrow(run, "a binary, b binary, token long")
 
 
-def _narrowed(pairs: DataFrame, reps: DataFrame, id_type: str, num: int, den: int) -> DataFrame:
-    """The pairs without those of large sets whose whole bitmaps differ too much."""
+def _narrowed(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The distinct pairs without those whose sizes or whole bitmaps differ too much."""
 
     def run(batches):
         for batch in batches:
-            for some in rows(batch, 512):
-                kept = []
-                for a, b, na, nb, wa, wb in some:
-                    x, y = _same_size(int.from_bytes(wa, "little"), len(wa), int.from_bytes(wb, "little"), len(wb))
-                    if (x ^ y).bit_count() <= most_apart(na + nb, num, den):
-                        kept.append((a, b))
+            for some in rows(batch, 1024):
+                kept = [(a, b) for a, b, na, nb, wa, wb in some if differing(wa, wb) <= most_apart(na + nb, num, den)]
                 if kept:
-                    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in kept], batch.schema.field(0).type), pa.array([k[1] for k in kept], batch.schema.field(1).type)], ["a", "b"])
+                    yield made(kept, ["a", "b"], [pa.binary(), pa.binary()])
 
-    of = lambda c: reps.select(F.col("class_id").alias(c), F.col("n").alias(f"n{c}"), F.coalesce("wide", "bits").alias(f"w{c}"), F.col("wide").isNotNull().alias(f"large_{c}"))
-    met = pairs.join(of("a"), "a").join(of("b"), "b")
-    large = F.col("large_a") & F.col("large_b")
-    return met.where(~large).select("a", "b").unionByName(met.where(large).select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, f"a {id_type}, b {id_type}"))
+    of = lambda c: classes.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"w{c}"))
+    met = pairs.select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
+    return met.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(run, "a binary, b binary")
 
 
-def _wanted(ids: DataFrame) -> np.ndarray:
+# --- verification -----------------------------------------------------------------------------------------------
+
+
+def _wanted(places: DataFrame) -> np.ndarray:
     """WANTED bits, set where an identifier's hash falls. At most WANTED / 64 rows come to the driver."""
-    place = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(WANTED)).alias("place"))
-    words = place.selectExpr("shiftright(place, 6) AS word", "shiftleft(1L, CAST(place % 64 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    bits = places.selectExpr("shiftright(place, 6) AS word", "shiftleft(1L, CAST(place % 64 AS INT)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
     out = np.zeros(WANTED // 64, np.int64)
-    for r in words.toLocalIterator():
+    for r in bits.toLocalIterator():
         out[r["word"]] = r["bits"]
     return out.view(np.uint64)
 
 
-def _texts(source: DataFrame, ids: DataFrame, id_type: str) -> DataFrame:
-    """The texts of some documents, and of a few others: a table of bits, broadcast, passes over most others."""
-    wanted = source.sparkSession.sparkContext.broadcast(_wanted(ids))
+def _fragments(source: DataFrame, wanted, order, pivots: np.ndarray, width: int) -> DataFrame:
+    """(sig, fragment, hashes): what some documents have in each fragment of the order, as sorted 64-bit numbers.
+
+    A table of bits, broadcast, passes over most documents that do not stand for a class with a candidate.
+    """
 
     def run(batches):
+        seen: set[bytes] = set()
         for batch in batches:
             place = batch.column("place").to_numpy(zero_copy_only=False)
             hit = (wanted.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1)
-            yield batch.filter(pa.array(hit.astype(bool))).select(["doc_id", "text"])
+            left = batch.filter(pa.array(hit.astype(bool)))
+            out, size = [], 0
+            for _, places, own in _sets(left.column("text"), order.value, width) if left.num_rows else ():
+                sig = xxhash.xxh3_128_digest(own.tobytes())
+                if sig in seen:
+                    continue
+                seen.add(sig)
+                cuts = [0, *np.searchsorted(places >> np.uint64(_HASH_BITS), pivots), len(own)]
+                for f, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                    if b > a:
+                        out.append((sig, f, np.sort(own[a:b]).tobytes()))
+                size += len(own)
+                if size >= 1 << 18:
+                    yield made(out, ["sig", "fragment", "hashes"], [pa.binary(), pa.int32(), pa.binary()])
+                    out, size = [], 0
+            if out:
+                yield made(out, ["sig", "fragment", "hashes"], [pa.binary(), pa.int32(), pa.binary()])
 
-    placed = source.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(WANTED)).alias("place"))
-    return placed.mapInArrow(run, f"doc_id {id_type}, text string")
+    return source.select("text", F.pmod(F.xxhash64("doc_id", "th"), F.lit(WANTED)).alias("place")).mapInArrow(run, "sig binary, fragment int, hashes binary")
 
 
-def _overlaps(met: DataFrame, id_type: str, classes, width: int) -> DataFrame:
-    """(a, b, na, nb, fragment, part) of pairs with their texts: the overlap within each fragment of the global order."""
+def _overlap(met: DataFrame) -> DataFrame:
+    """(a, b, fragment, part): the overlap of two sets within one fragment."""
 
     def run(batches):
-        held: dict = {}
-
-        def fragments(key, text):
-            if key not in held:
-                if len(held) >= 64:
-                    held.clear()
-                tokens = _ordered(shingles(text, width), classes.value)
-                # Each frequency class of the order is cut at the same places for all documents.
-                where = (tokens >> np.uint64(55)) % np.uint64(FRAGMENTS)
-                held[key] = len(tokens), [tokens[where == f] for f in range(FRAGMENTS)]
-            return held[key]
-
         for batch in batches:
-            id_pa = batch.schema.field(0).type
-            for some in rows(batch, 64):
-                out = []
-                for a, b, ta, tb in some:
-                    (na, fa), (nb, fb) = fragments(a, ta), fragments(b, tb)
-                    out += [(a, b, na, nb, f, len(np.intersect1d(fa[f], fb[f], assume_unique=True))) for f in range(FRAGMENTS)]
-                types = [id_pa, id_pa, pa.int64(), pa.int64(), pa.int32(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], ["a", "b", "na", "nb", "fragment", "part"])
-
-    return met.select("a", "b", "ta", "tb").mapInArrow(run, f"a {id_type}, b {id_type}, na long, nb long, fragment int, part long")
+            for some in rows(batch, 512):
+                out = [(a, b, f, len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))) for a, b, f, x, y in some]
+                yield made(out, ["a", "b", "fragment", "part"], [pa.binary(), pa.binary(), pa.int32(), pa.int64()])
 
+    return met.select("a", "b", "fragment", "ha", "hb").mapInArrow(run, "a binary, b binary, fragment int, part long")
 
-def _verified(pairs: DataFrame, source: DataFrame, id_type: str, classes, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that are similar, from overlaps that are counted by fragment and summed.
 
-    Texts travel, not sets: they are smaller, and an executor cuts a text that many pairs share once.
-    """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = store(_texts(source, ids, id_type), "texts")
-    met = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+def _verified(pairs: DataFrame, source: DataFrame, classes: DataFrame, order, pivots: np.ndarray, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that are similar, as overlaps of single fragments say that are summed for each pair."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    stand = classes.join(ids, "sig", "left_semi").select(F.pmod(F.xxhash64("doc_id", "th"), F.lit(WANTED)).alias("place"))
+    wanted = source.sparkSession.sparkContext.broadcast(_wanted(stand))  # WANTED bits
+    cut = store(_fragments(source, wanted, order, pivots, width), "fragments")
+    of = lambda c: cut.select(F.col("sig").alias(c), "fragment", F.col("hashes").alias(f"h{c}"))
+    met = pairs.join(of("a"), "a").join(of("b"), ["b", "fragment"])
     # Rows that repeat a document give the same part again: it counts once.
-    parts = _overlaps(met, id_type, classes, width).groupBy("a", "b", "na", "nb", "fragment").agg(F.max("part").alias("part"))
-    whole = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
-    out = store(whole.where(F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num).select("a", "b"), "links")
-    discard(texts)
+    parts = _overlap(met).groupBy("a", "b", "fragment").agg(F.max("part").alias("part"))
+    whole = parts.groupBy("a", "b").agg(F.sum("part").alias("both"))
+    of = lambda c: classes.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"))
+    sized = whole.join(of("a"), "a").join(of("b"), "b")
+    out = store(sized.where(F.col("both") * den >= (F.col("na") + F.col("nb") - F.col("both")) * num).select("a", "b"), "links")
+    discard(cut)
+    wanted.unpersist()
     return out
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) for each row: sets are linked from a similarity of num/den on.
+# --- the join ---------------------------------------------------------------------------------------------------
 
-    ``class_id`` is the smallest identifier with the same set, ``component_id`` the smallest that links lead to.
+
+def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 8, den: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Of each row (doc_id, th, n, sig), and of each class (sig, class_id, th, component).
+
+    ``th`` is the text's hash; class_id and th name the first document of a class, and ``component`` is the digest of
+    one class of those that links connect.
     """
     spark = df.sparkSession
-    source = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    source = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    profiles = store(_profiles(source, id_type, width, num, den), "profiles")
-    docs = profiles.where("row is null").drop("row", "counts")
-    classes = spark.sparkContext.broadcast(_sketch(profiles))  # SKETCH bytes
-    firsts = docs.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("wide").alias("wide"))
-    reps = store(firsts, "classes")
-
-    listed = store(_lists(source, id_type, classes, width, num, den), "postings")
-    several = listed.groupBy("token").agg(F.count("*").alias("members")).where("members > 1").select("token")
-    # Tasks skip sets on their own, so a document that does not stand for its class may have listed it.
-    # What it listed belongs to its class.
-    own = docs.select("doc_id", "sig").join(reps.select("sig", "class_id"), "sig").select("doc_id", "class_id").distinct()
-    full = listed.join(several, "token").join(own, "doc_id").groupBy("token", "class_id").agg(F.first("n").alias("n"), F.first("pos").alias("pos")).withColumnRenamed("class_id", "doc_id")
-    full = store(full, "lists")
-    discard(listed)
-    sizes = full.groupBy("token").agg(F.count("*").alias("size")).where("size > 1")
-    lists = store(full.join(sizes, "token"), "lists")
-    discard(full)
-
-    bits = reps.select(F.col("class_id").alias("doc_id"), "bits")
-    first = lists.join(bits, "doc_id").withColumns({"block": F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)), "part": F.lit(None).cast(id_type), "side": F.lit(None).cast("int")})
-    made = store(_pairs(first, id_type, num, den, True), "pairs")
-    # Pairs by distinct lists; then what whole bitmaps rule out goes.
-    pairs = store(_narrowed(made.where("token is null").select("a", "b").distinct(), reps, id_type, num, den), "pairs")
-    links = _verified(pairs, source, id_type, classes, width, num, den)
+    order = spark.sparkContext.broadcast(_counted(source, width))  # two arrays of CELLS bytes
+    profiles = store(_profiles(source, id_type, order, width, num, den), "profiles")
+    docs = profiles.where("levels is null").select("doc_id", "th", "n", "sig")
+    pivots = _pivots(profiles)
+    named = profiles.where("n > 0 and doc_id is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("m"), F.first("n").alias("n"), F.max("bits").alias("bits"))
+    classes = store(named.select("sig", "m.doc_id", "m.th", "n", "bits"), "classes")
+
+    postings = profiles.where("tokens is not null").select("sig", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "sig", "n", F.col("pos").cast("long").alias("pos"))
+    lists = store(_short_lists(postings, num, den), "lists")
+    rest = lists.where("b is null").select("token", F.col("a").alias("sig"), "n", "pos")
+    rest = rest.join(rest.groupBy("token").agg(F.count("*").alias("size")), "token")
+    bits = classes.select("sig", "bits")
+    first = rest.join(bits, "sig").withColumns({"block": F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / BLOCK)), "part": F.lit(None).cast("binary"), "side": F.lit(None).cast("int")})
+    led = store(_pairs(first, num, den, True), "pairs")
+    met = lists.where("b is not null").select("a", "b").unionByName(led.where("token is null").select("a", "b"))
+    pairs = store(_narrowed(met, classes, num, den), "pairs")
+    links = _verified(pairs, source, classes, order, pivots, width, num, den)
     found = components(links) if not links.isEmpty() else None
 
-    # Lists in which pairs were left out and that still hold several components: pairs of different components.
-    left_out = made.where("token is not null").select("token").unionByName(lists.where(F.col("size") > BLOCK).select("token")).distinct()
-    labelled = lists.join(left_out, "token", "left_semi")
+    # Long lists in which pairs were left out and that still hold several components: pairs of different components.
+    left_out = led.where("token is not null").select("token").unionByName(rest.where(F.col("size") > BLOCK).select("token")).distinct()
+    labelled = rest.join(left_out, "token", "left_semi")
     if found is not None:
-        labelled = labelled.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
+        labelled = labelled.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("part", F.coalesce("component", "sig")).drop("component")
     else:
-        labelled = labelled.withColumn("part", F.col("doc_id"))
+        labelled = labelled.withColumn("part", F.col("sig"))
     several = labelled.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
     open_ = labelled.join(several, "token", "left_semi").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    mine = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
+    mine = F.pmod(F.xxhash64("sig"), F.col("blocks"))
     # Each two blocks of a list meet once; within one block (side 2) all pairs count, between two only crossing ones.
-    met = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("mine", mine)
-    met = met.withColumn("block", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).withColumn("side", F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") < F.col("other")).cast("int")))
-    more = _pairs(met.join(bits, "doc_id"), id_type, num, den, False).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = store(_narrowed(more, reps, id_type, num, den), "pairs")
+    again = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("mine", mine)
+    again = again.withColumn("block", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).withColumn("side", F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") < F.col("other")).cast("int")))
+    more = store(_narrowed(_pairs(again.join(bits, "sig"), num, den, False).join(pairs, ["a", "b"], "left_anti"), classes, num, den), "pairs")
+    for done in (lists, led, pairs):
+        discard(done)
     if not more.isEmpty():
-        links = links.unionByName(_verified(more, source, id_type, classes, width, num, den))
-        found = components(links)
-    out = docs.join(reps.select("sig", "class_id"), "sig", "left")
+        further = _verified(more, source, classes, order, pivots, width, num, den)
+        if not further.isEmpty():
+            old, links = found, links.unionByName(further)
+            found = components(links)
+            if old is not None:
+                discard(old)
+    discard(more)
+    out = classes.select("sig", F.col("doc_id").alias("class_id"), "th")
     if found is not None:
-        out = out.join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
+        out = out.join(found.withColumnRenamed("node", "sig"), "sig", "left")
     else:
-        out = out.withColumn("component", F.lit(None).cast(id_type))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
+        out = out.withColumn("component", F.lit(None).cast("binary"))
+    return docs, out.withColumn("component", F.coalesce("component", "sig"))
+
+
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id) for each row: sets are linked from a similarity of num/den on.
+
+    ``class_id`` is the smallest identifier with the same set, ``component_id`` the smallest that links lead to.
+    """
+    docs, classes = classified(df, id_col, text_col, width, num, den)
+    least = classes.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = classes.join(least, "component").select("sig", "class_id", "component_id")
+    known = docs.where("sig is not null and doc_id is not null").join(named, "sig")
+    # Empty sets have no class, and a third of all rows may be such: they are kept out of the join.
+    none = docs.where("sig is null or doc_id is null").select("sig", "doc_id", "th", "n", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    return known.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """The rows of ``df`` whose identifier stands for their component, with all their columns."""
-    kept = join(df, id_col, text_col, width, num, den).where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return df.join(kept, df[id_col].eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of ``df`` for each component, that with the smallest identifier, with all its columns.
+
+    Rows without words or identifier are linked with nothing: all of them stay.
+    """
+    docs, classes = classified(df, id_col, text_col, width, num, den)
+    one = classes.groupBy("component").agg(F.min(F.struct("class_id", "th")).alias("m")).select(F.col("m.class_id").alias("_id"), F.col("m.th").alias("_th"))
+    free = docs.where("sig is null or doc_id is null").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    kept = store(one.unionByName(free).distinct(), "kept")
+    hashed = df.withColumn("_th_of_text", F.xxhash64(F.col(text_col)))
+    stay = hashed.join(kept, hashed[id_col].eqNullSafe(kept["_id"]) & (F.col("_th_of_text") == F.col("_th")), "left_semi")
+    # Rows that repeat both identifier and text: of those, one stays.
+    again = docs.join(one, (F.col("doc_id") == F.col("_id")) & (docs["th"] == F.col("_th")), "left_semi").groupBy("doc_id", "th").agg(F.count("*").alias("k")).where("k > 1")
+    again = store(again.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "kept")
+    if not again.isEmpty():
+        same = (F.col(id_col) == F.col("_id")) & (F.col("_th_of_text") == F.col("_th"))
+        stay = stay.join(again, same, "left_anti").unionByName(stay.join(again, same, "left_semi").dropDuplicates([id_col, "_th_of_text"]))
+    return stay.drop("_th_of_text")
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

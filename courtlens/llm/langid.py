@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import rows
+from .arrow import rows
 from .store import table
 
 #: Languages by family; a language that is not listed is a family of its own.

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import rows
+from .arrow import rows
 from .store import table
 
 #: Fixed wordings: short notices in public use, by license.

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import rows
+from .arrow import rows
 from .store import store, table
 
 #: Characters that normalisation deletes: blank, and \x09 to \x0D.

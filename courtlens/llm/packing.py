@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import wordbpe
-from .bpe import rows
+from .arrow import rows
 from .store import store, table
 
 CAPACITY, CLOSING_ID = 4096, 1

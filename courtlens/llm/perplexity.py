@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import rows
-from .jaccard import _mixed, _words
+from .arrow import rows
+from .shingles import mixed as _mixed
 from .store import store, table
 
 ORDER, SYMBOLS = 4, 64

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import rows
+from .arrow import rows
 from .store import table
 
 KINDS = ("email", "ip", "card", "phone")

@@ -23,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import codec, default_pattern, rows
+from .arrow import rows
+from .bpe import codec, default_pattern
 from .store import table
 
 ROW, LOT_TOKENS = 2048, 4 << 20

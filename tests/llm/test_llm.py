@@ -8,9 +8,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from courtlens.llm import bpe, jaccard, langid, licenses, lsm, packing, perplexity, pii, tokenpack, urlmodel, wordbpe
+from courtlens.llm import bpe, jaccard, langid, licenses, lsm, packing, perplexity, pii, shingles, tokenpack, urlmodel, wordbpe
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -321,10 +322,34 @@ def test_bitmaps_bound_the_difference_from_below():
     for n in (20, 300, 3000):
         a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
         b = np.unique(np.concatenate([a[n // 20 :], rng.integers(0, 2**63, n // 10, dtype=np.uint64)]))
-        x, y = (int.from_bytes(jaccard.bitmap(s, 9, 10), "little") for s in (a, b))
-        sizes = [len(jaccard.bitmap(s, 9, 10)) for s in (a, b)]
-        x, y = jaccard._same_size(x, sizes[0], y, sizes[1])
-        assert (x ^ y).bit_count() <= len(np.setxor1d(a, b))
+        assert jaccard.differing(jaccard.bitmap(a, 9, 10), jaccard.bitmap(b, 9, 10)) <= len(np.setxor1d(a, b))
+
+
+def test_word_hashes_do_not_depend_on_chunks(monkeypatch):
+    texts = [*EDGES, "thequickbrown foxjumpsover  the lazy doggggggggggggggg", " Ab\tCD\nlonglonglonglongword ", "aaaaaaabbbbbbb cc", "aaaaaa bbbbbbb ccccccc", "naïve É É"]
+    found, named = [], {}
+    for chunk in (1, 5, 7, 1 << 18):
+        monkeypatch.setattr(shingles, "CHUNK", chunk)
+        shingles._tables.cache_clear()
+        found.append({low + i: h[bounds[i] : bounds[i + 1]].tolist() for low, h, bounds in shingles.words(pa.array(texts)) for i in range(len(bounds) - 1)})
+    shingles._tables.cache_clear()
+    assert all(f == found[0] for f in found)
+    for i, t in enumerate(texts):
+        w = (t or "").encode().lower().split()
+        assert len(w) == len(found[0][i]) and all(named.setdefault(x, h) == h for x, h in zip(w, found[0][i], strict=True))
+    assert len(set(named.values())) == len(named)
+
+
+def test_near_dedup_keeps_one_row_of_each_component(spark):
+    rng = random.Random(12)
+    a, b, c = (words(rng, 60) for _ in range(3))
+    near = a + " tail"
+    table = [(1, a, "en"), (1, a, "en"), (1, a, "fr"), (0, near, "en"), (2, b, "en"), (2, c, "en"), (2, c, "en"), (3, c, "en"), (None, a, "en"), (4, None, "en"), (5, "", "en"), (4, None, "en")]
+    df = spark.createDataFrame([(i, t, g, 1, "x") for i, t, g in table], "doc_id long, text string, lang string, sig int, th string")
+    got = sorted(((r.doc_id, r.text) for r in jaccard.deduplicate(df).collect()), key=str)
+    assert got == sorted([(0, near), (2, b), (2, c), (None, a), (4, None), (4, None), (5, "")], key=str)
+    assert jaccard.deduplicate(df).columns == df.columns
+    assert jaccard.deduplicate(df.limit(0)).collect() == []
 
 
 # --- op9 ----------------------------------------------------------------------------------------------------------
