@@ -119,6 +119,7 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     def cut(batches):
         c, part, turns = wordbpe.codec(path), TaskContext.get().partitionId(), {}
+        c.clear()  # a worker's next task may be of other texts
         for batch in batches:
             for some in rows(batch, 64):
                 found = []

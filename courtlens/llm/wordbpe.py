@@ -2,7 +2,8 @@
 
 Latin texts in normal form are split at white space (no token crosses it) and each different word is encoded
 once; the merges run in tiktoken's core, over bytes with one more byte for the end of a word. All other texts
-go through the library itself. Strings of special tokens in a text are ordinary text.
+go through the library itself, as do texts that may hold the string of a special token: with the library's settings
+that string is its id.
 """
 
 from __future__ import annotations
@@ -14,10 +15,10 @@ import unicodedata
 
 import numpy as np
 import tiktoken
-import tokenizers
 
 END = b"\xff"  # stands for the end of a word; no UTF-8 text has this byte
-CACHE_ENTRIES = 400_000
+#: Words that a worker keeps the ids of, and their bytes at most: a few MB.
+CACHE_ENTRIES, CACHED_BYTES = 1 << 16, 24
 
 
 def default_path() -> str:
@@ -36,8 +37,7 @@ def byte_letters() -> dict[str, int]:
 class WordCodec(dict):
     def __init__(self, path: str):
         super().__init__()
-        self.library = tokenizers.Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.path = path
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         letters, suffix = byte_letters(), model["end_of_word_suffix"]
@@ -51,18 +51,24 @@ class WordCodec(dict):
         self.split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{of('L')}]+|[{of('N')}]|[^\\s{of('L')}{of('N')}]+")
         self.other = re.compile("[^\x00-\x1b\x20-ɏ]")
 
+    @functools.cached_property
+    def library(self):
+        import tokenizers
+
+        return tokenizers.Tokenizer.from_file(self.path)
+
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
         piece = self.core.encode_single_piece
         out = np.array([i for x in self.split.findall(word) for i in piece(x.encode() + END)], "<u4").tobytes()
-        if len(word) <= 64:
+        if len(word) <= CACHED_BYTES:
             self[word] = out
         return out
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if not self.other.search(text) and unicodedata.is_normalized("NFC", text):
+        if "<|" not in text and not self.other.search(text) and unicodedata.is_normalized("NFC", text):
             words = text.lower().split()
             if len(words) and max(map(len, words)) < 4096:
                 return b"".join(map(self.__getitem__, words))
