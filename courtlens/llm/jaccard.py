@@ -50,6 +50,8 @@ BLOCK = 2048
 #: Lists of so many classes or fewer give all their pairs.
 SMALL = 12
 FRAGMENTS = 8
+#: Tasks that share the rows of one list while its size is looked up.
+SALTS = 32
 #: Most cells of a parity bitmap that goes with each row of a long list, and the bits of the table that tells which documents verification reads.
 MOST_CELLS, WANTED = 1024, 1 << 24
 _HASH_BITS = 52
@@ -498,7 +500,9 @@ def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     postings = profiles.where("tokens is not null").select("sig", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "sig", "n", F.col("pos").cast("long").alias("pos"))
     lists = store(_short_lists(postings, num, den), "lists")
     rest = lists.where("b is null").select("token", F.col("a").alias("sig"), "n", "pos")
-    rest = rest.join(rest.groupBy("token").agg(F.count("*").alias("size")), "token")
+    # A very long list is dealt out over several tasks.
+    sizes = rest.groupBy("token").agg(F.count("*").alias("size")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rest = rest.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")).join(sizes, ["token", "salt"]).drop("salt")
     bits = classes.select("sig", "bits")
     first = rest.join(bits, "sig").withColumns({"block": F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / BLOCK)), "part": F.lit(None).cast("binary"), "side": F.lit(None).cast("int")})
     led = store(_pairs(first, num, den, True), "pairs")
