@@ -6,7 +6,9 @@ spelled digits, then ``at`` and ``dot`` in words or brackets. The same patterns
 their spans are mapped back to source characters. Plain spans stay; mapped ones are added where no plain span of
 their kind holds them already.
 
-All spans are in code points, end exclusive. Every search is linear in the text.
+All spans are in code points, end exclusive. Every search is linear in the text: a disguise has at most eight blanks
+on either side of a sign, so none of them looks further, and spans are compared in their order. ``x @ host.org`` counts
+as it stands; the bare word ``at`` only where the name or the host tells that it is an address.
 
 Edge cases: a null text is the empty text, without spans; repeated rows are judged alike; an identifier that
 spans a rewritten part is reported with that whole part; columns other than the named ones are not read.
@@ -123,33 +125,51 @@ def _spelled(text: str) -> Iterator[tuple[int, int, str]]:
 
 
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_AT = re.compile(rf"\s*{_OPEN}\s*(?:at|@|arroba)\s*{_CLOSE}\s*|(?P<bare>\s+(?:at|arroba)\s+|\s+@\s*|@\s+)|_at_|@", re.IGNORECASE)
-_HIDDEN_DOT = rf"\s*{_OPEN}\s*(?:{_POINT}|\.)\s*{_CLOSE}\s*|\s+(?:{_POINT})\s+|_dot_"
+_ANY, _SOME = r"\s{0,8}", r"\s{1,8}"
+_AT = re.compile(rf"{_ANY}{_OPEN}{_ANY}(?:at|@|arroba){_ANY}{_CLOSE}{_ANY}|(?P<bare>{_SOME}(?:at|arroba){_SOME})|{_SOME}@{_ANY}|@{_SOME}|_at_|@", re.IGNORECASE)
+_HIDDEN_DOT = rf"{_ANY}{_OPEN}{_ANY}(?:{_POINT}|\.){_ANY}{_CLOSE}{_ANY}|{_SOME}(?:{_POINT}){_SOME}|_dot_"
 _ANY_HIDDEN_DOT = re.compile(_HIDDEN_DOT, re.IGNORECASE)
-_ANY_HIDDEN_AT = re.compile(rf"{_OPEN}\s*(?:at|@|arroba)\s*{_CLOSE}|\s(?:at|arroba)\s+[a-z0-9-]+\.[a-z0-9]|\s@|@\s|_at_", re.IGNORECASE)
+_DOT_BEFORE = re.compile(rf"(?:{_HIDDEN_DOT})\Z", re.IGNORECASE)
+#: Characters of the longest hidden dot.
+_DOT_LENGTH = 40
+_ANY_HIDDEN_AT = re.compile(rf"{_OPEN}{_ANY}(?:at|@|arroba){_ANY}{_CLOSE}|\s(?:at|arroba){_SOME}[a-z0-9-]+\.[a-z0-9]|\s@|@\s|_at_", re.IGNORECASE)
 _HOST = re.compile(rf"[A-Za-z0-9-]+(?:(?:{_HIDDEN_DOT}|\.)[A-Za-z0-9-]+)+", re.IGNORECASE)
-_BEFORE = re.compile(rf"(?:[A-Za-z0-9%+-][A-Za-z0-9._%+-]*(?:{_HIDDEN_DOT}))*[A-Za-z0-9._%+-]+\Z", re.IGNORECASE)
 _HIDDEN_IP = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_HIDDEN_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.IGNORECASE)
-#: Characters before a disguised ``at`` among which its local part is sought.
-LOCAL_PART = 320
+_TELLING = re.compile(r"[0-9._]")
+
+
+def _local_before(text: str, free: int, end: int) -> int:
+    """Where the local part that ends at ``end`` starts, over hidden dots; ``end`` where there is none."""
+    start = at = end
+    while True:
+        while at > free and text[at - 1] in _LOCAL:
+            at -= 1
+        if at == start:
+            return start if start == end else after
+        start = after = at
+        low = max(free, at - _DOT_LENGTH)
+        dot = _DOT_BEFORE.search(text, low, at)
+        if not dot:
+            return start
+        start = at = dot.start()
 
 
 def _words(text: str) -> Iterator[tuple[int, int, str]]:
     dots = bool(_ANY_HIDDEN_DOT.search(text))
     if not dots and not _ANY_HIDDEN_AT.search(text):
         return
-    edits = []
+    edits: list[tuple[int, int, str]] = []
     free = 0
     for m in _AT.finditer(text):
-        low = max(free, m.start() - LOCAL_PART)
         host = _HOST.match(text, m.end())
-        local = host and _BEFORE.search(text[low : m.start()])
-        if not local:
+        if not host or m.start() <= free:
+            continue
+        start = _local_before(text, free, m.start())
+        if start == m.start():
             continue
-        name, site = local.group(), host.group()
-        start = low + local.start()
+        name, site = text[start : m.start()], host.group()
         hidden = _ANY_HIDDEN_DOT.search(site) is not None
-        telling = re.search(r"[A-Za-z]", name) and re.search(r"[0-9._]", name)
+        telling = _TELLING.search(name) and any(c.isalpha() for c in name)
         if m["bare"] and not hidden and not telling:
             continue
         free = host.end()
@@ -157,10 +177,11 @@ def _words(text: str) -> Iterator[tuple[int, int, str]]:
         if to != text[start:free]:
             edits.append((start, free, to))
     if dots:
-        taken = [e[:2] for e in edits]
+        taken = [e[:2] for e in edits]  # in order, without overlaps
         for m in _HIDDEN_IP.finditer(text):
             to = _ANY_HIDDEN_DOT.sub(".", m.group())
-            if to != m.group() and not any(a < m.end() and m.start() < b for a, b in taken):
+            near = bisect_right(taken, (m.end() - 1, len(text)))
+            if to != m.group() and not (near and taken[near - 1][1] > m.start()):
                 edits.append((*m.span(), to))
     yield from sorted(edits)
 
@@ -204,10 +225,13 @@ def spans(text: str) -> list[tuple[str, int, int, bool]]:
             now = steps[-1].text
     found = {(*s, True) for s in base}
     if steps:
+        # Plain spans of a kind do not overlap: only the last one that starts before a mapped one can hold it.
+        of = {k: sorted((a, b) for kind, a, b in base if kind == k) for k in KINDS}
         for kind, start, end in plain(now):
             for step in reversed(steps):
                 start, end = step.back(start, end)
-            if not any(k == kind and a <= start and end <= b for k, a, b in base):
+            near = bisect_right(of[kind], (start, len(text) + 1))
+            if not (near and of[kind][near - 1][1] >= end):
                 found.add((kind, start, end, False))
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -273,5 +297,6 @@ def op5_pii(spark, sf_dir: str) -> DataFrame:
         *(F.size(F.filter(every, of_kind(k))).cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(joined(F.filter(every, lambda s: s["plain"])), 256).alias("base_sha256"),
         joined(every).alias("spans"),
+        F.size(every).cast("long").alias("n_spans"),
         *(F.size(F.filter(every, of_kind(k, True))).cast("long").alias(f"n_base_{k}") for k in KINDS),
     )
