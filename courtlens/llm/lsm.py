@@ -10,7 +10,7 @@ A hot group therefore reaches its shard as one row a run, whatever its size, and
 memtable and the number of runs. Equal digests with different bytes stay apart as variants.
 
 Edge cases: a null text is the empty text; a null identifier sorts behind all others; rows that repeat both
-identifier and text of the row that stays are marked as kept like it; an empty table gives an empty index;
+identifier and size of the row that stays are marked as kept like it, but ``deduplicate`` keeps one of them; an empty table gives an empty index;
 columns other than the named two are not read.
 """
 
@@ -51,20 +51,22 @@ class Bloom:
 
 
 class Entry:
-    """One text: the best (code points, identifier) so far, how many rows have it, and its bytes."""
+    """One text: the best (code points, identifier) so far, how many rows have it, how many are as good, and its bytes."""
 
-    __slots__ = ("size", "key", "count", "data")
+    __slots__ = ("size", "key", "count", "ties", "data")
 
-    def __init__(self, size, key, count, data):
-        self.size, self.key, self.count, self.data = size, key, count, data
+    def __init__(self, size, key, count, data, ties=1):
+        self.size, self.key, self.count, self.ties, self.data = size, key, count, ties, data
 
     def rank(self):
         return (-self.size, self.key is None, self.key)
 
     def take(self, other: Entry) -> None:
         self.count += other.count
-        if other.rank() < self.rank():
-            self.size, self.key = other.size, other.key
+        if other.rank() == self.rank():
+            self.ties += other.ties
+        elif other.rank() < self.rank():
+            self.size, self.key, self.ties = other.size, other.key, other.ties
 
 
 def settle(variants: list[Entry], new: Entry) -> bool:
@@ -147,9 +149,9 @@ def _batches(found: Iterator[tuple], names: list[str], types: list[pa.DataType],
 
 
 def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = lambda text: F.sha2(text, 256), memtable_bytes: int = MEMTABLE_BYTES, most_runs: int = MOST_RUNS) -> DataFrame:
-    """(digest, variant, keep_id, keep_size, group_size, data): one row for each different normalised text.
+    """(digest, variant, keep_id, keep_size, group_size, ties, data): one row for each different normalised text.
 
-    ``data`` holds the bytes only where several texts share a digest.
+    ``ties`` is the number of rows with the identifier and size that stay, 1 unless rows repeat them; ``data`` holds the bytes only where several texts share a digest.
     """
     id_type = df.schema[id_col].dataType.simpleString()
     norm = normalised(F.col(text_col))
@@ -165,13 +167,13 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
                 for some in rows(batch):
                     for d, size, key, data in some:
                         for x, e in index.put(d, Entry(size, key, 1, data)):
-                            yield x, e.size, e.key, e.count, e.data
+                            yield x, e.size, e.key, e.count, e.ties, e.data
             for x, e in index.compact():
-                yield x, e.size, e.key, e.count, e.data
+                yield x, e.size, e.key, e.count, e.ties, e.data
 
         first = next(it := found(), None)
         if first is not None:
-            yield from _batches(_chain(first, it), ["digest", "size", "key", "count", "data"], [pa.string(), pa.int64(), key_type, pa.int64(), pa.binary()])
+            yield from _batches(_chain(first, it), ["digest", "size", "key", "count", "ties", "data"], [pa.string(), pa.int64(), key_type, pa.int64(), pa.int64(), pa.binary()])
 
     def shard(batches):
         key_type = None
@@ -182,24 +184,24 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
 
             def out():
                 for no, v in enumerate(sorted(variants, key=Entry.rank)):
-                    yield at, no, v.key, v.size, v.count, v.data if len(variants) > 1 else None
+                    yield at, no, v.key, v.size, v.count, v.ties, v.data if len(variants) > 1 else None
 
             for batch in batches:
                 key_type = batch.schema.field(2).type
                 for some in rows(batch):
-                    for d, size, key, count, data in some:
+                    for d, size, key, count, ties, data in some:
                         if d != at:
                             yield from out()
                             at, variants = d, []
-                        settle(variants, Entry(size, key, count, data))
+                        settle(variants, Entry(size, key, count, data, ties))
             yield from out()
 
         first = next(it := found(), None)
         if first is not None:
-            yield from _batches(_chain(first, it), ["digest", "variant", "keep_id", "keep_size", "group_size", "data"], [pa.string(), pa.int32(), key_type, pa.int64(), pa.int64(), pa.binary()])
+            yield from _batches(_chain(first, it), ["digest", "variant", "keep_id", "keep_size", "group_size", "ties", "data"], [pa.string(), pa.int32(), key_type, pa.int64(), pa.int64(), pa.int64(), pa.binary()])
 
-    runs = source.mapInArrow(memtables, f"digest string, size long, key {id_type}, count long, data binary")
-    return runs.repartition("digest").sortWithinPartitions("digest").mapInArrow(shard, f"digest string, variant int, keep_id {id_type}, keep_size long, group_size long, data binary")
+    runs = source.mapInArrow(memtables, f"digest string, size long, key {id_type}, count long, ties long, data binary")
+    return runs.repartition("digest").sortWithinPartitions("digest").mapInArrow(shard, f"digest string, variant int, keep_id {id_type}, keep_size long, group_size long, ties long, data binary")
 
 
 def _chain(first, rest):
@@ -222,10 +224,22 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest
     return joined.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("size") == F.col("keep_size"))).alias("kept"), "digest")
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns."""
-    index = store(build_index(df, id_col, text_col), "lsm").select(F.col("keep_id").alias("_keep_id"), F.col("keep_size").alias("_keep_size"))
-    return df.join(index, df[id_col].eqNullSafe(index["_keep_id"]) & (F.coalesce(F.length(df[text_col]), F.lit(0)) == index["_keep_size"]), "left_semi")
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = lambda text: F.sha2(text, 256), **index) -> DataFrame:
+    """The rows of ``df`` that stay, with all their columns: exactly one for each different normalised text."""
+    found = store(build_index(df, id_col, text_col, digest, **index), "lsm")
+    hashed = df.withColumns({"_digest_of_text": digest(normalised(F.col(text_col))), "_size_of_text": F.coalesce(F.length(text_col), F.lit(0))})
+
+    def same(of: DataFrame):
+        norm = normalised(F.col(text_col)).cast("binary")
+        return F.col(id_col).eqNullSafe(of["_id"]) & (F.col("_digest_of_text") == of["_digest"]) & (F.col("_size_of_text") == of["_size"]) & (of["_data"].isNull() | (of["_data"] == norm))
+
+    stay = found.select(F.col("keep_id").alias("_id"), F.col("digest").alias("_digest"), F.col("keep_size").alias("_size"), F.col("data").alias("_data"), "ties")
+    kept = hashed.join(stay.drop("ties"), same(stay), "left_semi")
+    again = stay.where("ties > 1").drop("ties")
+    if not again.isEmpty():  # rows that repeat both identifier and text: of those, one stays
+        one = kept.join(again, same(again), "left_semi").withColumn("_text_of_row", normalised(F.col(text_col))).dropDuplicates([id_col, "_text_of_row"]).drop("_text_of_row")
+        kept = kept.join(again, same(again), "left_anti").unionByName(one)
+    return kept.drop("_digest_of_text", "_size_of_text")
 
 
 def op2_lsm_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -72,6 +72,20 @@ def test_exact_dedup(spark, collide):
     assert lsm.assign(docs(spark, texts).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_exact_dedup_keeps_one_row_of_each_text(spark, collide):
+    from pyspark.sql import functions as F
+
+    table = [(0, "ab"), (1, "ab"), (1, "cd"), (1, "cd"), (1, "c d"), (1, "cd "), (2, None), (2, ""), (None, "x"), (None, "x"), (3, "x" * 9)]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(table)], "doc_id long, text string, ties int").repartition(3)
+    how = {"digest": lambda t: F.substring(F.sha2(t, 256), 1, 1), "memtable_bytes": 300, "most_runs": 2} if collide else {}
+    got = lsm.deduplicate(df, **how)
+    assert got.columns == df.columns
+    found = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(found) == 5 and {(0, "ab"), (None, "x"), (3, "x" * 9)} < set(found) and len(set(found) & {(1, "c d"), (1, "cd ")}) == 1 and len(set(found) & {(2, None), (2, "")}) == 1
+    assert lsm.deduplicate(df.limit(0)).collect() == []
+
+
 def test_merge_index_finds_flushed_rows():
     index = lsm.MergeIndex(memtable_bytes=500, most_runs=3)
     out = []
@@ -430,30 +444,75 @@ def test_plain_counts_of_a_text():
         assert perplexity.plain_counts(t) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(covered)), repr(t)
 
 
-def test_model_is_a_distribution():
-    text = "the cat sat on the mat and the dog sat on the log " * 5
-    codes, n = np.unique(perplexity.grams(text), return_counts=True)
-    m = perplexity.KneserNey(codes, n)
-    for context in (perplexity.grams("the cat")[-1], perplexity.grams("zzqx")[-1], 0):
-        following = ((int(context) & 0x3FFFF) << 6) | np.arange(64)
-        assert abs(np.exp(m.log_probabilities(following.astype(np.int64))).sum() - 1) < 1e-3
+def _kneser_ney(texts, order):
+    """p(symbol | context) by the textbook, over strings."""
+    pad = "\0" * (order - 1)
+    top = Counter(t[i - order + 1 : i + 1] for t in (pad + t for t in texts) for i in range(order - 1, len(t)))
+    levels = {order: top}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    cut = {k: perplexity.discounts([sum(c == i for c in levels[k].values()) for i in (1, 2, 3, 4)]) for k in levels}
+
+    def p(context, symbol):
+        k = len(context) + 1
+        lower = p(context[1:], symbol) if context else 1 / perplexity.SYMBOLS
+        own = {g: n for g, n in levels[k].items() if g[:-1] == context}
+        if not own:
+            return lower
+        n = own.get(context + symbol, 0)
+        total = sum(own.values())
+        return (n - (cut[k][min(n, 3) - 1] if n else 0)) / total + sum(cut[k][min(c, 3) - 1] for c in own.values()) / total * lower
+
+    return p
+
+
+@pytest.mark.parametrize("shard_bytes", [1, 1 << 25])
+def test_perplexities_are_those_of_brute_force(spark, monkeypatch, shard_bytes):
+    monkeypatch.setattr(perplexity, "SHARD_BYTES", shard_bytes)
+    monkeypatch.setattr(perplexity, "BUFFER", 200)
+    rng = random.Random(14)
+    texts = [" ".join(rng.choices("the cat sat on a mat é 中文 💡 zzq".split(), k=rng.randint(1, 40))) for _ in range(24)] + [None, ""]
+    df = docs(spark, texts, {i: "fr" if i % 2 else "en" for i in range(len(texts))}).repartition(3)
+    halves = {r.doc_id: (r.half, r.lang) for r in perplexity._source(df, "doc_id", "text", "lang").collect()}
+    models = {(h, g): _kneser_ney([texts[i] for i, x in halves.items() if x == (h, g) and texts[i]], perplexity.ORDER) for h, g in set(halves.values())}
+    got = {r.doc_id: r for r in perplexity.judge(df).collect()}
+    for i, (half, lang) in halves.items():
+        if not texts[i]:
+            assert got[i].perplexity is None
+            continue
+        p, t = models[1 - half, lang], "\0" * (perplexity.ORDER - 1) + texts[i]
+        want = np.exp(-np.mean([np.log(p(t[k - perplexity.ORDER + 1 : k], t[k])) for k in range(perplexity.ORDER - 1, len(t))]))
+        assert got[i].perplexity == pytest.approx(want, rel=1e-4)
 
 
 def test_quality_keeps_prose_and_rejects_noise(spark):
     rng = random.Random(12)
     vocabulary = words(rng, 300, "theandorsi").split()
-    good = [" ".join(rng.choices(vocabulary, k=rng.randint(40, 200))) for _ in range(80)]
-    noise = ["$$$ " * 300 + "a b c d e f g h i j"]
+    terms = ["".join(rng.choices("theandorsi", k=80)) for _ in range(10)]
+    good = [" ".join([*rng.choices(vocabulary, k=rng.randint(40, 200)), *rng.sample(terms, 2)]) for _ in range(80)]
+    codes = " ".join("".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", k=30)) for _ in range(30))
+    regular = " ".join(terms)
+    noise = ["$$$ " * 300 + "a b c d e f g h i j", codes, regular]
     df = docs(spark, [*good, *noise, None, "", "too short"], {0: None}).withColumnRenamed("source", "kept")
     got = {r.doc_id: r for r in perplexity.judge(df).collect()}
-    assert all(got[i].kept for i in range(1, 80)) and got[0].kept is not None
-    assert all(r.kept == (not r.base_failed and (r.n_words == 0 or r.lower <= r.perplexity <= r.upper)) for r in got.values())
-    narrow = perplexity.judge(df, below=0.0, above=0.0).where("kept").count()
-    assert narrow < 10
-    assert all(got[i].base_failed and not got[i].kept for i in (80, 81, 82, 83))
+    assert all(got[i].kept for i in range(80)) and got[0].perplexity is None
+    assert all(r.kept == (not r.base_failed and (r.perplexity is None or r.lower <= r.perplexity <= r.upper)) for r in got.values())
+    assert got[81].perplexity > got[81].upper and not got[81].base_failed and got[82].perplexity < got[82].lower
+    assert all(not got[i].kept for i in range(80, 86)) and all(got[i].base_failed for i in (80, 83, 84, 85))
     assert perplexity.judge(docs(spark, [])).collect() == []
 
 
+def test_rows_are_accepted_by_their_own_text(spark):
+    rng = random.Random(15)
+    vocabulary = words(rng, 300, "theandorsi").split()
+    prose = [" ".join(rng.choices(vocabulary, k=90)) for _ in range(30)]
+    table = [*((i, t, "en") for i, t in enumerate(prose)), (1, "bad", "en"), (1, prose[1], "en"), (None, prose[2], None), (None, None, None)]
+    df = spark.createDataFrame([(*r, 1) for r in table], "doc_id long, text string, lang string, th int")
+    got = perplexity.accept(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([*enumerate(prose), (1, prose[1]), (None, prose[2])], key=str)
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------
 def test_pipeline_on_a_small_table(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
