@@ -111,17 +111,31 @@ def _merged(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class _Counter:
-    """The n-grams of one model, as far as a task has seen them."""
+    """The n-grams of one model, as far as a task has seen them. What is new is merged when it is as much as what is held."""
 
     def __init__(self):
         self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = self.held = 0
 
     def add(self, symbols: np.ndarray, at: np.ndarray) -> None:
-        self.parts.append(_merged(np.stack([symbols[at - j] for j in reversed(range(ORDER))]), np.ones(len(at), np.int64)))
+        """Count the n-grams that end at some places."""
+        h = mixed(_sums(symbols, slice(ORDER - 1, len(symbols)), ORDER))[at - ORDER + 1]
+        order = np.argsort(h)
+        h = h[order]
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        one = at[order[starts]]
+        self.take(np.stack([symbols[one - j] for j in reversed(range(ORDER))]), np.diff(np.append(starts, len(h))))
+
+    def take(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((grams, counts))
+        self.size += len(counts)
+        if self.size - self.held > max(self.held, MOST_HELD // 8):
+            self.settled()
 
     def settled(self) -> tuple[np.ndarray, np.ndarray]:
         if len(self.parts) > 1:
             self.parts = [_merged(np.concatenate([g for g, _ in self.parts], axis=1), np.concatenate([c for _, c in self.parts]))]
+        self.size = self.held = len(self.parts[0][1])
         return self.parts[0]
 
 
@@ -149,7 +163,7 @@ def gram_counts(source: DataFrame) -> DataFrame:
                 inner[(starts[:, None] - 1 - np.arange(ORDER - 1)).ravel()] = False
                 sums.setdefault(key, _Counter()).add(symbols, np.flatnonzero(inner))
             held.clear()
-            return sum(c.settled()[0].shape[1] for c in sums.values())
+            return sum(c.size for c in sums.values())
 
         def sent():
             for (lang, half), counter in sums.items():
@@ -180,7 +194,7 @@ def gram_counts(source: DataFrame) -> DataFrame:
         yield from sent()
 
     def merge(batches):
-        key, counter, fresh = None, _Counter(), 0
+        key, counter = None, _Counter()
 
         def ended():
             if key is not None:
@@ -192,12 +206,8 @@ def gram_counts(source: DataFrame) -> DataFrame:
                 for *group, grams, counts in some:
                     if tuple(group) != key:
                         yield from ended()
-                        key, counter, fresh = tuple(group), _Counter(), 0
-                    counter.parts.append((_matrix(grams), np.frombuffer(zlib.decompress(counts), "<i8")))
-                    fresh += len(counter.parts[-1][1])
-                    if fresh >= MOST_HELD:
-                        counter.settled()
-                        fresh = 0
+                        key, counter = tuple(group), _Counter()
+                    counter.take(_matrix(grams), np.frombuffer(zlib.decompress(counts), "<i8"))
         yield from ended()
 
     types = "lang string, half int, bucket int, grams binary, counts binary"
@@ -299,13 +309,20 @@ class Sorted:
         self.first = np.searchsorted(self.h[:-1], np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and whether there are any."""
-        at = self.first[h >> self.shift]
-        behind = np.flatnonzero(self.h[at] < h)
+        """Numbers and whether there are any. Each different hash is looked up once, in order, as the array lies in memory."""
+        order = np.argsort(h)
+        own = h[order]
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = own[1:] != own[:-1]
+        own = own[fresh]
+        at = self.first[own >> self.shift]
+        behind = np.flatnonzero(self.h[at] < own)
         while len(behind):
             at[behind] += 1
-            behind = behind[self.h[at[behind]] < h[behind]]
-        return self.x[at], self.h[at] == h
+            behind = behind[self.h[at[behind]] < own[behind]]
+        which = np.empty(len(h), np.int32)
+        which[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        return self.x[at][which], (self.h[at] == own)[which]
 
 
 class Shard(NamedTuple):
@@ -332,21 +349,19 @@ class Model:
         sizes = np.array([len(t) for t in own])
         at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
         kinds = {m: n for n, m in enumerate(dict.fromkeys(models[i] for i in known))}
-        kind = np.repeat([kinds[models[i]] for i in known], sizes)
+        kind = np.repeat(np.array([kinds[models[i]] for i in known], np.int32), sizes)
         seed = np.array([self.seeds[m] for m in kinds], np.uint64)[kind]
-        single = np.empty(len(at))
-        for m, n in kinds.items():
-            base, mine = self.singles[m], np.flatnonzero(kind == n)
-            found = np.minimum(np.searchsorted(base.symbols, symbols[at[mine]]), len(base.symbols) - 1)
-            single[mine] = np.where(base.symbols[found] == symbols[at[mine]], base.logp[found], base.other)
-        score = np.empty(len(at))
+        score = np.zeros(len(at))
         if len(self.shards) == 1:
-            score[:] = _scored(_value(self.shards[0], True), symbols, at, seed, single)
+            open_ = _scored(_value(self.shards[0], True), symbols, at, seed, score, np.arange(len(at)))
         else:
             shard = np.stack([self.places[m] for m in kinds])[kind, symbols[at - 1] % BUCKETS]
-            for n, s in enumerate(self.shards):
-                if len(mine := np.flatnonzero(shard == n)):
-                    score[mine] = _scored(_value(s, False), symbols, at[mine], seed[mine], single[mine])
+            open_ = np.concatenate([_scored(_value(s, False), symbols, at, seed, score, mine) for n, s in enumerate(self.shards) if len(mine := np.flatnonzero(shard == n))])
+        for m, n in kinds.items():
+            base, mine = self.singles[m], open_[kind[open_] == n]
+            one = symbols[at[mine]]
+            found = np.minimum(np.searchsorted(base.symbols, one), len(base.symbols) - 1)
+            score[mine] += np.where(base.symbols[found] == one, base.logp[found], base.other)
         out[known] = np.add.reduceat(score, np.cumsum(sizes) - sizes) / sizes
         return out
 
@@ -359,20 +374,20 @@ def _value(shard, keep: bool) -> Shard:
     return value
 
 
-def _scored(shard: Shard, symbols: np.ndarray, at: np.ndarray, seed: np.ndarray, single: np.ndarray) -> np.ndarray:
-    """Log probabilities of the symbols at some places: the longest known n-gram, and the weights of longer contexts."""
-    score = np.zeros(len(at))
-    open_ = np.arange(len(at))
+def _scored(shard: Shard, symbols: np.ndarray, at: np.ndarray, seed: np.ndarray, score: np.ndarray, open_: np.ndarray) -> np.ndarray:
+    """Add to the scores of some places: the log probability of the longest known n-gram, and the weights of longer contexts.
+
+    Gives the places of which only the single symbol is left.
+    """
     for k in range(ORDER, 1, -1):
         x, hit = shard.grams.find(keys(_sums(symbols, at[open_], k), seed[open_], k))
         score[open_[hit]] += x[hit]
         open_ = open_[~hit]
         if not len(open_):
-            return score
+            break
         x, hit = shard.contexts.find(keys(_sums(symbols, at[open_] - 1, k - 1), seed[open_], k - 1))
         score[open_[hit]] += x[hit]
-    score[open_] += single[open_]
-    return score
+    return open_
 
 
 def fit(source: DataFrame) -> tuple[Model, DataFrame]:
