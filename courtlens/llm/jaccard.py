@@ -50,7 +50,7 @@ BLOCK = 2048
 #: Lists of so many classes or fewer give all their pairs.
 SMALL = 12
 FRAGMENTS = 8
-#: Tasks that share the rows of one list while its size is looked up.
+#: Shares of a list's rows, for joins with what is known of the list.
 SALTS = 32
 #: Most cells of a parity bitmap that goes with each row of a long list, and the bits of the table that tells which documents verification reads.
 MOST_CELLS, WANTED = 1024, 1 << 24
@@ -500,9 +500,10 @@ def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     postings = profiles.where("tokens is not null").select("sig", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "sig", "n", F.col("pos").cast("long").alias("pos"))
     lists = store(_short_lists(postings, num, den), "lists")
     rest = lists.where("b is null").select("token", F.col("a").alias("sig"), "n", "pos")
-    # A very long list is dealt out over several tasks.
-    sizes = rest.groupBy("token").agg(F.count("*").alias("size")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rest = rest.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")).join(sizes, ["token", "salt"]).drop("salt")
+    # What is known of a list is joined to shares of it: a very long list is dealt out over several tasks.
+    shares = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    sizes = rest.groupBy("token").agg(F.count("*").alias("size")).select("token", "size", shares)
+    rest = rest.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")).join(sizes, ["token", "salt"])
     bits = classes.select("sig", "bits")
     first = rest.join(bits, "sig").withColumns({"block": F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / BLOCK)), "part": F.lit(None).cast("binary"), "side": F.lit(None).cast("int")})
     led = store(_pairs(first, num, den, True), "pairs")
@@ -513,13 +514,13 @@ def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     # Long lists in which pairs were left out and that still hold several components: pairs of different components.
     left_out = led.where("token is not null").select("token").unionByName(rest.where(F.col("size") > BLOCK).select("token")).distinct()
-    labelled = rest.join(left_out, "token", "left_semi")
+    labelled = rest.join(left_out.select("token", shares), ["token", "salt"], "left_semi")
     if found is not None:
         labelled = labelled.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("part", F.coalesce("component", "sig")).drop("component")
     else:
         labelled = labelled.withColumn("part", F.col("sig"))
     several = labelled.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
-    open_ = labelled.join(several, "token", "left_semi").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
+    open_ = labelled.join(several.select("token", shares), ["token", "salt"], "left_semi").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
     mine = F.pmod(F.xxhash64("sig"), F.col("blocks"))
     # Each two blocks of a list meet once; within one block (side 2) all pairs count, between two only crossing ones.
     again = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("mine", mine)

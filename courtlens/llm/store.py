@@ -1,13 +1,14 @@
 """Where intermediate tables live: the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-Tables written here survive the loss of any executor. A machine-local folder is used only where the
-setting is absent, as in tests.
+Tables written here survive the loss of any executor. A machine-local folder is used only where the setting is absent
+and Spark runs within one machine's process, as in tests; on a cluster the setting is required.
 """
 
 from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,6 +19,8 @@ SETTING = "spark.checkpoint.dir"
 
 def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
+    if not named and re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
+        raise ValueError(f"{SETTING} must name a folder that driver and executors share")
     return named or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
