@@ -6,7 +6,8 @@ them once for each game or segment, within one grouped stage.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+from collections.abc import Callable, Sequence
 
 
 def smooth_in_place(x: Sequence[float], w: int = 5) -> list[float]:
@@ -49,6 +50,11 @@ def valid_runs(positive: Sequence[bool], size: Sequence[float]) -> list[bool]:
     of = lambda sign, start=0: [size[j] for j in range(start, n) if positive[j] == sign]
     mean = {s: sum(own) / len(own) if (own := of(s)) else 0.0 for s in (True, False)}
     valid, start = [False] * n, 0
+    # The largest run of each sign from a place on.
+    rest = {s: [0.0] * (n + 1) for s in (True, False)}
+    for j in range(n - 1, -1, -1):
+        for s in (True, False):
+            rest[s][j] = max(rest[s][j + 1], size[j]) if bool(positive[j]) == s else rest[s][j + 1]
     for i in range(n):
         sign, resets = positive[i], 0
         while True:
@@ -56,10 +62,10 @@ def valid_runs(positive: Sequence[bool], size: Sequence[float]) -> list[bool]:
             if size[i] >= a or resets > n:
                 valid[i] = True
                 break
-            if any(positive[j] == sign and size[j] > a for j in range(i + 1, n)):
+            if rest[bool(sign)][i + 1] > a:
                 if size[i] >= 0.3 * a:
                     before = [size[j] for j in range(i - 1, start - 1, -1) if valid[j] and positive[j] == sign][:2]
-                    after = [size[j] for j in range(i + 1, n) if positive[j] == sign][:2]
+                    after = list(itertools.islice((size[j] for j in range(i + 1, n) if positive[j] == sign), 2))
                     near = before + after
                     valid[i] = size[i] > 0.3 * (sum(near) / len(near))
                 break
@@ -364,3 +370,24 @@ def two_means(points: Sequence[tuple[float, float]], rounds: int = 100, eps: flo
         if moved <= eps * eps:
             break
     return labels, centres
+
+
+def track(length: int, starts: Callable[[int], bool], holds: Callable[[int], bool], interval: int = 15) -> list[tuple[int, bool]]:
+    """(place, started anew) of a tracker over places 0 to ``length``.
+
+    ``starts``: a detection is good enough to start from; it is looked for every ``interval`` places before the last
+    one. ``holds``: the tracker still has its box.
+    """
+    out: list[tuple[int, bool]] = []
+    at = 0
+    while at <= length:
+        if out and holds(at):
+            out.append((at, False))
+        else:
+            while at < length and not starts(at):
+                at += interval
+            if at >= length:
+                break
+            out.append((at, True))
+        at += 1
+    return out

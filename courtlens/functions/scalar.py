@@ -152,8 +152,9 @@ def adjacent_within(ax: Column, ay: Column, bx: Column, by: Column, most: int =
     return F.abs(ax - bx) + F.abs(ay - by) <= most
 
 
-def strictly_inside(x: Column, y: Column, width: int, height: int) -> Column:
-    return (x > 0) & (y > 0) & (x < width) & (y < height)
+def inside_frame(b: Column, width: int, height: int) -> Column:
+    """Whether a box lies in the frame; its far edges must not touch the frame's."""
+    return (b["x"] >= 0) & (b["y"] >= 0) & (b["x"] + b["w"] < width) & (b["y"] + b["h"] < height)
 
 
 def first_bin(v: Column, low: Column, size: Column, bins: int) -> Column:

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import folds
 from ..functions import scalar as S
+from .grouped import walk
+from .ranges import within
 
 
 def with_truth(frames: DataFrame, truth: DataFrame) -> DataFrame:
@@ -15,9 +18,7 @@ def with_truth(frames: DataFrame, truth: DataFrame) -> DataFrame:
 
 def frames_of_segments(frames: DataFrame, segments: DataFrame, bucket: int = 1024) -> DataFrame:
     """Frames within segments, joined by game and by stretches of ``bucket`` frames, so that no game meets itself whole."""
-    at = F.floor(F.col("frame_number") / bucket)
-    s = segments.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("start_frame") / bucket), F.floor(F.col("end_frame") / bucket))))
-    return frames.withColumn("stretch", at).join(s, ["game_id", "stretch"]).where(F.col("frame_number").between(F.col("start_frame"), F.col("end_frame"))).drop("stretch")
+    return within(frames, segments, "frame_number", "start_frame", "end_frame", stretch=bucket)
 
 
 def steady(boxes: DataFrame, most: float = 1.0) -> DataFrame:
@@ -26,17 +27,28 @@ def steady(boxes: DataFrame, most: float = 1.0) -> DataFrame:
     return boxes.withColumn("steady", S.moved_less_than(F.col("box"), before, most))
 
 
-def tracked(boxes: DataFrame, reference: DataFrame, width: int, height: int, interval: int = 15) -> DataFrame:
-    """A tracker's boxes, cleaned: it starts at the first valid box at every ``interval`` frames, and a segment ends at the second bad one in a row.
+def tracked(frames: DataFrame, reference: DataFrame, width: int, height: int, interval: int = 15) -> DataFrame:
+    """(segment_id, frame, box) of a tracker that is started anew when it loses its box.
 
-    A segment without a valid start has one row with frame -2 and no box. Rows: segment_id, frame, box; reference: segment_id, ref.
+    ``frames`` (segment_id, frame, box, found): a tracker's box, null where it has lost it, and the box that a detector
+    finds; reference: segment_id, ref. The tracker starts at the first valid detection, looked for every
+    ``interval`` frames; where the box is lost, detections are looked for again from there on, and if there is none
+    until the segment's end, the segment ends. A segment without a valid start has one row with frame -2 and no box.
     """
-    b = boxes.join(reference, "segment_id").withColumn("ok", S.valid_box(F.col("box"), F.col("ref"), width, height))
-    whole, order = Window.partitionBy("segment_id"), Window.partitionBy("segment_id").orderBy("frame")
-    b = b.withColumn("origin", F.min("frame").over(whole))
-    b = b.withColumn("start", F.min(F.when(F.col("ok") & ((F.col("frame") - F.col("origin")) % interval == 0), F.col("frame"))).over(whole))
-    b = b.withColumn("stop", F.when(~F.col("ok") & ~F.coalesce(F.lag("ok").over(order), F.lit(True)) & (F.col("frame") > F.col("start")), F.col("frame")))
-    b = b.withColumn("stop", F.min("stop").over(whole))
-    kept = b.where(F.col("start").isNotNull() & F.col("ok") & (F.col("frame") >= F.col("start")) & (F.col("stop").isNull() | (F.col("frame") < F.col("stop")))).select("segment_id", "frame", "box")
-    none = b.where(F.col("start").isNull()).select("segment_id").distinct().select("segment_id", F.lit(-2).cast(boxes.schema["frame"].dataType).alias("frame"), F.lit(None).cast(boxes.schema["box"].dataType).alias("box"))
-    return kept.unionByName(none)
+    ok = S.valid_box(F.col("found"), F.col("ref"), width, height)
+    known = frames.join(reference, "segment_id").withColumn("starts", F.coalesce(ok, F.lit(False)))
+    flat = known.select("segment_id", F.col("frame").cast("long").alias("frame"), "starts", *(F.col(f"{of}.{c}").alias(f"{of}_{c}") for of in ("box", "found") for c in "xywh"))
+
+    def step(rows: list[tuple]):
+        of = {row[0]: row for row in rows}
+        first, last = rows[0][0], rows[-1][0]
+        starts = lambda k: (row := of.get(first + k)) is not None and row[1]
+        holds = lambda k: (row := of.get(first + k)) is not None and row[2] is not None
+        path = folds.track(last - first, starts, holds, interval)
+        for k, fresh in path:
+            yield (first + k, *(of[first + k][6:] if fresh else of[first + k][2:6]))
+        if not path:
+            yield -2, None, None, None, None
+
+    found = walk(flat, ["segment_id"], ["frame"], step, "frame long, x int, y int, w int, h int")
+    return found.select("segment_id", "frame", F.when(F.col("x").isNotNull(), F.struct(*"xywh")).alias("box"))

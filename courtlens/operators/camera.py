@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import folds
 from .grouped import fold
+from .ranges import within
 
 
 def camera_candidates(motions: DataFrame, most_still: int = 30, compat: bool = True) -> DataFrame:
@@ -28,7 +29,7 @@ def simple_candidates(motions: DataFrame) -> DataFrame:
 
 def least_motion(candidates: DataFrame, flow: DataFrame) -> DataFrame:
     """The frame of least magnitude within each candidate; the first of equal ones."""
-    met = candidates.join(flow, "game_id").where(F.col("idx").between(F.col("start_idx"), F.col("end_idx")))
+    met = within(flow, candidates, "idx", "start_idx", "end_idx")
     return met.groupBy("game_id", "start_idx", "end_idx").agg(F.min(F.struct("magnitude", "idx")).alias("m")).select("game_id", "start_idx", "end_idx", F.col("m.idx").alias("idx"), F.col("m.magnitude").alias("magnitude"))
 
 

@@ -57,10 +57,14 @@ def agreement(truth: DataFrame, segments: DataFrame) -> DataFrame:
     return _together(truth, segments, lambda t, f: folds.agreement(rows(t), rows(f)), "percent double, extra int, missed int")
 
 
-def overlaps(truth: DataFrame, segments: DataFrame) -> DataFrame:
+def overlaps(truth: DataFrame, segments: DataFrame, stretch: int = 1024) -> DataFrame:
     """The set form: each found segment with what true ones of its side cover of it."""
     t = truth.select("game_id", "side", F.col("start_frame").alias("true_start"), F.col("end_frame").alias("true_end"))
-    met = segments.join(t, ["game_id", "side"]).where((F.col("start_frame") <= F.col("true_end")) & (F.col("true_start") <= F.col("end_frame")))
+    # Two stretches of frames meet where the one or the other starts: by game, side and stretch, each meeting once.
+    of = lambda c: F.floor(F.col(c) / stretch)
+    dealt = lambda df, a, b: df.withColumn("stretch", F.explode(F.sequence(of(a), of(b))))
+    met = dealt(segments, "start_frame", "end_frame").join(dealt(t, "true_start", "true_end"), ["game_id", "side", "stretch"])
+    met = met.where((F.col("start_frame") <= F.col("true_end")) & (F.col("true_start") <= F.col("end_frame")) & (F.col("stretch") == F.floor(F.greatest("start_frame", "true_start") / stretch)))
     covered = F.least("end_frame", "true_end") - F.greatest("start_frame", "true_start")
     return met.groupBy("game_id", "start_frame", "end_frame", "side").agg(F.sum(covered).alias("covered"), F.count("*").alias("met")).withColumn("share", F.try_divide(F.col("covered").cast("double"), (F.col("end_frame") - F.col("start_frame")).cast("double")))
 

@@ -69,24 +69,30 @@ def cell_vectors(means: DataFrame) -> DataFrame:
     return m.select("segment_id", "frame", F.array_sort(F.transform("all", lambda v: F.try_divide(v - F.col("average"), F.col("largest") - F.col("average")))).alias("vector"))
 
 
-def radial_points(spark: SparkSession, step: float = 3.0, rings: int = 3, around: int = 8) -> DataFrame:
-    """(sample, dx, dy): the centre and points on rings about it."""
+def radial_points(spark: SparkSession, radius: float = 20.0, rings: int = 3, around: int = 8) -> DataFrame:
+    """(sample, dx, dy): the centre and points on rings about it, every other ring turned by half a step."""
     ring = spark.range(rings * around).select((F.col("id") + 1).cast("int").alias("sample"), (F.floor(F.col("id") / around) + 1).alias("r"), (F.col("id") % around).alias("k"))
-    turn = F.col("k") * (2 * math.pi / around)
-    points = ring.select("sample", (F.col("r") * step * F.cos(turn)).alias("dx"), (F.col("r") * step * F.sin(turn)).alias("dy"))
+    turn = (F.col("k") + (F.col("r") % 2) / 2) * (2 * math.pi / around)
+    far = F.col("r") * (radius / rings)
+    # Rounded, as places are cut to whole numbers: a point on an axis must not fall short by a rounding error.
+    points = ring.select("sample", F.round(far * F.cos(turn), 4).alias("dx"), F.round(far * F.sin(turn), 4).alias("dy"))
     return spark.range(1).select(F.lit(0).alias("sample"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy")).unionByName(points)
 
 
 def refine(active: DataFrame, grid: DataFrame, flow: DataFrame, points: DataFrame, width: int, height: int, least: float = 1.5, compat: bool = False) -> DataFrame:
-    """For amplitudes above ``least``: the point about the cell where the cell, moved there, has the largest mean.
+    """For amplitudes above ``least``: the first point about the cell where the cell, moved there, has the largest mean.
 
-    ``compat`` takes the centre's x for its y too.
+    Means are compared to nine places, so that the order of summing decides nothing. Moved cells lie within the frame; where none has a positive mean, the cell stays (sample 0). ``compat`` counts
+    the y of a moved cell from the cell's x.
     """
     base = active.where(F.col("amplitude") > least).join(F.broadcast(grid), "cell_idx")
-    cx, cy = F.col("box.x") + F.col("box.w") / 2, F.col("box.y") + F.col("box.h") / 2
-    moved = base.crossJoin(F.broadcast(points)).withColumns({"cx": cx + F.col("dx"), "cy": (cx if compat else cy) + F.col("dy")})  # 25 fixed points
-    moved = moved.where(S.strictly_inside(F.col("cx"), F.col("cy"), width, height))
-    near = (F.abs(F.col("px") - F.col("cx")) * 2 <= F.col("box.w")) & (F.abs(F.col("py") - F.col("cy")) * 2 <= F.col("box.h"))
-    means = moved.join(flow.select("segment_id", "frame", "px", "py", "magnitude"), ["segment_id", "frame"]).where(near).groupBy("segment_id", "frame", "cell_idx", "sample").agg(F.avg("magnitude").alias("mean"))
-    best = means.groupBy("segment_id", "frame", "cell_idx").agg(F.max(F.struct("mean", -F.col("sample"))).alias("m"))
-    return best.select("segment_id", "frame", "cell_idx", (-F.col("m.col2")).alias("sample"), F.col("m.mean").alias("mean"))
+    x, y = F.col("box.x"), F.col("box.y")
+    # 25 fixed points; sample 0 is the cell as it is.
+    y0 = F.when(F.col("sample") == 0, y).otherwise(x) if compat else y
+    moved = base.crossJoin(F.broadcast(points)).withColumn("at", S.box(x + F.col("dx"), y0 + F.col("dy"), F.col("box.w"), F.col("box.h")))
+    moved = moved.where(S.inside_frame(F.col("at"), width, height)).drop("box")
+    inside = (F.col("px") >= F.col("at.x")) & (F.col("px") < F.col("at.x") + F.col("at.w")) & (F.col("py") >= F.col("at.y")) & (F.col("py") < F.col("at.y") + F.col("at.h"))
+    means = moved.join(flow.select("segment_id", "frame", "px", "py", "magnitude"), ["segment_id", "frame"]).where(inside).groupBy("segment_id", "frame", "cell_idx", "sample").agg(F.round(F.avg("magnitude"), 9).alias("mean"))
+    best = means.where("mean > 0").groupBy("segment_id", "frame", "cell_idx").agg(F.max(F.struct("mean", -F.col("sample"))).alias("m"))
+    found = base.select("segment_id", "frame", "cell_idx").join(best, ["segment_id", "frame", "cell_idx"], "left")
+    return found.select("segment_id", "frame", "cell_idx", F.coalesce(-F.col("m.col2"), F.lit(0)).cast("int").alias("sample"), F.coalesce("m.mean", F.lit(0.0)).alias("mean"))

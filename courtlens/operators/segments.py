@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import folds
 from .grouped import fold
+from .ranges import within
 from .signal import game
 
 SEGMENT = "start_frame long, end_frame long, side string, length int"
@@ -56,20 +57,31 @@ def validate_runs(runs: DataFrame) -> DataFrame:
 def normalise_runs(df: DataFrame, runs: DataFrame) -> DataFrame:
     """Samples of runs by their run's largest magnitude: (game_id, run_id, idx, frame_number, value)."""
     r = runs.select("game_id", "run_id", "start_idx", "end_idx", "is_positive", "max_mag", "min_mag")
-    joined = df.join(r, "game_id").where(F.col("idx").between(F.col("start_idx"), F.col("end_idx")))
+    joined = within(df, r, "idx", "start_idx", "end_idx")
     by = F.when(F.col("is_positive"), F.col("max_mag")).otherwise(F.abs("min_mag"))
     return joined.select("game_id", "run_id", "idx", "frame_number", "is_positive", F.coalesce(F.try_divide("value", by), F.lit(0.0)).alias("value"))
 
 
 def threshold_segments(normalised: DataFrame, enter: float = 0.5, leave: float = 0.3) -> DataFrame:
-    """One segment for each run of normalised samples."""
+    """One segment for each run of normalised samples: what :func:`folds.crossing` finds, as windows and one aggregate.
 
-    def step(p: pd.DataFrame) -> pd.DataFrame:
-        frames = p["frame_number"].tolist()
-        a, b = folds.crossing(p["value"].abs().tolist(), enter, leave)
-        return pd.DataFrame({"start_frame": [frames[a]], "end_frame": [frames[b]], "side": ["L" if p["is_positive"].iloc[0] else "R"], "length": [frames[b] - frames[a]]})
-
-    return fold(normalised, ["game_id", "run_id"], ["idx"], step, SEGMENT)
+    A run starts at the first value above ``enter`` that exceeds the one before, and ends at the last value above
+    ``leave`` that exceeds the one behind it; behind the last one counts what was looked at before the start was found.
+    """
+    order = Window.partitionBy("game_id", "run_id").orderBy("idx")
+    a = F.abs("value")
+    n = normalised.withColumns({"a": a, "before": F.coalesce(F.lag(a).over(order), F.lit(0.0)), "behind": F.lead(a).over(order)})
+    enters = (F.col("a") > enter) & (F.col("a") > F.col("before"))
+    leaves = F.col("behind").isNotNull() & (F.col("a") > leave) & (F.col("a") > F.col("behind"))
+    frame = F.col("frame_number").cast("long")
+    runs = n.groupBy("game_id", "run_id").agg(
+        F.min(F.when(enters, F.struct("idx", frame.alias("frame"), "before"))).alias("hit"), F.max(F.when(leaves, frame)).alias("leaving"),
+        F.min(frame).alias("first"), F.max(F.struct("idx", frame.alias("frame"), "a")).alias("last"), F.bool_or("is_positive").alias("positive"),
+    )
+    carried = F.coalesce("hit.before", "last.a")
+    end = F.when((F.col("last.a") > leave) & (F.col("last.a") > carried), F.col("last.frame")).otherwise(F.coalesce("leaving", "last.frame"))
+    found = runs.select("game_id", "run_id", F.coalesce("hit.frame", "first").alias("start_frame"), end.alias("end_frame"), F.when(F.col("positive"), "L").otherwise("R").alias("side"))
+    return found.withColumn("length", (F.col("end_frame") - F.col("start_frame")).cast("int"))
 
 
 def find_segments(differences: DataFrame, w: int = 5, enter: float = 0.5, leave: float = 0.3) -> DataFrame:
@@ -128,7 +140,7 @@ def gaps(segments: DataFrame) -> DataFrame:
 def run_quality(signals: DataFrame, runs: DataFrame) -> DataFrame:
     """Six ways to tell how good a run is, from its match counts."""
     r = runs.select("game_id", "run_id", "start_idx", "end_idx")
-    s = signals.join(r, "game_id").where(F.col("idx").between(F.col("start_idx"), F.col("end_idx")))
+    s = within(signals, r, "idx", "start_idx", "end_idx")
     v = (F.col("l_matches") - F.col("r_matches")).cast("double")
     share = F.abs(F.coalesce(F.try_divide(v, (F.col("l_matches") + F.col("r_matches")).cast("double")), F.lit(0.0))) * 100
     order = Window.partitionBy("game_id", "run_id").orderBy("idx")

@@ -73,3 +73,50 @@ vr AS (SELECT game_id, 0 AS i, ap, an, 0 AS st, CAST([] AS BOOLEAN[]) AS ok FROM
   FROM (SELECT *, CASE WHEN x >= a THEN 0 WHEN len(list_filter(range(i + 2, n + 1), lambda k: p[k] = s AND m[k] > a)) = 0 THEN 1 WHEN x < 0.3 * a THEN 2 ELSE 3 END AS k, list_avg(list_transform(list_filter(range(i + 1, n + 1), lambda k: p[k] = s), lambda k: m[k])) AS fresh
     FROM (SELECT vr.*, va.p, va.m, va.n, va.p[vr.i + 1] AS s, va.m[vr.i + 1] AS x, CASE WHEN va.p[vr.i + 1] THEN vr.ap ELSE vr.an END AS a FROM vr JOIN va USING (game_id) WHERE vr.i < va.n))),
 valid AS (SELECT game_id, unnest(id) AS run_id, unnest(ok) AS valid FROM vr JOIN va USING (game_id) WHERE i = n)"""
+
+
+def dead_band(fraction: float, offset: float) -> str:
+    """CTEs up to ``marks`` (game_id, idx, frame_number, status)."""
+    ahead = "list_position(list_transform(range(0, 5), lambda k: sd[least(a + k, n - 1) + 1] = o), true)"
+    return f"""{_R}, {X.smoothing()}, v AS (SELECT game_id, list(CASE WHEN value <= {fraction - offset} THEN 'RIGHT' WHEN value >= {fraction + offset} THEN 'LEFT' ELSE '' END ORDER BY idx) AS sd, CAST(count(*) AS INT) AS n FROM smooth GROUP BY 1),
+r AS (SELECT game_id, 0 AS a, '' AS o, CAST(NULL AS INT) AS place, CAST(NULL AS VARCHAR) AS status FROM v UNION ALL
+  SELECT game_id, CASE WHEN here = '' AND o <> '' THEN a + 1 + CAST(coalesce(step - 1, 4) AS INT) ELSE a + 1 END, CASE WHEN settles THEN here WHEN leaves THEN '' ELSE o END,
+    CASE WHEN settles THEN a WHEN leaves THEN a - 1 END, CASE WHEN settles THEN here || '_START' WHEN leaves THEN o || '_END' END
+  FROM (SELECT *, here <> '' AND o = '' AND sd[least(a + 1, n - 1) + 1] <> '' AND sd[least(a + 2, n - 1) + 1] <> '' AS settles, here = '' AND o <> '' AND step IS NULL AS leaves
+    FROM (SELECT r.*, v.sd, v.n, v.sd[r.a + 1] AS here, {ahead} AS step FROM r JOIN v USING (game_id) WHERE r.a < v.n))),
+marks AS (SELECT game_id, CAST(place AS BIGINT) AS idx, CAST(place AS BIGINT) * 15 + 1 AS frame_number, status FROM r WHERE place IS NOT NULL)"""
+
+
+CAMERA_CANDIDATES = f"""{_R}, v AS (SELECT game_id, list(motion ORDER BY idx) AS m, CAST(count(*) AS INT) AS n FROM samples GROUP BY 1),
+r AS (SELECT game_id, 0 AS a, 0 AS late, CAST(NULL AS VARCHAR) AS mv, CAST(NULL AS INT) AS st, 0 AS still, 0 AS ag, CAST(NULL AS INT) AS s, CAST(NULL AS INT) AS e, CAST(NULL AS VARCHAR) AS side FROM v UNION ALL
+  SELECT game_id, a + 1, CASE WHEN turns AND still > 30 THEN late + 1 ELSE late END, CASE WHEN mv IS NULL THEN nullif(x, 'STILL') WHEN turns THEN x ELSE mv END,
+    CASE WHEN mv IS NULL THEN st WHEN x = 'STILL' THEN coalesce(st, a) WHEN x = mv OR turns THEN NULL ELSE st END,
+    CASE WHEN turns THEN 0 WHEN mv IS NOT NULL AND x = 'STILL' AND st IS NOT NULL THEN still + 1 ELSE still END,
+    CASE WHEN mv IS NULL OR x = 'STILL' THEN ag WHEN x = mv OR turns THEN 0 WHEN st IS NOT NULL THEN ag + 1 ELSE ag END,
+    CASE WHEN turns AND still <= 30 THEN st END, CASE WHEN turns AND still <= 30 THEN a - ag - 1 END, CASE WHEN turns AND still <= 30 THEN (CASE x WHEN 'MOVINGLEFT' THEN 'RIGHT' ELSE 'LEFT' END) END
+  FROM (SELECT *, coalesce(mv IS NOT NULL AND x <> 'STILL' AND x <> mv AND st IS NOT NULL AND ag + 1 > 1 AND still > 1, false) AS turns FROM (SELECT r.*, v.m[r.a - r.late + 1] AS x FROM r JOIN v USING (game_id) WHERE r.a < v.n))),
+cands AS (SELECT game_id, CAST(s AS BIGINT) AS start_idx, CAST(e AS BIGINT) AS end_idx, side FROM r WHERE s IS NOT NULL)"""
+
+ENTRY_RUNS = f"""{_R}, k AS (SELECT game_id, amplitude, row_number() OVER (PARTITION BY game_id ORDER BY amplitude DESC, idx) AS no, floor(round(count(*) OVER (PARTITION BY game_id) * 0.6, 9)) AS k FROM samples),
+t AS (SELECT game_id, avg(amplitude) FILTER (no <= k) AS t FROM k GROUP BY 1),
+v AS (SELECT game_id, list(amplitude > coalesce(t, 'inf'::DOUBLE) ORDER BY idx) AS strong, CAST(count(*) AS INT) AS n FROM samples JOIN t USING (game_id) GROUP BY 1),
+r AS (SELECT game_id, 0 AS a, CAST(NULL AS INT) AS last_, CAST(NULL AS INT) AS found FROM v UNION ALL
+  SELECT game_id, CASE WHEN long_ THEN upto ELSE a + 1 END, CASE WHEN hit THEN a ELSE last_ END, CASE WHEN hit THEN a END
+  FROM (SELECT *, long_ AND (last_ IS NULL OR a - last_ > 10) AS hit FROM (SELECT *, strong[a + 1] AND upto - 1 - a >= 3 AS long_ FROM
+    (SELECT r.*, v.strong, v.n, r.a + CAST(coalesce(list_position(v.strong[r.a + 1:], false) - 1, v.n - r.a) AS INT) AS upto FROM r JOIN v USING (game_id) WHERE r.a < v.n))))
+SELECT game_id AS segment_id, CAST(found AS BIGINT) AS frame FROM r WHERE found IS NOT NULL"""
+
+LEADER_CLUSTERS = f"""{_R}, v AS (SELECT game_id, list(event_id ORDER BY idx) AS e, CAST(count(*) AS INT) AS n FROM samples GROUP BY 1),
+r AS (SELECT game_id, 0 AS i, 0 AS no, list_transform(range(n), lambda j: -1) AS c FROM v UNION ALL
+  SELECT game_id, i + 1, CASE WHEN c[i + 1] < 0 THEN no + 1 ELSE no END,
+    CASE WHEN c[i + 1] >= 0 THEN c ELSE list_transform(range(n), lambda j: CASE WHEN c[j + 1] >= 0 THEN c[j + 1] WHEN j = i OR (e[least(i, j) + 1] * 7 + e[greatest(i, j) + 1] * 13) % 120 >= 80 THEN no ELSE -1 END) END
+  FROM (SELECT r.*, v.e, v.n FROM r JOIN v USING (game_id) WHERE r.i < v.n))
+SELECT game_id, unnest(range(n)) AS image_id, CAST(unnest(c) AS INT) AS cluster FROM r JOIN v USING (game_id) WHERE i = n"""
+
+TRACKED = f"""WITH RECURSIVE {X.BOXES}, seg AS (SELECT game_id AS segment_id, min(frame_number) AS f0, max(frame_number) - min(frame_number) AS len, arg_min(w, frame_number) AS rw, arg_min(h, frame_number) AS rh FROM boxes GROUP BY 1),
+f AS (SELECT segment_id, frame_number - f0 AS a, x, (x + y) % 3 <> 0 AS holds, y % 2 = 0 AND x + w <= 130 AND y + h <= 100 AND abs(w - rw) <= 0.75 * rw AND abs(h - rh) <= 0.75 * rh AS starts FROM boxes JOIN seg ON segment_id = game_id),
+r AS (SELECT segment_id, 0::BIGINT AS a, false AS running, CAST(NULL AS BIGINT) AS found FROM seg UNION ALL
+  SELECT segment_id, CASE WHEN goes OR anew THEN a + 1 ELSE a + 2 END, goes OR anew, CASE WHEN goes OR anew THEN a END
+  FROM (SELECT *, NOT goes AND a < len AND starts AS anew FROM (SELECT r.segment_id, r.a, len, r.running AND coalesce(holds, false) AS goes, coalesce(starts, false) AS starts FROM r JOIN seg USING (segment_id) LEFT JOIN f ON f.segment_id = r.segment_id AND f.a = r.a)) WHERE goes OR a < len)
+SELECT r.segment_id, f0 + found AS frame, x FROM r JOIN seg USING (segment_id) JOIN f ON f.segment_id = r.segment_id AND f.a = found
+UNION ALL SELECT segment_id, -2, NULL FROM r GROUP BY 1 HAVING count(found) = 0"""

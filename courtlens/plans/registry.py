@@ -87,11 +87,11 @@ def _(spark, d):
     return text.entry_summary(text.ball_entries(spark, path, 1))
 
 
-@query("s7_k9_boxes", f"WITH {X.BOXES} SELECT CAST(game_id AS INT) AS game_id, frame_number, x, y, w, h FROM boxes WHERE game_id % 500 = 0")
+@query("s7_k9_boxes", f"WITH {X.BOXES} SELECT CAST(game_id % 100 AS INT) AS game_id, game_id * 10 + frame_number AS frame_number, x, y, w, h FROM boxes")
 def _(spark, d):
     path = scratch(spark, "boxes")
-    # Text files in a folder for each game: a file format for people, so a part of the games shows it.
-    text.write_boxes(X.boxes(spark, d).where("game_id % 500 = 0"), path)
+    # Text files in a folder for each game: all boxes, in a hundred games.
+    text.write_boxes(X.boxes(spark, d).withColumns({"frame_number": F.col("game_id") * 10 + F.col("frame_number"), "game_id": F.col("game_id") % 100}), path)
     return text.boxes(spark, path, F.col("game_id").cast("int")).select("game_id", "frame_number", "box.*")
 
 
@@ -121,6 +121,65 @@ def _(spark, d):
     return rounded(text.active_cells(spark, path))
 
 
+@query("k5_report", f"{W} SELECT game_id, count(*) AS n, max(frame_number) AS last_frame FROM samples GROUP BY 1 UNION ALL SELECT -1, count(*), max(frame_number) FROM samples")
+def _(spark, d):
+    path, s = scratch(spark, "report"), X.samples(spark, d)
+    measures = F.count("*").alias("n"), F.max("frame_number").alias("last_frame")
+    text.write_report(s.groupBy("game_id").agg(*measures), path)
+    text.write_report(s.agg(*measures).withColumn("game_id", F.lit(-1).cast("long")), path)  # added to what is there
+    return spark.read.schema("game_id long, n long, last_frame long").json(path)
+
+
+@query("k6_a21_throughput", "SELECT 666 AS frames, 33.3::DOUBLE AS seconds, round(33.3 / 666, 6)::DOUBLE AS seconds_a_frame")
+def _(spark, d):
+    return rounded(spark.createDataFrame([tuple(evaluate.throughput(1, 10_000, 15, 33.3).values())], "frames int, seconds double, seconds_a_frame double"))
+
+
+@query("k7_vector_files", f"{W}, {X.CELLS}, m AS (SELECT segment_id, frame, avg(mean) AS av, max(mean) AS mx, list(mean) AS l FROM cells GROUP BY 1, 2) SELECT CAST(segment_id AS INT) AS segment_id, list_sort(list_transform(l, lambda v: round((v - av) / (mx - av), 6))) AS vector FROM m")
+def _(spark, d):
+    path = scratch(spark, "vectors")
+    text.write_vectors(grid.cell_vectors(X.cells_of(spark, d)), path)
+    vector = F.transform(F.split("value", " "), lambda v: F.round(v.cast("double"), 6)).alias("vector")
+    return spark.read.text(path).select(F.col("segment_id").cast("int").alias("segment_id"), vector)
+
+
+@query("k8_negated_crossings", O.ZERO_CROSSINGS.rsplit("\nSELECT", 1)[0] + " SELECT CAST(game_id AS INT) AS game_id, -frame_number AS frame_number FROM z")
+def _(spark, d):
+    path = scratch(spark, "crossings")
+    text.write_markers(segments.zero_crossings(signal.smooth(X.differences(spark, d))), path, negated=True)
+    return spark.read.text(path).select(F.col("game_id").cast("int").alias("game_id"), F.col("value").cast("long").alias("frame_number"))
+
+
+@query("k10_crops", f"{W} SELECT CAST(game_id AS INT) AS segment_id, idx AS frame, 'S' || game_id || '_' || printf('%04d', idx) || '.jpg' AS name, CAST(length(CAST(event_id AS VARCHAR)) AS INT) AS bytes FROM samples")
+def _(spark, d):
+    path = scratch(spark, "crops")
+    text.write_crops(X.samples(spark, d).select(F.col("game_id").alias("segment_id"), F.col("idx").alias("frame"), F.col("event_id").cast("string").cast("binary").alias("data")), path)
+    return spark.read.parquet(path).select(F.col("segment_id").cast("int").alias("segment_id"), "frame", "name", F.length("data").alias("bytes"))
+
+
+@query("k12_frame_index", "SELECT (f - 1) // 15 AS idx, f AS frame_number FROM (SELECT unnest(range(1, 10000, 15)) AS f)")
+def _(spark, d):
+    path = scratch(spark, "index")
+    text.write_frame_index(text.strided_frames(spark), path)
+    return spark.read.parquet(path)
+
+
+@query("k13_reset_folder", f"{W} SELECT CAST(game_id AS INT) AS game_id, frame_number, l_matches, r_matches, CAST(0 AS INT) AS m_matches FROM samples WHERE phase = 1")
+def _(spark, d):
+    path, s = scratch(spark, "reset"), X.samples(spark, d)
+    text.write_signals(s, path)
+    text.write_signals(s.where("phase = 1"), path, middle=False, mode="overwrite")  # what was there goes
+    return text.three_signals(spark, path, F.col("game_id").cast("int")).select("game_id", "frame_number", "l_matches", "r_matches", F.coalesce("m_matches", F.lit(0)).alias("m_matches"))
+
+
+@query("s16_histograms", f"{W} SELECT 'c' || event_id AS candidate, [CAST(l_matches AS DOUBLE), CAST(r_matches AS DOUBLE), CAST(m_matches AS DOUBLE)] AS histogram FROM samples")
+def _(spark, d):
+    path = scratch(spark, "histograms")
+    s = X.samples(spark, d).withColumn("candidate", F.concat(F.lit("c"), F.col("event_id").cast("string")))
+    text.write_lines(s, path, ["candidate", "l_matches", "r_matches", "m_matches"])
+    return text.histograms(spark, path)
+
+
 # --- 2.3: scalar functions ----------------------------------------------------------------------------------------
 @query("f1_side_difference", f"{W} SELECT * FROM diffs")
 def _(spark, d):
@@ -202,10 +261,10 @@ def _(spark, d):
     return boxes.steady(X.boxes(spark, d), 400.0).select("game_id", "frame_number", "steady")
 
 
-@query("f19_f20_adjacent", f"{_PAIRS} SELECT game_id, frame_number, abs(x - px) <= 1 AND abs(y - py) <= 1 AS adjacent, abs(x - px) + abs(y - py) <= 3 AS near, x > 0 AND y > 0 AND x < 90 AND y < 70 AS inside FROM q")
+@query("f19_f20_adjacent", f"{_PAIRS} SELECT game_id, frame_number, abs(x - px) <= 1 AND abs(y - py) <= 1 AS adjacent, abs(x - px) + abs(y - py) <= 3 AS near, x >= 0 AND y >= 0 AND x + w < 90 AND y + h < 70 AS inside FROM q")
 def _(spark, d):
     a, b = F.col("box"), F.col("before")
-    return _box_pairs(spark, d).select("game_id", "frame_number", S.adjacent(a["x"], a["y"], b["x"], b["y"]).alias("adjacent"), S.adjacent_within(a["x"], a["y"], b["x"], b["y"]).alias("near"), S.strictly_inside(a["x"], a["y"], 90, 70).alias("inside"))
+    return _box_pairs(spark, d).select("game_id", "frame_number", S.adjacent(a["x"], a["y"], b["x"], b["y"]).alias("adjacent"), S.adjacent_within(a["x"], a["y"], b["x"], b["y"]).alias("near"), S.inside_frame(a, 90, 70).alias("inside"))
 
 
 @query("f21_first_bin", f"{W} SELECT game_id, idx, CASE WHEN b < 8 THEN b END AS bin FROM (SELECT *, CAST(greatest(floor((value + 30) / 8), 0) AS INT) AS b FROM diffs)")
@@ -218,6 +277,13 @@ def _(spark, d):
     return X.table(spark, d, "part").select("p_partkey", S.rescale(F.col("p_size"), F.lit(25), F.lit(9)).alias("r")).select("p_partkey", "r.*")
 
 
+@query("f22_f27_squares_and_boxes", f"{W} SELECT game_id, idx, round(power(amplitude, 2), 6) AS square, CAST(trunc(amplitude / 3) AS INT) AS x, CAST(trunc(-amplitude / 7) AS INT) AS y FROM samples")
+def _(spark, d):
+    a = F.col("amplitude")
+    b = S.box(a / 3, -a / 7, F.lit(1.0), F.lit(1.0))
+    return X.samples(spark, d).select("game_id", "idx", F.round(F.pow(a, 2), 6).alias("square"), b["x"].alias("x"), b["y"].alias("y"))
+
+
 @query("f25_file_names", f"{W} SELECT DISTINCT 'Game#' || game_id || '_Auto_i15_s3.txt' AS name FROM samples")
 def _(spark, d):
     return X.signals(spark, d).select(text.file_name(F.col("game_id"), 15, 3.0).alias("name")).distinct()
@@ -367,12 +433,12 @@ def find_segments(spark, d):
     return segments.find_segments(X.differences(spark, d))
 
 
-@query("q3_dead_band_markers")
+@query("q3_dead_band_markers", O.dead_band(0.0, 12.0) + " SELECT * FROM marks")
 def _(spark, d):
     return segments.dead_band_markers(signal.smooth(X.differences(spark, d)), 0.0, 12.0)
 
 
-@query("q3_u4_dead_band_segments")
+@query("q3_u4_dead_band_segments", O.dead_band(0.0, 12.0) + ", n AS (SELECT *, row_number() OVER o AS no, lead(frame_number) OVER o AS end_frame FROM marks WINDOW o AS (PARTITION BY game_id ORDER BY frame_number, status)) SELECT game_id, frame_number AS start_frame, end_frame, CASE WHEN status = 'LEFT_START' THEN 'L' ELSE 'R' END AS side, CAST(end_frame - frame_number AS INT) AS length FROM n WHERE no % 2 = 1 AND end_frame IS NOT NULL")
 def _(spark, d):
     return segments.pair_markers(segments.dead_band_markers(signal.smooth(X.differences(spark, d)), 0.0, 12.0))
 
@@ -453,21 +519,23 @@ def _(spark, d):
     return boxes.frames_of_segments(X.samples(spark, d).select("game_id", "frame_number"), X.found_segments(spark, d).drop("length"))
 
 
-@query("q10_tracked")
+@query("q10_tracked", O.TRACKED)
 def _(spark, d):
     b = X.boxes(spark, d).select(F.col("game_id").alias("segment_id"), F.col("frame_number").alias("frame"), "box")
     reference = b.groupBy("segment_id").agg(F.min_by("box", "frame").alias("ref"))
-    return boxes.tracked(b, reference, 130, 100, 1).select("segment_id", "frame", F.col("box.x").alias("x"))
+    lost, seen = (F.col("box.x") + F.col("box.y")) % 3 == 0, F.col("box.y") % 2 == 0
+    frames = b.withColumns({"found": F.when(seen, F.col("box")), "box": F.when(~lost, F.col("box"))})
+    return boxes.tracked(frames, reference, 130, 100, 2).select("segment_id", "frame", F.col("box.x").alias("x"))
 
 
 # --- 2.4, 2.5: matching ---------------------------------------------------------------------------------------------
-_DIST = f"WITH {X.FEATURES}, n AS (SELECT t.image_id, r.image_id AS ref_id, t.feature_id, r.feature_id AS match_id, list_sum(list_transform(list_zip(t.descr, r.descr), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))) AS d FROM features t JOIN features r ON t.image_id <> r.image_id {{where}}), k AS (SELECT *, row_number() OVER (PARTITION BY image_id, ref_id, feature_id ORDER BY d, match_id) AS no FROM n), m AS (SELECT a.image_id, a.ref_id, a.feature_id, a.match_id, a.d AS distance FROM k a JOIN k b ON a.image_id = b.image_id AND a.ref_id = b.ref_id AND a.feature_id = b.feature_id AND a.no = 1 AND b.no = 2 WHERE a.d < b.d * 0.9)"
+_DIST = f"WITH {X.FEATURES}, n AS (SELECT t.image_id, r.image_id AS ref_id, t.feature_id, r.feature_id AS match_id, array_distance(t.descr::DOUBLE[64], r.descr::DOUBLE[64]) ** 2 AS d FROM features t JOIN features r ON t.image_id <> r.image_id {{where}}), k AS (SELECT *, row_number() OVER (PARTITION BY image_id, ref_id, feature_id ORDER BY d, match_id) AS no FROM n), m AS (SELECT a.image_id, a.ref_id, a.feature_id, a.match_id, a.d AS distance FROM k a JOIN k b ON a.image_id = b.image_id AND a.ref_id = b.ref_id AND a.feature_id = b.feature_id AND a.no = 1 AND b.no = 2 WHERE a.d < b.d * 0.9)"
 
 
-@query("j1_t5_matches", _DIST.format(where="AND r.image_id < 3") + " SELECT image_id, ref_id, feature_id, match_id, round(distance, 6) AS distance FROM m")
+@query("j1_t5_matches", _DIST.format(where="") + " SELECT image_id, ref_id, feature_id, match_id, round(distance, 6) AS distance FROM m")
 def _(spark, d):
     f = X.features(spark, d)
-    return rounded(match.matches(f.where("image_id < 3"), f, 0.9))
+    return rounded(match.matches(f, f, 0.9))
 
 
 @query("a1_three_part_signal", _DIST.format(where="AND r.image_id < 3") + " SELECT image_id, count(*) FILTER (ref_id = 0) AS l_matches, count(*) FILTER (ref_id = 1) AS r_matches, count(*) FILTER (ref_id = 2) AS m_matches FROM m GROUP BY 1")
@@ -494,7 +562,15 @@ def _(spark, d):
 @query("j3_a4_f11_flow_medians", _DIST.format(where="AND r.image_id = t.image_id + 1") + ", f AS (SELECT m.image_id, m.ref_id, r.x - t.x AS x, r.y - t.y AS y FROM m JOIN features t ON t.image_id = m.image_id AND t.feature_id = m.feature_id JOIN features r ON r.image_id = m.ref_id AND r.feature_id = m.match_id), g AS (SELECT image_id, ref_id, median(atan2(y, x)) AS direction, median(sqrt(x*x+y*y)) AS magnitude FROM f GROUP BY 1, 2) SELECT image_id, ref_id, round(direction, 6) AS direction, round(magnitude, 6) AS magnitude, CASE WHEN magnitude < 100 THEN 'STILL' WHEN abs(direction) < pi() / 2 THEN 'MOVINGRIGHT' ELSE 'MOVINGLEFT' END AS motion FROM g")
 def _(spark, d):
     f = X.features(spark, d)
-    return rounded(match.flow_medians(match.match_flow(match.matches(f, f, 0.9).where("ref_id = image_id + 1"), f)))
+    next_ones = match.neighbours(f).where("b = a + 1").select(F.col("a").alias("image_id"), F.col("b").alias("ref_id"))
+    return rounded(match.flow_medians(match.match_flow(match.matches(f, f, 0.9, next_ones), f)))
+
+
+@query("k11_edge_file", _DIST.format(where="AND t.image_id < r.image_id") + ", e AS (SELECT image_id AS a, ref_id AS b FROM m GROUP BY 1, 2 HAVING count(*) >= 3) SELECT a AS src, b AS dst FROM e UNION ALL SELECT b, a FROM e")
+def _(spark, d):
+    path = scratch(spark, "edges")
+    text.write_edges(match.similarity_edges(match.pair_matches(X.features(spark, d), 0.9, 3)), path)
+    return spark.read.csv(path, sep=" ", schema="src long, dst long")
 
 
 @query("a5_circular_mean", f"WITH {X.FEATURES} SELECT image_id, round(atan2(avg(sin(a)), avg(cos(a))), 6) AS mean_direction, round(var_pop(cos(a)) + var_pop(sin(a)), 6) AS variance FROM (SELECT image_id, atan2(y - 90, x - 160) AS a FROM features) GROUP BY 1")
@@ -514,7 +590,7 @@ def _(spark, d):
 
 
 # --- 2.9: camera ------------------------------------------------------------------------------------------------------
-@query("q5_camera_candidates")
+@query("q5_camera_candidates", O.CAMERA_CANDIDATES + " SELECT * FROM cands")
 def _(spark, d):
     return camera.camera_candidates(X.motions(spark, d))
 
@@ -524,7 +600,7 @@ def _(spark, d):
     return camera.simple_candidates(X.motions(spark, d))
 
 
-@query("t6_first_candidates")
+@query("t6_first_candidates", O.CAMERA_CANDIDATES + ", z AS (SELECT *, CAST(row_number() OVER (PARTITION BY game_id ORDER BY start_idx, end_idx) AS INT) AS no FROM cands) SELECT * FROM z WHERE no <= 2")
 def _(spark, d):
     return camera.first_candidates(camera.camera_candidates(X.motions(spark, d)), 2)
 
@@ -548,10 +624,10 @@ def _similar(s):
     return a.join(b, "game_id").where("a < b").select("game_id", "a", "b", ((F.col("ea") * 7 + F.col("eb") * 13) % 120).alias("matches"))
 
 
-_SIMILAR = f"{W}, p AS (SELECT x.game_id, x.idx AS a, y.idx AS b, (x.event_id * 7 + y.event_id * 13) % 120 AS matches FROM samples x JOIN samples y ON x.game_id = y.game_id AND x.idx < y.idx WHERE x.idx < 20 AND y.idx < 20)"
+_SIMILAR = f"{W}, p AS (SELECT x.game_id, x.idx AS a, y.idx AS b, (x.event_id * 7 + y.event_id * 13) % 120 AS matches FROM samples x JOIN samples y ON x.game_id = y.game_id AND x.idx < y.idx)"
 
 
-@query("c1_leader_clusters")
+@query("c1_leader_clusters", O.LEADER_CLUSTERS)
 def _(spark, d):
     s = X.samples(spark, d)
     return cluster.leader_clusters(_similar(s), s.select("game_id", F.col("idx").alias("image_id")))
@@ -568,11 +644,11 @@ def _(spark, d):
     return cluster.cluster_sizes(X.samples(spark, d).select("game_id", (F.col("event_id") % 4).cast("int").alias("cluster")), 2)
 
 
-@query("c2_a14_t3_best_of_clusters", _SIMILAR + """, c AS (SELECT game_id, idx AS image_id, CAST(event_id % 3 AS INT) AS cluster FROM samples WHERE idx < 20), e AS (SELECT p.game_id, x.cluster, unnest([a, b]) AS image_id, matches FROM p JOIN c x ON x.game_id = p.game_id AND x.image_id = a JOIN c y ON y.game_id = p.game_id AND y.image_id = b AND y.cluster = x.cluster),
+@query("c2_a14_t3_best_of_clusters", _SIMILAR + """, c AS (SELECT game_id, idx AS image_id, CAST(event_id % 3 AS INT) AS cluster FROM samples), e AS (SELECT p.game_id, x.cluster, unnest([a, b]) AS image_id, matches FROM p JOIN c x ON x.game_id = p.game_id AND x.image_id = a JOIN c y ON y.game_id = p.game_id AND y.image_id = b AND y.cluster = x.cluster),
 t AS (SELECT game_id, cluster, image_id, CAST(sum(matches) AS BIGINT) AS total FROM e GROUP BY 1, 2, 3), k AS (SELECT *, row_number() OVER (PARTITION BY game_id, cluster ORDER BY total DESC, image_id) AS no FROM t), z AS (SELECT game_id, cluster, count(*) AS size, row_number() OVER (PARTITION BY game_id ORDER BY count(*) DESC, cluster) AS r FROM c GROUP BY 1, 2)
 SELECT k.game_id, k.cluster, k.image_id, k.total, z.size FROM k JOIN z USING (game_id, cluster) WHERE no = 1 AND r <= 2""")
 def _(spark, d):
-    s = X.samples(spark, d).where("idx < 20")
+    s = X.samples(spark, d)
     return cluster.best_of_clusters(_similar(s), s.select("game_id", F.col("idx").alias("image_id"), (F.col("event_id") % 3).cast("int").alias("cluster")))
 
 
@@ -583,13 +659,15 @@ def _(spark, d):
     return cluster.merge_clusters(h)
 
 
-@query("c5_page_rank", """WITH e AS (SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM supplier JOIN customer ON s_suppkey % 25 = c_custkey % 25 AND s_nationkey <> c_nationkey WHERE s_suppkey < 60 AND c_custkey < 60), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), o AS (SELECT src, count(*) AS ways FROM e GROUP BY 1), c AS (SELECT count(*) AS n FROM n),
+@query("c5_page_rank", """WITH e AS (SELECT DISTINCT s_nationkey AS src, c_nationkey AS dst FROM supplier JOIN customer ON s_suppkey % 25 = c_custkey % 25 AND s_nationkey <> c_nationkey), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), o AS (SELECT src, count(*) AS ways FROM e GROUP BY 1), c AS (SELECT count(*) AS n FROM n),
 """
 + ",\n".join([f"r0 AS (SELECT node, 1.0::DOUBLE / n AS rank FROM n, c)"] + [f"r{i} AS (SELECT node, 0.15::DOUBLE / c.n + 0.85::DOUBLE * (coalesce(got, 0) + lost / c.n) AS rank FROM n LEFT JOIN (SELECT dst, sum(rank / ways) AS got FROM e JOIN r{i - 1} ON node = src JOIN o USING (src) GROUP BY 1) g ON n.node = g.dst, c, (SELECT coalesce(sum(rank), 0) AS lost FROM r{i - 1} WHERE node NOT IN (SELECT src FROM o)) l)" for i in range(1, 4)])
 + " SELECT node, round(rank, 6) AS rank FROM r3")
 def _(spark, d):
-    s, c = X.table(spark, d, "supplier").where("s_suppkey < 60"), X.table(spark, d, "customer").where("c_custkey < 60")
-    e = s.join(c, (F.col("s_suppkey") % 25 == F.col("c_custkey") % 25) & (F.col("s_nationkey") != F.col("c_nationkey"))).select(F.col("s_nationkey").alias("src"), F.col("c_nationkey").alias("dst")).distinct()
+    # Distinct keys of both sides first: 25 times 25 at most, whatever the scale.
+    s = X.table(spark, d, "supplier").select((F.col("s_suppkey") % 25).alias("k"), F.col("s_nationkey").alias("src")).distinct()
+    c = X.table(spark, d, "customer").select((F.col("c_custkey") % 25).alias("k"), F.col("c_nationkey").alias("dst")).distinct()
+    e = s.join(c, "k").where("src <> dst").select("src", "dst").distinct()
     return rounded(cluster.page_rank(e, rounds=3))
 
 
@@ -644,18 +722,39 @@ def _flow(s):
     return px.select("segment_id", "frame", "px", "py", ((F.col("event_id") * 13 + F.col("i") * F.col("i") * 7) % 101 / 10.0).alias("magnitude"))
 
 
-_FLOW = f"{W}, flow AS (SELECT game_id AS segment_id, idx AS frame, (i // 9) * 20 + 10 AS px, i % 9 * 20 + 10 AS py, ((event_id * 13 + i * i * 7) % 101) / 10.0::DOUBLE AS magnitude FROM samples, (SELECT unnest(range(144)) AS i) WHERE idx < 4)"
+_FLOW = f"{W}, flow AS (SELECT game_id AS segment_id, idx AS frame, (i // 9) * 20 + 10 AS px, i % 9 * 20 + 10 AS py, ((event_id * 13 + i * i * 7) % 101) / 10.0::DOUBLE AS magnitude FROM samples, (SELECT unnest(range(144)) AS i))"
 
 
 @query("a8_cell_means", f"{_FLOW}, g AS (SELECT CAST(i * 5 + j AS INT) AS cell_idx, i * 64 AS x, j * 36 AS y FROM (SELECT unnest(range(5)) AS i), (SELECT unnest(range(5)) AS j)) SELECT segment_id, frame, cell_idx, round(avg(magnitude), 6) AS mean FROM flow JOIN g ON px >= x AND px < x + 64 AND py >= y AND py < y + 36 GROUP BY 1, 2, 3")
 def _(spark, d):
-    return rounded(grid.cell_means(_flow(X.samples(spark, d).where("idx < 4")), grid.cells(spark, 320, 180, "even")))
+    return rounded(grid.cell_means(_flow(X.samples(spark, d)), grid.cells(spark, 320, 180, "even")))
 
 
-@query("e7_refine")
-def _(spark, d):
+_REFINED = f"""{_FLOW}, g AS (SELECT CAST(i * 8 + j AS INT) AS cell_idx, CAST(trunc(i * (320 - 64.0) / 7) AS INT) AS x, CAST(trunc(j * (180 - 45.0) / 7) AS INT) AS y FROM (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS j)),
+cm AS (SELECT segment_id, frame, cell_idx, round(avg(magnitude), 9) AS mean FROM flow JOIN g ON px >= x AND px < x + 64 AND py >= y AND py < y + 45 GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY segment_id, frame ORDER BY mean DESC, cell_idx) AS no, avg(mean) OVER (PARTITION BY segment_id, frame) AS av FROM cm),
+act AS (SELECT segment_id, frame, cell_idx, x, y FROM k JOIN g USING (cell_idx) WHERE no = 1 AND greatest(0, mean) - av > 1.5),
+pts AS (SELECT 0 AS sample, 0.0::DOUBLE AS dx, 0.0::DOUBLE AS dy UNION ALL SELECT CAST((r - 1) * 8 + n + 1 AS INT), round(r * 20 / 3.0::DOUBLE * cos((n + (r % 2) / 2.0::DOUBLE) * pi() / 4), 4), round(r * 20 / 3.0::DOUBLE * sin((n + (r % 2) / 2.0::DOUBLE) * pi() / 4), 4) FROM (SELECT unnest([1, 2, 3]) AS r), (SELECT unnest(range(8)) AS n)),
+mv AS (SELECT segment_id, frame, cell_idx, sample, trunc(x + dx) AS x, trunc({{y0}} + dy) AS y FROM act, pts),
+mm AS (SELECT segment_id, frame, cell_idx, sample, round(avg(magnitude), 9) AS mean FROM mv JOIN flow USING (segment_id, frame) WHERE x >= 0 AND y >= 0 AND x + 64 < 320 AND y + 45 < 180 AND px >= x AND px < x + 64 AND py >= y AND py < y + 45 GROUP BY 1, 2, 3, 4),
+best AS (SELECT *, row_number() OVER (PARTITION BY segment_id, frame ORDER BY mean DESC, sample) AS no FROM mm WHERE mean > 0)
+SELECT segment_id, frame, act.cell_idx, coalesce(sample, 0) AS sample, round(coalesce(mean, 0), 6) AS mean FROM act LEFT JOIN (SELECT segment_id, frame, sample, mean FROM best WHERE no = 1) USING (segment_id, frame)"""
+
+
+def _refined(spark, d, compat):
     f, g = _flow(X.samples(spark, d)), grid.cells(spark, 320, 180)
-    return rounded(grid.refine(grid.active_cells(grid.cell_means(f, g)), g, f, grid.radial_points(spark), 320, 180))
+    means = grid.cell_means(f, g).withColumn("mean", F.round("mean", 9))
+    return rounded(grid.refine(grid.active_cells(means), g, f, grid.radial_points(spark), 320, 180, compat=compat))
+
+
+@query("e7_refine", _REFINED.format(y0="y"))
+def _(spark, d):
+    return _refined(spark, d, False)
+
+
+@query("e7_refine_compat", _REFINED.format(y0="CASE WHEN sample = 0 THEN y ELSE x END"))
+def _(spark, d):
+    return _refined(spark, d, True)
 
 
 # --- 2.10: ball entries -------------------------------------------------------------------------------------------------
@@ -685,7 +784,7 @@ def _(spark, d):
     return ballentry.with_missing(ballentry.strongest_moment(merged, series), series)
 
 
-@query("q6_entry_runs")
+@query("q6_entry_runs", O.ENTRY_RUNS)
 def _(spark, d):
     a = _amplitudes(spark, d).withColumn("box", F.struct(*(F.lit(v).alias(n) for v, n in ((0, "x"), (0, "y"), (10, "w"), (10, "h")))))
     return ballentry.entry_runs(a, grid.adaptive_threshold(_amplitudes(spark, d), 0.6), run=3, apart=10)

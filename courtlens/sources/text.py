@@ -117,7 +117,8 @@ def histograms(spark: SparkSession, path) -> DataFrame:
 def write_lines(df: DataFrame, path: str, columns: list[str], by: list[str] | None = None, mode: str = "error") -> None:
     """Blank-separated columns as text, in folders for each value of ``by``. ``mode="overwrite"`` resets the folder, ``"append"`` adds."""
     line = F.concat_ws(" ", *(F.col(c).cast("string") for c in columns)).alias("value")
-    writer = df.select(*(by or []), line).write.mode(mode)
+    lines = df.select(*(by or []), line)
+    writer = (lines.repartition(*by) if by else lines).write.mode(mode)  # one file for each value of ``by``
     (writer.partitionBy(*by) if by else writer).text(path)
 
 

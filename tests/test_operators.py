@@ -1,12 +1,14 @@
 """Small worked cases of the DataFrame operators, sources and the stream."""
 
+import math
 import os
+import random
 
 from pyspark.sql import functions as F
 
 from courtlens.functions import folds
 from courtlens.functions import scalar as S
-from courtlens.operators import ballentry, evaluate, grid, match, segments, signal
+from courtlens.operators import ballentry, boxes, evaluate, grid, match, segments, signal
 from courtlens.plans.registry import QUERIES
 from courtlens.sources import text
 
@@ -105,3 +107,79 @@ def test_queries_without_sql_take_every_sample_of_a_game(spark, tmp_path):
         members.setdefault(r.game_id, []).append(r.members)
     assert {u: (len(m), sum(m)) for u, m in members.items()} == {u: (3, n[u]) for u in n}
     assert {(r.segment_id, r.frame) for r in QUERIES["e7_refine"](spark, str(tmp_path)).select("segment_id", "frame").collect()} == {(u, i) for u in n for i in range(n[u])}
+
+
+def test_radial_points_and_the_frame(spark):
+    p = {r.sample: (r.dx, r.dy) for r in grid.radial_points(spark).collect()}
+    step = 20 / 3
+    want = {0: (0.0, 0.0)}
+    for ring in (1, 2, 3):
+        for k in range(8):
+            turn = k * math.pi / 4 + (math.pi / 8 if ring % 2 else 0)
+            want[(ring - 1) * 8 + k + 1] = (ring * step * math.cos(turn), ring * step * math.sin(turn))
+    assert p.keys() == want.keys() and all(abs(a - b) < 1e-3 for k in p for a, b in zip(p[k], want[k], strict=True))
+    b = lambda *v: F.struct(*(F.lit(x).alias(n) for x, n in zip(v, "xywh", strict=True)))
+    inside = [spark.range(1).select(S.inside_frame(b(*v), 100, 80)).first()[0] for v in ((0, 0, 99, 79), (0, 0, 100, 79), (-1, 0, 5, 5), (5, 1, 94, 79), (5, 0, 95, 10))]
+    assert inside == [True, False, False, False, False]
+
+
+def test_refinement_is_that_of_a_literal_loop(spark):
+    rng = random.Random(3)
+    width, height = 60, 50
+    cells = [(0, 20, 15, 12, 10), (1, 2, 2, 12, 10), (2, 40, 30, 12, 10)]
+    flow = [(s, 0, x, y, rng.random() * 5) for s in range(6) for x in range(0, width, 2) for y in range(0, height, 2)]
+    active = [(s, 0, s % 3, 1.0 if s == 5 else 2.0) for s in range(6)]
+    g = spark.createDataFrame(cells, "cell_idx int, x int, y int, w int, h int").select("cell_idx", F.struct("x", "y", "w", "h").alias("box"))
+    f = spark.createDataFrame(flow, "segment_id int, frame int, px int, py int, magnitude double")
+    a = spark.createDataFrame(active, "segment_id int, frame int, cell_idx int, amplitude double")
+    for compat in (False, True):
+        got = {r.segment_id: (r.sample, round(r.mean, 6)) for r in grid.refine(a, g, f, grid.radial_points(spark), width, height, compat=compat).collect()}
+        want = {}
+        for s, _, c, amplitude in active:
+            if amplitude <= 1.5:
+                continue
+            _, x, y, w, h = cells[c]
+            places = [(x, y)]
+            for ring in (1, 2, 3):
+                for k in range(8):
+                    turn = k * math.pi / 4 + (ring % 2) * math.pi / 8
+                    places.append((int(x + round(ring * 20 / 3 * math.cos(turn), 4)), int((x if compat else y) + round(ring * 20 / 3 * math.sin(turn), 4))))
+            top, at = 0.0, 0
+            for i, (sx, sy) in enumerate(places):
+                if sx >= 0 and sy >= 0 and sx + w < width and sy + h < height:
+                    own = [m for t, _, px, py, m in flow if t == s and sx <= px < sx + w and sy <= py < sy + h]
+                    if own and sum(own) / len(own) > top:
+                        top, at = sum(own) / len(own), i
+            want[s] = (at, round(top, 6))
+        assert got == want
+
+
+def test_a_lost_tracker_starts_anew(spark):
+    b = (10, 10, 10, 10)
+    # Segment 1: start at the second look, lost at 7, found again at 7 + 2; segment 2: never; segment 3: lost for good.
+    rows = [(1, f, None if f in (7, 8, 9) else b, b if f in (2, 4, 9) else None) for f in range(13)]
+    rows += [(2, f, b, (200, 0, 10, 10)) for f in range(5)] + [(3, f, b if f < 3 else None, b if f == 0 else None) for f in range(6)]
+    box = "struct<x:int,y:int,w:int,h:int>"
+    frames = spark.createDataFrame(rows, f"segment_id int, frame long, box {box}, found {box}")
+    ref = spark.createDataFrame([(s, b) for s in (1, 2, 3)], f"segment_id int, ref {box}")
+    got = {}
+    for r in boxes.tracked(frames, ref, 100, 100, 2).orderBy("frame").collect():
+        got.setdefault(r.segment_id, []).append(r.frame)
+    assert got == {1: [2, 3, 4, 5, 6, 9, 10, 11, 12], 2: [-2], 3: [0, 1, 2]}
+    assert folds.track(3, lambda k: k == 3, lambda k: True, 1) == []
+
+
+def test_windows_split_into_two_clusters(spark):
+    strong = [(1, i, 20, i * 10, i * 10 + 20, 90.0 + i, 40.0) for i in range(2)]
+    weak = [(1, i, 20, i * 10, i * 10 + 20, 5.0 + i / 10, 2.0) for i in range(2, 9)]
+    even = [(2, i, 20, i * 10, i * 10 + 20, 5.0 + i / 100, 2.0) for i in range(6)]
+    s = spark.createDataFrame(strong + weak + even, "segment_id int, idx long, size int, start_frame long, end_frame long, gain_max double, gain_grad double")
+    assert rows(ballentry.split_windows(s).select("segment_id", "idx"), "segment_id", "idx") == [(1, 0), (1, 1)]
+
+
+def test_the_strongest_moment_of_a_window(spark):
+    gains = [float(i) for i in (*range(25), *range(60, 66))]
+    series = spark.createDataFrame([(1, i, v) for i, v in enumerate(gains)], "segment_id int, idx long, agg_max double")
+    merged = spark.createDataFrame([(1, 0, 20, 0, 30)], "segment_id int, idx long, size int, start_frame long, end_frame long")
+    # Starts at 0, 5 and 10; the gain over 20 places is largest from 5 on (60 - 5); a third of 20 behind it.
+    assert rows(ballentry.strongest_moment(merged, series), "frame") == [(1, 11)]
