@@ -28,6 +28,8 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 ORDER = 12
 #: The edge of a url, before and behind it.
 EDGE = "\0"
+#: So many orders of the model are made in one step.
+STORED = 3
 #: Symbols that a model without any evidence chooses from: the code points.
 SIZE = 0x110000
 #: One of so many rule-judged urls is kept from the models, for the threshold.
@@ -68,12 +70,12 @@ def _model(counts: DataFrame) -> DataFrame:
     """
     orders = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("order")
     ends = counts.select("good", "bad", "gram", orders).select("order", F.expr(f"substring(gram, {ORDER + 1} - order, order + 1)").alias("gram"), "good", "bad")
-    levels = store(ends.groupBy("order", "gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("context", F.expr("substring(gram, 1, order)")), "url-levels")
+    levels = store(ends.groupBy("order", "gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("context", F.expr("substring(gram, 1, order)")), "url-levels", "order")
     contexts = levels.where("good + bad > 0").groupBy(F.col("order").alias("of"), F.col("context").alias("seen")).agg(
         *(F.sum(k).alias(f"{k}_all") for k in ("good", "bad")), *(F.count(F.when(F.col(k) > 0, 1)).alias(f"{k}_kinds") for k in ("good", "bad"))
     )
-    contexts = store(contexts, "url-contexts")
-    out = None
+    contexts = store(contexts, "url-contexts", "of")
+    out = held = None
     for order in range(ORDER + 1):
         level = levels.where(F.col("order") == order).join(contexts.where(F.col("of") == order), F.col("context") == F.col("seen"), "left")
         if out is None:
@@ -85,9 +87,15 @@ def _model(counts: DataFrame) -> DataFrame:
             kinds, total = (F.coalesce(F.col(f"{k}_{x}"), F.lit(0)) for x in ("kinds", "all"))
             p.append(F.when(total > 0, (F.col(k) + kinds * F.col(f"p_{k}")) / (total + kinds)).otherwise(F.col(f"p_{k}")).alias(f"p_{k}"))
         out = level.select("gram", *p)
+        if order % STORED == 0 and 0 < order < ORDER:  # files of finished orders go
+            out, done = store(out, "url-order"), held
+            if done is not None:
+                discard(done)
+            held = out
     model = store(out.select("gram", (F.log("p_good") - F.log("p_bad")).alias("ratio")), "url-model")
-    discard(levels)
-    discard(contexts)
+    for done in (held, levels, contexts):
+        if done is not None:
+            discard(done)
     return model
 
 
