@@ -1,4 +1,10 @@
-"""From raw documents to packed token sequences, in five stages that are each written and read again."""
+"""From raw documents to packed token sequences, in five stages that are each written and read again.
+
+Edge cases: null, empty and short texts fail the first stage; of rows that repeat a text, or both identifier and text,
+one stays; rows that share an identifier but not the text are judged each by its own text; documents without an
+identifier are kept unless a text like theirs is; an empty table gives no pieces; columns other than those of
+``documents`` are carried along up to the last stage.
+"""
 
 from __future__ import annotations
 

@@ -8,7 +8,7 @@ sequence is carried on from the last sure boundary until it meets one. The stitc
 encoded in parallel. Decoding concatenates the raw bytes of the ids.
 
 Edge cases: a null text is encoded as the empty text (no ids); repeated rows and null ids are kept as
-they are, one result row for each input row; columns other than the two named ones are not read.
+they are, one result row for each input row; an empty table gives an empty result; columns other than the two named ones are not read.
 """
 
 from __future__ import annotations

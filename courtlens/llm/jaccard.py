@@ -564,22 +564,22 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     Rows without words or identifier are linked with nothing: all of them stay.
     """
     docs, classes = classified(df, id_col, text_col, width, num, den)
-    one = classes.groupBy("component").agg(F.min(F.struct("class_id", "th")).alias("m")).select(F.col("m.class_id").alias("_id"), F.col("m.th").alias("_th"))
-    free = docs.where("sig is null or doc_id is null").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    one = classes.groupBy("component").agg(F.min(F.struct("class_id", "th")).alias("m")).select(F.col("m.class_id").alias("_courtlens_id"), F.col("m.th").alias("_courtlens_th"))
+    free = docs.where("sig is null or doc_id is null").select(F.col("doc_id").alias("_courtlens_id"), F.col("th").alias("_courtlens_th"))
     kept = store(one.unionByName(free).distinct(), "kept")
-    hashed = df.withColumn("_th_of_text", F.xxhash64(F.col(text_col)))
-    stay = hashed.join(kept, hashed[id_col].eqNullSafe(kept["_id"]) & (F.col("_th_of_text") == F.col("_th")), "left_semi")
+    hashed = df.withColumn("_courtlens_th_of_text", F.xxhash64(F.col(text_col)))
+    stay = hashed.join(kept, hashed[id_col].eqNullSafe(kept["_courtlens_id"]) & (F.col("_courtlens_th_of_text") == F.col("_courtlens_th")), "left_semi")
     # Rows that repeat both identifier and text: of those, one stays.
-    again = docs.join(one, (F.col("doc_id") == F.col("_id")) & (docs["th"] == F.col("_th")), "left_semi").groupBy("doc_id", "th").agg(F.count("*").alias("k")).where("k > 1")
-    again = store(again.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")), "kept")
+    again = docs.join(one, (F.col("doc_id") == F.col("_courtlens_id")) & (docs["th"] == F.col("_courtlens_th")), "left_semi").groupBy("doc_id", "th").agg(F.count("*").alias("k")).where("k > 1")
+    again = store(again.select(F.col("doc_id").alias("_courtlens_id"), F.col("th").alias("_courtlens_th")), "kept")
     if not again.isEmpty():
-        same = (F.col(id_col) == F.col("_id")) & (F.col("_th_of_text") == F.col("_th"))
-        stay = stay.join(again, same, "left_anti").unionByName(stay.join(again, same, "left_semi").dropDuplicates([id_col, "_th_of_text"]))
-    return stay.drop("_th_of_text")
+        same = (F.col(id_col) == F.col("_courtlens_id")) & (F.col("_courtlens_th_of_text") == F.col("_courtlens_th"))
+        stay = stay.join(again, same, "left_anti").unionByName(stay.join(again, same, "left_semi").dropDuplicates([id_col, "_courtlens_th_of_text"]))
+    return stay.drop("_courtlens_th_of_text")
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"), width=3, num=90, den=100).drop("class_id")
+    return join(table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
 OP8_SQL = r"""
@@ -591,6 +591,8 @@ s AS (
 n AS (SELECT doc_id, count(g) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id),
 both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 links AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
-reach AS (SELECT doc_id, doc_id AS r FROM w UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a)
-SELECT doc_id, n AS n_shingles, min(r) AS component_id FROM reach JOIN n USING (doc_id) GROUP BY 1, 2
+reach AS (SELECT doc_id, doc_id AS r FROM w UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.r = links.a),
+whole AS (SELECT doc_id, string_agg(g, chr(10) ORDER BY g) AS k FROM s GROUP BY 1),
+class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS class_id FROM whole)
+SELECT doc_id, n AS n_shingles, coalesce(class_id, doc_id) AS class_id, min(r) AS component_id FROM reach JOIN n USING (doc_id) LEFT JOIN class USING (doc_id) GROUP BY 1, 2, 3
 """

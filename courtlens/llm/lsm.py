@@ -227,19 +227,19 @@ def assign(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = lambda text: F.sha2(text, 256), **index) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns: exactly one for each different normalised text."""
     found = store(build_index(df, id_col, text_col, digest, **index), "lsm")
-    hashed = df.withColumns({"_digest_of_text": digest(normalised(F.col(text_col))), "_size_of_text": F.coalesce(F.length(text_col), F.lit(0))})
+    hashed = df.withColumns({"_courtlens_digest_of_text": digest(normalised(F.col(text_col))), "_courtlens_size_of_text": F.coalesce(F.length(text_col), F.lit(0))})
 
     def same(of: DataFrame):
         norm = normalised(F.col(text_col)).cast("binary")
-        return F.col(id_col).eqNullSafe(of["_id"]) & (F.col("_digest_of_text") == of["_digest"]) & (F.col("_size_of_text") == of["_size"]) & (of["_data"].isNull() | (of["_data"] == norm))
+        return F.col(id_col).eqNullSafe(of["_courtlens_id"]) & (F.col("_courtlens_digest_of_text") == of["_courtlens_digest"]) & (F.col("_courtlens_size_of_text") == of["_courtlens_size"]) & (of["_courtlens_data"].isNull() | (of["_courtlens_data"] == norm))
 
-    stay = found.select(F.col("keep_id").alias("_id"), F.col("digest").alias("_digest"), F.col("keep_size").alias("_size"), F.col("data").alias("_data"), "ties")
+    stay = found.select(F.col("keep_id").alias("_courtlens_id"), F.col("digest").alias("_courtlens_digest"), F.col("keep_size").alias("_courtlens_size"), F.col("data").alias("_courtlens_data"), "ties")
     kept = hashed.join(stay.drop("ties"), same(stay), "left_semi")
     again = stay.where("ties > 1").drop("ties")
     if not again.isEmpty():  # rows that repeat both identifier and text: of those, one stays
-        one = kept.join(again, same(again), "left_semi").withColumn("_text_of_row", normalised(F.col(text_col))).dropDuplicates([id_col, "_text_of_row"]).drop("_text_of_row")
+        one = kept.join(again, same(again), "left_semi").withColumn("_courtlens_text_of_row", normalised(F.col(text_col))).dropDuplicates([id_col, "_courtlens_text_of_row"]).drop("_courtlens_text_of_row")
         kept = kept.join(again, same(again), "left_anti").unionByName(one)
-    return kept.drop("_digest_of_text", "_size_of_text")
+    return kept.drop("_courtlens_digest_of_text", "_courtlens_size_of_text")
 
 
 def op2_lsm_exact_dedup(spark, sf_dir: str) -> DataFrame:

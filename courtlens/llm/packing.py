@@ -10,7 +10,8 @@ most ``capacity + sum(capacity / length)`` patterns with a number of uses, whate
 Documents longer than the capacity, and only they, are cut into pieces of that capacity; the last may be shorter.
 
 Edge cases: a null text is the empty text, which is the closing id alone; repeated rows are packed as separate
-documents; ties are broken by the order in which rows are read; an empty table gives no pieces.
+documents; ties are broken by the order in which rows are read; an empty table gives no pieces; columns other than
+the named two are not read.
 """
 
 from __future__ import annotations

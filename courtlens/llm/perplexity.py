@@ -561,8 +561,8 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def accept(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", below: float = BELOW, above: float = ABOVE) -> DataFrame:
     """The rows of ``df`` that are kept, with all their columns; each is judged by its own text and language."""
     found = _judged(df, id_col, text_col, lang_col, below, above).where("kept")
-    kept = found.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("lang").alias("_lang")).distinct()
-    same = df[id_col].eqNullSafe(kept["_id"]) & (F.xxhash64(df[text_col]) == kept["_th"]) & (F.coalesce(df[lang_col], F.lit(NO_LANGUAGE)) == kept["_lang"])
+    kept = found.select(F.col("doc_id").alias("_courtlens_id"), F.col("th").alias("_courtlens_th"), F.col("lang").alias("_courtlens_lang")).distinct()
+    same = df[id_col].eqNullSafe(kept["_courtlens_id"]) & (F.xxhash64(df[text_col]) == kept["_courtlens_th"]) & (F.coalesce(df[lang_col], F.lit(NO_LANGUAGE)) == kept["_courtlens_lang"])
     return df.join(kept, same, "left_semi")
 
 

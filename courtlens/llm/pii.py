@@ -10,7 +10,8 @@ All spans are in code points, end exclusive. Every search is linear in the text:
 on either side of a sign, so none of them looks further, and spans are compared in their order. ``x @ host.org`` counts
 as it stands; the bare word ``at`` only where the name or the host tells that it is an address.
 
-Edge cases: a null text is the empty text, without spans; repeated rows are judged alike; an identifier that
+Edge cases: a null text is the empty text, without spans; repeated rows are judged alike, each for itself; an empty
+table gives an empty result; of spans that start together the kind listed first, then the shorter one comes first; an identifier that
 spans a rewritten part is reported with that whole part; columns other than the named ones are not read.
 """
 

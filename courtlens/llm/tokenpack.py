@@ -5,7 +5,7 @@ does not grow with the input. Texts longer than a row are split without loss int
 pieces are placed from the longest on, each into the row with the least room that still holds it; a segment tree
 over the amounts of free room finds that room in log steps.
 
-A row is written with its ids (little-endian, padded with ``pad_id``), the cumulative lengths of its segments as
+A row has its ids (little-endian, padded with ``pad_id``), the cumulative lengths of its segments as
 attention kernels take them, the position at which each segment starts (0 for a document's first piece, else the
 piece's place in its document), and the documents the segments belong to.
 
@@ -28,8 +28,6 @@ from .bpe import codec, default_pattern
 from .store import table
 
 ROW, LOT_TOKENS = 2048, 4 << 20
-#: Free in the vocabulary.
-PAD_ID = 50256
 
 
 def default_ranks() -> str:
@@ -89,8 +87,11 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> tuple[list[list[in
     return out, len(out)
 
 
-def pack_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: int = ROW, lot_tokens: int = LOT_TOKENS, ranks_path: str | None = None, pattern: str | None = None, pad_id: int = PAD_ID) -> DataFrame:
-    """(part, row, n_tokens, doc_ids, starts, cu_seqlens, ids): one row for each packed row."""
+def pack_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: int = ROW, lot_tokens: int = LOT_TOKENS, ranks_path: str | None = None, pattern: str | None = None, pad_id: int | None = None) -> DataFrame:
+    """(part, row, n_tokens, doc_ids, starts, cu_seqlens, ids): one row for each packed row.
+
+    ``pad_id`` is by default the first id behind the vocabulary, so no token is taken for padding.
+    """
     path, pattern = ranks_path or default_ranks(), pattern or default_pattern()
     source = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
@@ -98,7 +99,8 @@ def pack_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
 
     def run(batches):
         c, part, done = codec(path, pattern), TaskContext.get().partitionId(), 0
-        wide = "<u2" if max(len(c.bytes_of) - 1, pad_id) < 1 << 16 else "<u4"
+        pad = len(c.bytes_of) if pad_id is None else pad_id
+        wide = "<u2" if max(len(c.bytes_of) - 1, pad) < 1 << 16 else "<u4"
         pieces: list[tuple] = []
         held = 0
 
@@ -109,7 +111,7 @@ def pack_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
                 out = []
                 for members in packed[low : low + 512]:
                     own = [pieces[i] for i in members]
-                    ids = np.full(row, pad_id, wide)
+                    ids = np.full(row, pad, wide)
                     ends = np.cumsum([0, *(len(p[2]) for p in own)])
                     ids[: ends[-1]] = np.concatenate([p[2] for p in own])
                     out.append((part, done, int(ends[-1]), [p[0] for p in own], [p[1] for p in own], ends.tolist(), ids.tobytes()))
@@ -135,6 +137,20 @@ def pack_rows(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
     return source.mapInArrow(run, f"part int, row long, n_tokens int, doc_ids array<{id_type}>, starts array<long>, cu_seqlens array<int>, ids binary")
 
 
+def write_rows(packed: DataFrame, path: str) -> None:
+    """Write packed rows as a table of binary id rows, with cumulative lengths and where positions start over.
+
+    In Parquet, by the executors: a reader stacks ``ids`` of equal length to a matrix without parsing.
+    """
+    packed.write.parquet(path)
+
+
+def matrix(ids: list[bytes], row: int = ROW) -> np.ndarray:
+    """The id matrix of some written rows."""
+    wide = "<u2" if ids and len(ids[0]) == 2 * row else "<u4"
+    return np.frombuffer(b"".join(ids), wide).reshape(-1, row)
+
+
 def position_ids(starts: list[int], cu_seqlens: list[int], row: int = ROW) -> np.ndarray:
     """The position of each token of a packed row, reset where a segment starts; 0 in the padding."""
     out = np.zeros(row, np.int64)

@@ -71,6 +71,7 @@ def _model(counts: DataFrame) -> DataFrame:
     orders = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("order")
     ends = counts.select("good", "bad", "gram", orders).select("order", F.expr(f"substring(gram, {ORDER + 1} - order, order + 1)").alias("gram"), "good", "bad")
     levels = store(ends.groupBy("order", "gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("context", F.expr("substring(gram, 1, order)")), "url-levels", "order")
+    discard(counts)
     contexts = levels.where("good + bad > 0").groupBy(F.col("order").alias("of"), F.col("context").alias("seen")).agg(
         *(F.sum(k).alias(f"{k}_all") for k in ("good", "bad")), *(F.count(F.when(F.col(k) > 0, 1)).alias(f"{k}_kinds") for k in ("good", "bad"))
     )
@@ -115,7 +116,6 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
     each = keyed.select("key", *(F.when(trains & (F.col("by_rule") == v), 1).otherwise(0).alias(k) for k, v in (("good", "allow"), ("bad", "block"))), F.explode(_grams(F.col("url"))).alias("gram"))
     counts = store(each.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url-counts")
     ratios = _model(counts)
-    discard(counts)
     of_url = each.select("key", "gram").join(ratios, "gram").groupBy("key").agg(F.avg("ratio").alias("score"))
     scored = store(keyed.join(of_url, "key").select("page_id", "host", "path", "rule", "by_rule", "score", "held_out"), "url-scores")
     discard(keyed)

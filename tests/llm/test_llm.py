@@ -283,6 +283,26 @@ def test_languages(spark):
     assert langid.identify(df.limit(1), langid.train(df.where("lang = 'fr'"))).first().lang_pred == "fr"
 
 
+def test_votes_are_those_of_brute_force():
+    rng = random.Random(19)
+    alphabets = {"en": "thewand", "de": "diernuß", "nl": "hetvand", "fr": "leséuxo", "es": "losañdc", "it": "chelado"}
+    known = [(k, langid.vector(words(rng, 30, a))) for k, a in alphabets.items() for _ in range(12)]
+    model = langid.Identifier(np.stack([v for _, v in known]), [k for k, _ in known])
+    dot = lambda w, v: sum(float(a) * float(b) for a, b in zip(w, [*v, 1.0], strict=True) if b)
+    for _ in range(60):
+        v = langid.vector(words(rng, 6, "".join(alphabets.values())))
+        margins = {f: dot(w, v) for f, w in zip(model.families, model.by_family, strict=True)}
+        family = max(margins, key=margins.get)
+        members = [k for k in sorted(alphabets) if langid.family(k) == family]
+        votes, sums = Counter(), Counter()
+        for a, b in [(a, b) for a in members for b in members if a < b]:
+            m = dot(model.pairs[a, b], v)
+            votes[a if m >= 0 else b] += 1
+            sums[a] += m
+            sums[b] -= m
+        assert model.predict(v)[0] == min(members, key=lambda k: (-votes[k], -sums[k], k))
+
+
 # --- op7 ----------------------------------------------------------------------------------------------------------
 def test_token_rows_hold_every_text(spark):
     rng = random.Random(8)
@@ -292,7 +312,7 @@ def test_token_rows_hold_every_text(spark):
     pieces = defaultdict(dict)
     for r in got:
         ids = np.frombuffer(bytes(r.ids), "<u2")
-        assert len(ids) == 128 and r.cu_seqlens[-1] == r.n_tokens and (ids[r.n_tokens :] == tokenpack.PAD_ID).all()
+        assert len(ids) == 128 and r.cu_seqlens[-1] == r.n_tokens and (ids[r.n_tokens :] == len(c.bytes_of)).all()
         for d, s, a, b in zip(r.doc_ids, r.starts, r.cu_seqlens, r.cu_seqlens[1:], strict=False):
             pieces[d][s] = ids[a:b]
         at = tokenpack.position_ids(r.starts, r.cu_seqlens, 128)
@@ -302,6 +322,18 @@ def test_token_rows_hold_every_text(spark):
         assert (np.concatenate(own).tolist() if own else []) == np.frombuffer(c.encode(t or ""), "<u4").tolist()
 
 
+def test_token_rows_are_written_as_matrices(spark, tmp_path):
+    rng = random.Random(9)
+    texts = [words(rng, rng.randint(1, 80)) for _ in range(40)]
+    path = str(tmp_path / "rows")
+    tokenpack.write_rows(tokenpack.pack_rows(docs(spark, texts), row=64), path)
+    read = spark.read.parquet(path).orderBy("part", "row").collect()
+    m = tokenpack.matrix([bytes(r.ids) for r in read], 64)
+    assert m.shape == (len(read), 64) and m.dtype == np.dtype("<u2")
+    c = bpe.codec(tokenpack.default_ranks(), bpe.default_pattern())
+    assert sum(r.n_tokens for r in read) == (m != len(c.bytes_of)).sum() == sum(len(c.encode(t)) // 4 for t in texts)
+
+
 def test_best_fit_decreasing():
     rng = random.Random(9)
     for _ in range(100):
@@ -416,6 +448,32 @@ def test_every_template_is_found_in_a_long_line():
             text = f"{prose} {notice} {prose}"
             assert [(f[2], f[3], f[6]) for f in licenses.notices(text)] == [(name, no, "exact")], (name, no)
 
+def test_equal_places_go_to_the_first_name(monkeypatch):
+    monkeypatch.setitem(licenses.TEMPLATES, "Zzz", ("Licensed under the MIT License.",))
+    licenses._templates.cache_clear()
+    found = licenses.notices("Licensed under the MIT License.")
+    licenses._templates.cache_clear()
+    assert [f[2] for f in found] == ["MIT"]
+
+
+def test_notices_are_those_of_brute_force():
+    """Every place of every template in a short text, without hits, windows or compression."""
+    rng = random.Random(18)
+    short = [(n, t) for n, ts in licenses.TEMPLATES.items() for t in ts if len(t) < 120]
+    for _ in range(150):
+        parts = [rng.choice([t for _, t in short]) if rng.random() < 0.5 else words(rng, rng.randint(8, 15)) for _ in range(rng.randint(1, 4))]
+        text = rng.choice([" ", "\n", "\n// "]).join(parts)
+        got = licenses.notices(text)
+        low = [w.lower() for w in licenses._WORD.findall(text)]
+        for p in parts:
+            names = {n for n, t in short if t == p}
+            own = [w.lower() for w in licenses._WORD.findall(p)]
+            places = sum(low[i : i + len(own)] == own for i in range(len(low)))
+            if names:
+                assert sum(f[2] in names and f[6] == "exact" for f in got) >= 1 and places >= 1, (p, got)
+        assert len(got) == sum(any(t == p for _, t in short) for p in parts), (parts, got)
+
+
 def test_each_notice_of_a_block_is_reported():
     text = "Licensed under the Apache License, Version 2.0.\nReleased under the MIT License. All rights reserved."
     found = licenses.notices(text)
@@ -513,7 +571,66 @@ def test_rows_are_accepted_by_their_own_text(spark):
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([*enumerate(prose), (1, prose[1]), (None, prose[2])], key=str)
 
 
+# --- edges of all operators ------------------------------------------------------------------------------------
+OPERATORS = {
+    "bpe": (lambda df: bpe.decode(bpe.encode(df), digests=True), "doc_id", 1),
+    "exact": (lsm.assign, "doc_id", 1),
+    "exact dedup": (lsm.deduplicate, "doc_id", 0),
+    "urls": (lambda df: urlmodel.filter_urls(df, id_col="doc_id", url_col="text"), "page_id", 1),
+    "packing": (packing.pack, "doc_id", 0),
+    "personal data": (pii.find, "doc_id", 1),
+    "redaction": (pii.redact, "doc_id", 1),
+    "language": (lambda df: langid.identify(df, langid.train(df)), "doc_id", 1),
+    "token rows": (tokenpack.pack_rows, None, 0),
+    "near": (jaccard.join, "doc_id", 1),
+    "near dedup": (jaccard.deduplicate, "doc_id", 0),
+    "licenses": (licenses.scan, "doc_id", 0),
+    "quality": (perplexity.judge, "doc_id", 1),
+    "quality filter": (perplexity.accept, "doc_id", 0),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_odd_rows_are_taken_by_every_operator(spark, name):
+    """Nulls in every column, empty and very long texts, repeated rows and ids, clashing columns, an empty table."""
+    operator, key, a_row = OPERATORS[name]
+    rng = random.Random(16)
+    long = " ".join(words(rng, 9) for _ in range(4000)) + " Licensed under the MIT License. a@b.cd"
+    texts = [None, "", "   ", "é", "中文", long, "\0", "http://a.org/x", "word " * 30, "x" * 30_000, "a@b.cd " * 50, "Licensed under the MIT License."]
+    table = [(i, t, "en" if i % 2 else "fr", None if i % 3 else "s", None if i % 2 else 1) for i, t in enumerate(texts)]
+    table += [table[5], table[5], table[8], (1, "other text with the same id", None, None, None), (None, long, None, None, None), (None, None, None, None, None)]
+    clash = "kept spans score digest th n sig token row half lang_pred n_words piece sequence_id rule verdict component_id class_id _id ids key size".split()
+    df = spark.createDataFrame([(*r, *[None] * len(clash)) for r in table], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in clash)).repartition(3)
+    if name == "redaction" or name.endswith(("dedup", "filter")):
+        assert operator(df).columns == df.columns
+    got = operator(df).collect()
+    if a_row:
+        assert Counter(r[key] for r in got) == Counter(r[0] for r in table)
+    elif key:
+        assert {r[key] for r in got} <= {r[0] for r in table}
+    assert operator(df.limit(0)).collect() == []
+    lone = operator(df.where("text is null"))
+    assert len(lone.collect()) >= a_row
+
+
 # --- pipeline -----------------------------------------------------------------------------------------------------
+def test_pipeline_takes_odd_rows(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(17)
+    vocabulary = words(rng, 300, "theandorsi").split()
+    prose = [" ".join(rng.choices(vocabulary, k=80)) for _ in range(30)]
+    long = " ".join(rng.choices(vocabulary, k=9000))
+    table = [*enumerate(prose), (0, prose[0]), (3, prose[3]), (3, long), (None, prose[4]), (None, None), (5, ""), (6, None)]
+    df = spark.createDataFrame([(i, t, "en", None, None, "x") for i, t in table], SCHEMA + ", th string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    pieces = Counter((r.doc_id, r.piece) for r in got)
+    assert {d for d, _ in pieces} >= set(range(30)) and all(pieces[i, 0] == 1 for i in range(30) if i != 3) and pieces[3, 0] == 2
+    assert (3, 1) in pieces and None not in {d for d, _ in pieces}
+    df.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+
+
 def test_pipeline_on_a_small_table(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     rng = random.Random(13)
