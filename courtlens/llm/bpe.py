@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .arrow import rows
 
 #: Characters of a chunk without its overlap, and of the overlap. Longer texts than a chunk are cut.
-CHUNK, OVERLAP = 16_384, 512
+CHUNK, OVERLAP = 32_768, 512
 #: Texts with a run of so many letters, digits, signs or spaces are encoded here, with a heap, in n log n steps.
 LONG_RUN = 4_096
 
