@@ -51,7 +51,7 @@ BLOCK = 2048
 SMALL = 12
 FRAGMENTS = 8
 #: Shares of a list's rows, for joins with what is known of the list.
-SALTS = 32
+SALTS = 16
 #: Most cells of a parity bitmap that goes with each row of a long list, and the bits of the table that tells which documents verification reads.
 MOST_CELLS, WANTED = 1024, 1 << 24
 _HASH_BITS = 52
@@ -234,14 +234,15 @@ def _pivots(profiles: DataFrame) -> np.ndarray:
 
 
 def _short_lists(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """From rows (token, sig, n, pos): pairs (a, b) of the short lists, and the rows (token, a, n, pos) of long ones.
+    """From rows (token, sig, n, pos): pairs (a, b) of the short lists, and the rows (token, a, n, pos, block) of long ones.
 
-    Rows come sorted by token and sig. A list that goes on over a batch is carried along until it is long.
+    Rows come sorted by token and sig. A list that goes on over a batch is carried along until it is long; the rows of
+    long lists are numbered off in blocks of BLOCK.
     """
 
     def run(batches):
         carry = None
-        long_token = None
+        long_token, long_rows = None, 0
 
         def of(token, n, pos):
             """Pairs of short lists, as places of rows, and the rows of long lists."""
@@ -256,20 +257,20 @@ def _short_lists(postings: DataFrame, num: int, den: int) -> DataFrame:
                     least = -(-(n[a] + n[b]) * num // (num + den))
                     fits = np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least
                     pairs.append(np.stack([a[fits], b[fits]]))
-            long_ = np.repeat(sizes > SMALL, sizes)
-            return np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64), np.flatnonzero(long_)
+            long_ = np.flatnonzero(np.repeat(sizes > SMALL, sizes))
+            return np.concatenate(pairs, axis=1) if pairs else np.empty((2, 0), np.int64), long_, (long_ - np.repeat(starts, sizes)[long_]) // BLOCK
 
-        def sent(sigs, token, n, pos, pairs, long_):
+        def sent(sigs, token, n, pos, pairs, long_, block):
             if pairs.shape[1]:
                 a, b = sigs.take(pa.array(pairs[0])), sigs.take(pa.array(pairs[1]))
                 k = len(a)
-                yield pa.RecordBatch.from_arrays([a, b, pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64())], ["a", "b", "token", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([a, b, *[pa.nulls(k, pa.int64())] * 4], ["a", "b", "token", "n", "pos", "block"])
             if len(long_):
-                yield pa.RecordBatch.from_arrays([sigs.take(pa.array(long_)), pa.nulls(len(long_), pa.binary()), pa.array(token[long_]), pa.array(n[long_]), pa.array(pos[long_])], ["a", "b", "token", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([sigs.take(pa.array(long_)), pa.nulls(len(long_), pa.binary()), pa.array(token[long_]), pa.array(n[long_]), pa.array(pos[long_]), pa.array(block)], ["a", "b", "token", "n", "pos", "block"])
 
         def settled(batch, last):
             """Pairs and rows of the lists that are whole; the rows of the last list are carried unless it is over."""
-            nonlocal carry, long_token
+            nonlocal carry, long_token, long_rows
             if batch.num_rows:
                 sigs = batch.column("sig").cast(pa.binary(16))
                 token = batch.column("token").to_numpy()
@@ -283,7 +284,8 @@ def _short_lists(postings: DataFrame, num: int, den: int) -> DataFrame:
                 sigs, n, pos = batch.column("sig"), batch.column("n").to_numpy(), batch.column("pos").to_numpy()
                 if long_token is not None:
                     k = int(np.searchsorted(token != long_token, True))
-                    yield from sent(sigs, token, n, pos, np.empty((2, 0), np.int64), np.arange(k))
+                    yield from sent(sigs, token, n, pos, np.empty((2, 0), np.int64), np.arange(k), (long_rows + np.arange(k)) // BLOCK)
+                    long_rows += k
                     batch = batch.slice(k)
                     if not batch.num_rows:  # the next batch may start with the last digest again; the list's reader drops it
                         carry = None
@@ -292,7 +294,7 @@ def _short_lists(postings: DataFrame, num: int, den: int) -> DataFrame:
                     token, sigs, n, pos = token[k:], sigs.slice(k), n[k:], pos[k:]
                 end = len(token) if last else int(np.searchsorted(token == token[-1], True))
                 if not last and len(token) - end > SMALL:
-                    long_token, end = token[-1], len(token)
+                    long_token, long_rows, end = token[-1], len(token) - end, len(token)
                 if end:
                     yield from sent(sigs, token, n, pos, *of(token[:end], n, pos))
                 carry = batch.slice(end)
@@ -306,7 +308,7 @@ def _short_lists(postings: DataFrame, num: int, den: int) -> DataFrame:
             yield from settled(carry, True)
 
     dealt = postings.repartition("token").sortWithinPartitions("token", "sig")
-    return dealt.mapInArrow(run, "a binary, b binary, token long, n long, pos long")
+    return dealt.mapInArrow(run, "a binary, b binary, token long, n long, pos long, block long")
 
 
 class _List:
@@ -499,13 +501,9 @@ def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
     postings = profiles.where("tokens is not null").select("sig", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "sig", "n", F.col("pos").cast("long").alias("pos"))
     lists = store(_short_lists(postings, num, den), "lists")
-    rest = lists.where("b is null").select("token", F.col("a").alias("sig"), "n", "pos")
-    # What is known of a list is joined to shares of it: a very long list is dealt out over several tasks.
-    shares = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    sizes = rest.groupBy("token").agg(F.count("*").alias("size")).select("token", "size", shares)
-    rest = rest.withColumn("salt", F.pmod(F.xxhash64("sig"), F.lit(SALTS)).cast("int")).join(sizes, ["token", "salt"])
+    rest = lists.where("b is null").select("token", F.col("a").alias("sig"), "n", "pos", "block", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int").alias("salt"))
     bits = classes.select("sig", "bits")
-    first = rest.join(bits, "sig").withColumns({"block": F.pmod(F.xxhash64("sig"), F.ceil(F.col("size") / BLOCK)), "part": F.lit(None).cast("binary"), "side": F.lit(None).cast("int")})
+    first = rest.join(bits, "sig").withColumns({"part": F.lit(None).cast("binary"), "side": F.lit(None).cast("int")})
     led = store(_pairs(first, num, den, True), "pairs")
     met = lists.where("b is not null").select("a", "b").unionByName(led.where("token is null").select("a", "b"))
     pairs = store(_narrowed(met, classes, num, den), "pairs")
@@ -513,17 +511,18 @@ def classified(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     found = components(links) if not links.isEmpty() else None
 
     # Long lists in which pairs were left out and that still hold several components: pairs of different components.
-    left_out = led.where("token is not null").select("token").unionByName(rest.where(F.col("size") > BLOCK).select("token")).distinct()
-    labelled = rest.join(left_out.select("token", shares), ["token", "salt"], "left_semi")
+    left_out = led.where("token is not null").select("token").unionByName(rest.where("block > 0").select("token")).distinct()
+    # What is known of a list is joined to shares of it: a very long list is dealt out over several tasks.
+    shares = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    labelled = rest.withColumnRenamed("block", "mine").join(left_out.select("token", shares).hint("merge"), ["token", "salt"], "left_semi")
     if found is not None:
         labelled = labelled.join(found.withColumnRenamed("node", "sig"), "sig", "left").withColumn("part", F.coalesce("component", "sig")).drop("component")
     else:
         labelled = labelled.withColumn("part", F.col("sig"))
-    several = labelled.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
-    open_ = labelled.join(several.select("token", shares), ["token", "salt"], "left_semi").withColumn("blocks", F.ceil(F.col("size") / BLOCK))
-    mine = F.pmod(F.xxhash64("sig"), F.col("blocks"))
+    several = labelled.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high"), (F.max("mine") + 1).alias("blocks")).where("low < high")
+    open_ = labelled.join(several.select("token", "blocks", shares).hint("merge"), ["token", "salt"])
     # Each two blocks of a list meet once; within one block (side 2) all pairs count, between two only crossing ones.
-    again = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("mine", mine)
+    again = open_.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     again = again.withColumn("block", F.least("mine", "other") * F.col("blocks") + F.greatest("mine", "other")).withColumn("side", F.when(F.col("mine") == F.col("other"), 2).otherwise((F.col("mine") < F.col("other")).cast("int")))
     more = store(_narrowed(_pairs(again.join(bits, "sig"), num, den, False).join(pairs, ["a", "b"], "left_anti"), classes, num, den), "pairs")
     for done in (lists, led, pairs):
