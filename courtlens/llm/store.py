@@ -24,14 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named or os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
-def store(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+def store(df: DataFrame, label: str, by: str | None = None, codec: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return it read back: lineage ends here.
 
-    With ``by``, each value of that column has a folder of its own, and a filter on it reads no other.
+    With ``by``, each value of that column has a folder of its own, and a filter on it reads no other. Without ``codec``,
+    the session's compression holds.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/courtlens-{label}-{uuid.uuid4().hex}"
-    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._courtlens_path = path
     return out

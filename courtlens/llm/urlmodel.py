@@ -30,6 +30,8 @@ ORDER = 12
 EDGE = "\0"
 #: So many orders of the model are made in one step.
 STORED = 3
+#: Compression of the tables of n-grams: their strings are much alike.
+CODEC = "zstd"
 #: Symbols that a model without any evidence chooses from: the code points.
 SIZE = 0x110000
 #: One of so many rule-judged urls is kept from the models, for the threshold.
@@ -70,12 +72,13 @@ def _model(counts: DataFrame) -> DataFrame:
     """
     orders = F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("order")
     ends = counts.select("good", "bad", "gram", orders).select("order", F.expr(f"substring(gram, {ORDER + 1} - order, order + 1)").alias("gram"), "good", "bad")
-    levels = store(ends.groupBy("order", "gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).withColumn("context", F.expr("substring(gram, 1, order)")), "url-levels", "order")
+    written = store(ends.groupBy("order", "gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url-levels", "order", CODEC)
     discard(counts)
+    levels = written.withColumn("context", F.expr("substring(gram, 1, order)"))
     contexts = levels.where("good + bad > 0").groupBy(F.col("order").alias("of"), F.col("context").alias("seen")).agg(
         *(F.sum(k).alias(f"{k}_all") for k in ("good", "bad")), *(F.count(F.when(F.col(k) > 0, 1)).alias(f"{k}_kinds") for k in ("good", "bad"))
     )
-    contexts = store(contexts, "url-contexts", "of")
+    contexts = store(contexts, "url-contexts", "of", CODEC)
     out = held = None
     for order in range(ORDER + 1):
         level = levels.where(F.col("order") == order).join(contexts.where(F.col("of") == order), F.col("context") == F.col("seen"), "left")
@@ -89,12 +92,12 @@ def _model(counts: DataFrame) -> DataFrame:
             p.append(F.when(total > 0, (F.col(k) + kinds * F.col(f"p_{k}")) / (total + kinds)).otherwise(F.col(f"p_{k}")).alias(f"p_{k}"))
         out = level.select("gram", *p)
         if order % STORED == 0 and 0 < order < ORDER:  # files of finished orders go
-            out, done = store(out, "url-order"), held
+            out, done = store(out, "url-order", codec=CODEC), held
             if done is not None:
                 discard(done)
             held = out
-    model = store(out.select("gram", (F.log("p_good") - F.log("p_bad")).alias("ratio")), "url-model")
-    for done in (held, levels, contexts):
+    model = store(out.select("gram", (F.log("p_good") - F.log("p_bad")).alias("ratio")), "url-model", codec=CODEC)
+    for done in (held, written, contexts):
         if done is not None:
             discard(done)
     return model
@@ -108,13 +111,13 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
     source = source.withColumns({"rule": rule, "by_rule": by_rule})
     held_out = F.pmod(F.xxhash64("url"), F.lit(HELD_OUT)) == 0
 
-    keyed = store(source.withColumn("key", F.monotonically_increasing_id()).withColumn("held_out", held_out), "url-keyed")
+    keyed = store(source.withColumn("key", F.monotonically_increasing_id()).withColumn("held_out", held_out), "url-keyed", codec=CODEC)
     trains = F.col("by_rule").isNotNull() & ~F.col("held_out")
     trained = keyed.agg(*(F.count(F.when(trains & (F.col("by_rule") == v), 1)).alias(k) for k, v in (("good", "allow"), ("bad", "block")))).first()
     if not (trained["good"] and trained["bad"]):
         return keyed.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("threshold"))
     each = keyed.select("key", *(F.when(trains & (F.col("by_rule") == v), 1).otherwise(0).alias(k) for k, v in (("good", "allow"), ("bad", "block"))), F.explode(_grams(F.col("url"))).alias("gram"))
-    counts = store(each.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url-counts")
+    counts = store(each.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url-counts", codec=CODEC)
     ratios = _model(counts)
     of_url = each.select("key", "gram").join(ratios, "gram").groupBy("key").agg(F.avg("ratio").alias("score"))
     scored = store(keyed.join(of_url, "key").select("page_id", "host", "path", "rule", "by_rule", "score", "held_out"), "url-scores")
