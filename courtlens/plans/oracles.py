@@ -120,3 +120,36 @@ r AS (SELECT segment_id, 0::BIGINT AS a, false AS running, CAST(NULL AS BIGINT)
   FROM (SELECT *, NOT goes AND a < len AND starts AS anew FROM (SELECT r.segment_id, r.a, len, r.running AND coalesce(holds, false) AS goes, coalesce(starts, false) AS starts FROM r JOIN seg USING (segment_id) LEFT JOIN f ON f.segment_id = r.segment_id AND f.a = r.a)) WHERE goes OR a < len)
 SELECT r.segment_id, f0 + found AS frame, x FROM r JOIN seg USING (segment_id) JOIN f ON f.segment_id = r.segment_id AND f.a = found
 UNION ALL SELECT segment_id, -2, NULL FROM r GROUP BY 1 HAVING count(found) = 0"""
+
+
+def split_windows(windows: str, f: float, apart: float) -> str:
+    """CTE ``split``: the smaller of two clusters of a segment's windows, over a CTE ``w``; two-means is the recursion."""
+    return f"""{windows}, v AS (SELECT game_id, list(m ORDER BY idx) AS x, list(g ORDER BY idx) AS y, CAST(count(*) AS INT) AS n FROM w GROUP BY 1 HAVING count(*) >= 2),
+v0 AS (SELECT *, list_transform(range(1, n + 1), lambda k: (x[k] - list_avg(x)) * (x[k] - list_avg(x)) + (y[k] - list_avg(y)) * (y[k] - list_avg(y))) AS d FROM v),
+v1 AS (SELECT *, list_position(d, list_max(d)) AS i FROM v0),
+v2 AS (SELECT *, list_transform(range(1, n + 1), lambda k: (x[k] - x[i]) * (x[k] - x[i]) + (y[k] - y[i]) * (y[k] - y[i])) AS e FROM v1),
+v3 AS (SELECT *, list_position(e, list_max(e)) AS j FROM v2),
+tm AS (SELECT game_id, 0 AS no, x[i] AS ax, y[i] AS ay, x[j] AS bx, y[j] AS by_, CAST([] AS BOOLEAN[]) AS lb, false AS done FROM v3 UNION ALL
+  SELECT game_id, no + 1, nax, nay, nbx, nby, nl, no = 99 OR greatest((ax - nax) * (ax - nax) + (ay - nay) * (ay - nay), (bx - nbx) * (bx - nbx) + (by_ - nby) * (by_ - nby)) <= 0.000001
+  FROM (SELECT *, coalesce(list_avg(list_transform(list_filter(range(1, n + 1), lambda k: NOT nl[k]), lambda k: x[k])), ax) AS nax, coalesce(list_avg(list_transform(list_filter(range(1, n + 1), lambda k: NOT nl[k]), lambda k: y[k])), ay) AS nay,
+      coalesce(list_avg(list_transform(list_filter(range(1, n + 1), lambda k: nl[k]), lambda k: x[k])), bx) AS nbx, coalesce(list_avg(list_transform(list_filter(range(1, n + 1), lambda k: nl[k]), lambda k: y[k])), by_) AS nby
+    FROM (SELECT tm.*, v.x, v.y, v.n, list_transform(range(1, v.n + 1), lambda k: (v.x[k] - bx) * (v.x[k] - bx) + (v.y[k] - by_) * (v.y[k] - by_) < (v.x[k] - ax) * (v.x[k] - ax) + (v.y[k] - ay) * (v.y[k] - ay)) AS nl FROM tm JOIN v USING (game_id) WHERE NOT done))),
+tc AS (SELECT game_id, lb, len(list_filter(lb, lambda l: NOT l)) AS n0, len(list_filter(lb, lambda l: l)) AS n1, sqrt(ax * ax + ay * ay) AS r0, sqrt(bx * bx + by_ * by_) AS r1 FROM tm WHERE done),
+split AS (SELECT game_id AS segment_id, idx, size, s AS start_frame, e AS end_frame FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY idx) AS k FROM w) JOIN tc USING (game_id)
+  WHERE least(n0, n1) > 0 AND least(n0, n1) * {f} < greatest(n0, n1) AND greatest(r0, r1) > 0 AND abs(r0 - r1) / greatest(r0, r1) > {apart} AND lb[k] = (n0 >= n1))"""
+
+
+#: From CTEs ``split`` and ``a`` on: overlapping windows become one, and each has its strongest moment.
+STRONGEST_MOMENTS = """sl AS (SELECT *, coalesce(CASE WHEN lag(end_frame) OVER o <= start_frame THEN 1 ELSE 0 END, 1) AS nw FROM split WINDOW o AS (PARTITION BY segment_id ORDER BY start_frame, end_frame)),
+si AS (SELECT *, sum(nw) OVER (PARTITION BY segment_id ORDER BY start_frame, end_frame) AS island FROM sl),
+sm AS (SELECT segment_id, min(start_frame) AS start_frame, max([start_frame, end_frame])[2] AS end_frame, max(size) AS size FROM si GROUP BY segment_id, island),
+sa AS (SELECT *, unnest(generate_series(start_frame, greatest(start_frame, end_frame - size), 5)) AS at_ FROM sm),
+sg AS (SELECT sa.*, row_number() OVER (PARTITION BY segment_id, start_frame, end_frame, sa.size ORDER BY later.am - here.am DESC, at_) AS no FROM sa JOIN a here ON here.game_id = segment_id AND here.idx = at_ - start_frame JOIN a later ON later.game_id = segment_id AND later.idx = at_ - start_frame + sa.size),
+se AS (SELECT segment_id, CAST(at_ + size // 3 AS BIGINT) AS frame FROM sg WHERE no = 1)
+SELECT segment_id, frame FROM se UNION ALL SELECT DISTINCT game_id, CAST(-1 AS BIGINT) FROM a WHERE game_id NOT IN (SELECT segment_id FROM se)"""
+
+MERGE_CLUSTERS = f"""{_R}, r AS (SELECT game_id, list({{'id': CAST(idx AS VARCHAR), 'n': 1, 'h': [CAST(event_id * 3 % 50 AS DOUBLE), CAST(event_id * 7 % 50 AS DOUBLE), CAST(event_id * 11 % 50 AS DOUBLE)]}} ORDER BY idx) AS held, false AS done FROM samples GROUP BY 1 UNION ALL
+  SELECT game_id, CASE WHEN stops THEN held ELSE list_append(list_transform(list_filter(range(1, len(held) + 1), lambda k: k <> c.i AND k <> c.j), lambda k: held[k]), {{'id': held[c.i].id || '_' || held[c.j].id, 'n': held[c.i].n + held[c.j].n, 'h': list_transform(range(1, 4), lambda k: (held[c.i].h[k] + held[c.j].h[k]) / 2)}}) END, stops
+  FROM (SELECT *, len(held) <= 3 OR c.d >= 1000 AS stops FROM (SELECT game_id, held, list_min(flatten(list_transform(range(1, len(held)), lambda i: list_transform(range(i + 1, len(held) + 1), lambda j: {{'d': sqrt((held[i].h[1] - held[j].h[1]) * (held[i].h[1] - held[j].h[1]) + (held[i].h[2] - held[j].h[2]) * (held[i].h[2] - held[j].h[2]) + (held[i].h[3] - held[j].h[3]) * (held[i].h[3] - held[j].h[3])), 'i': i, 'j': j}})))) AS c FROM r WHERE NOT done))),
+f AS (SELECT game_id, unnest(held) AS c FROM r WHERE done)
+SELECT game_id, c.id AS id, c.n AS members FROM f"""

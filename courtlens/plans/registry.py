@@ -652,7 +652,7 @@ def _(spark, d):
     return cluster.best_of_clusters(_similar(s), s.select("game_id", F.col("idx").alias("image_id"), (F.col("event_id") % 3).cast("int").alias("cluster")))
 
 
-@query("c4_t8_u1_merge_clusters")
+@query("c4_t8_u1_merge_clusters", O.MERGE_CLUSTERS)
 def _(spark, d):
     s = X.samples(spark, d)
     h = s.select("game_id", F.col("idx").alias("candidate"), F.array(*(((F.col("event_id") * k) % 50).cast("double") for k in (3, 7, 11))).alias("histogram"))
@@ -758,15 +758,19 @@ def _(spark, d):
 
 
 # --- 2.10: ball entries -------------------------------------------------------------------------------------------------
-@query("e1_windows", f"""{R}, {X.smoothing(2, 'samples', value='amplitude')}, g AS (SELECT *, CASE WHEN lag(value) OVER o IS NULL AND lead(value) OVER o IS NULL THEN value ELSE abs(coalesce(lag(value) OVER o, value) - coalesce(lead(value) OVER o, value)) END AS g FROM smooth {_O}), st AS (SELECT *, coalesce(abs(g - lag(g) OVER o), g) AS st FROM g {_O}), a AS (SELECT *, sum(value) OVER o AS am, sum(st) OVER o AS ag, count(*) OVER (PARTITION BY game_id) AS n FROM st {_O}),
-w AS (SELECT x.game_id, x.idx, CASE WHEN x.n < 150 THEN 20 ELSE 30 END AS size, x.idx AS s, y.idx AS e, y.am - x.am AS m, y.ag - x.ag AS g FROM a x JOIN a y ON x.game_id = y.game_id AND y.idx = x.idx + (CASE WHEN x.n < 150 THEN 20 ELSE 30 END) WHERE x.idx % ((CASE WHEN x.n < 150 THEN 20 ELSE 30 END) // 2) = 0)
+_WINDOWS = f"""{R}, {X.smoothing(2, 'samples', value='amplitude')}, g AS (SELECT *, CASE WHEN lag(value) OVER o IS NULL AND lead(value) OVER o IS NULL THEN value ELSE abs(coalesce(lag(value) OVER o, value) - coalesce(lead(value) OVER o, value)) END AS g FROM smooth {_O}), st AS (SELECT *, coalesce(abs(g - lag(g) OVER o), g) AS st FROM g {_O}), a AS (SELECT *, sum(value) OVER o AS am, sum(st) OVER o AS ag, count(*) OVER (PARTITION BY game_id) AS n FROM st {_O}),
+w AS (SELECT x.game_id, x.idx, CASE WHEN x.n < 150 THEN 20 ELSE 30 END AS size, x.idx AS s, y.idx AS e, y.am - x.am AS m, y.ag - x.ag AS g FROM a x JOIN a y ON x.game_id = y.game_id AND y.idx = x.idx + (CASE WHEN x.n < 150 THEN 20 ELSE 30 END) WHERE x.idx % ((CASE WHEN x.n < 150 THEN 20 ELSE 30 END) // 2) = 0)"""
+_SPLIT = O.split_windows(_WINDOWS, 1.2, 0.05)
+
+
+@query("e1_windows", f"""{_WINDOWS}
 SELECT game_id AS segment_id, idx, size, s AS start_frame, e AS end_frame, round(m, 5) AS gain_max, round(g, 5) AS gain_grad FROM w QUALIFY count(*) OVER (PARTITION BY game_id) >= 2""")
 def _(spark, d):
     w = ballentry.windows(ballentry.amplitude_features(_amplitudes(spark, d)))
     return w.select("segment_id", "idx", "size", "start_frame", "end_frame", F.round("gain_max", 5).alias("gain_max"), F.round("gain_grad", 5).alias("gain_grad"))
 
 
-@query("e3_e4_split_windows")
+@query("e3_e4_split_windows", f"{_SPLIT} SELECT * FROM split")
 def _(spark, d):
     return ballentry.split_windows(ballentry.windows(ballentry.amplitude_features(_amplitudes(spark, d))), 1.2, 0.05)
 
@@ -777,7 +781,7 @@ def _(spark, d):
     return ballentry.merge_windows(s)
 
 
-@query("lc3_e0_e5_ball_entries")
+@query("lc3_e0_e5_ball_entries", f"{_SPLIT}, {O.STRONGEST_MOMENTS}")
 def _(spark, d):
     series = ballentry.amplitude_features(_amplitudes(spark, d))
     merged = ballentry.merge_windows(ballentry.split_windows(ballentry.windows(series), 1.2, 0.05))
