@@ -9,6 +9,8 @@ from __future__ import annotations
 import itertools
 from collections.abc import Callable, Sequence
 
+import numpy as np
+
 
 def smooth_in_place(x: Sequence[float], w: int = 5) -> list[float]:
     """Mean of the w values before, which are smoothed already, and the value with the w after it.
@@ -335,20 +337,53 @@ def leader_clusters(nodes: Sequence[int], matched: set[tuple[int, int]]) -> dict
 
 
 def merge_clusters(histograms: dict[str, list[float]], until: int = 3, at_most: float = 1000.0) -> list[tuple[str, int]]:
-    """(id, members) after the closest two clusters were merged until few are left; the merged one is their plain mean."""
-    held = [(k, 1, list(map(float, h))) for k, h in histograms.items()]
-    while len(held) > until:
-        best, pair = at_most, None
-        for i in range(len(held)):
-            for j in range(i + 1, len(held)):
-                d = sum((a - b) ** 2 for a, b in zip(held[i][2], held[j][2], strict=True)) ** 0.5
-                if d < best:
-                    best, pair = d, (i, j)
-        if pair is None:
+    """(id, members) after the closest two clusters were merged until few are left; the merged one is their plain mean.
+
+    Each cluster remembers the closest of those behind it; only what was closest to a merged one is sought anew.
+    """
+    names, members = list(histograms), [1] * len(histograms)
+    n = len(names)
+    if n <= max(until, 1):
+        return list(zip(names, members, strict=True))
+    means = np.zeros((2 * n, len(next(iter(histograms.values())))))
+    means[:n] = list(histograms.values())
+    alive = np.zeros(2 * n, bool)
+    alive[:n] = True
+    closest, where = np.full(2 * n, np.inf), np.full(2 * n, -1)
+
+    def distances(one: int, others: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(others))
+        for column in range(means.shape[1]):
+            total += (means[others, column] - means[one, column]) ** 2
+        return np.sqrt(total)
+
+    def seek(i: int) -> None:
+        behind = i + 1 + np.flatnonzero(alive[i + 1 : len(names)])
+        closest[i], where[i] = np.inf, -1
+        if len(behind):
+            d = distances(i, behind)
+            closest[i], where[i] = d.min(), behind[d.argmin()]
+
+    for i in range(n):
+        seek(i)
+    for left in range(n, until, -1):
+        i = int(closest.argmin())
+        if left < 2 or not closest[i] < at_most:
             break
-        (ka, na, ha), (kb, nb, hb) = held[pair[0]], held[pair[1]]
-        held = [h for k, h in enumerate(held) if k not in pair] + [(f"{ka}_{kb}", na + nb, [(a + b) / 2 for a, b in zip(ha, hb, strict=True)])]
-    return [(k, n) for k, n, _ in held]
+        j, new = int(where[i]), len(names)
+        names.append(f"{names[i]}_{names[j]}")
+        members.append(members[i] + members[j])
+        means[new] = (means[i] + means[j]) / 2
+        alive[[i, j]] = False
+        closest[[i, j]] = np.inf
+        for k in np.flatnonzero(alive & np.isin(where, (i, j))):
+            seek(k)
+        others = np.flatnonzero(alive)
+        d = distances(new, others)
+        nearer = d < closest[others]
+        closest[others[nearer]], where[others[nearer]] = d[nearer], new
+        alive[new] = True
+    return [(names[k], members[k]) for k in np.flatnonzero(alive)]
 
 
 def two_means(points: Sequence[tuple[float, float]], rounds: int = 100, eps: float = 0.001) -> tuple[list[int], list[tuple[float, float]]]:

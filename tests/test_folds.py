@@ -62,6 +62,21 @@ def test_clusters():
     assert labels[0] == labels[1] != labels[2] == labels[3]
 
 
+def test_merged_clusters_are_those_of_a_literal_loop():
+    rng = random.Random(3)
+    for n in (0, 1, 3, 4, 9, 25):
+        for most in (4, 1000):
+            h = {str(i): [float(rng.randrange(6)) for _ in range(3)] for i in range(n)}
+            held = [(k, 1, v) for k, v in h.items()]
+            while len(held) > 3:
+                d, i, j = min((sum((a - b) ** 2 for a, b in zip(x[2], y[2])) ** 0.5, i, j) for i, x in enumerate(held) for j, y in enumerate(held) if i < j)
+                if d >= most / 2:
+                    break
+                x, y = held[i], held[j]
+                held = [c for c in held if c not in (x, y)] + [(f"{x[0]}_{y[0]}", x[1] + y[1], [(a + b) / 2 for a, b in zip(x[2], y[2])])]
+            assert folds.merge_clusters(h, 3, most / 2) == [c[:2] for c in held]
+
+
 def test_ball_entries():
     box = [(0, 0, 10, 10)] * 8
     assert folds.ball_entries(list(range(8)), [0, 5, 5, 5, 5, 5, 5, 0], box, 1.0) == [1]
