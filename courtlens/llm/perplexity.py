@@ -463,7 +463,7 @@ def repeated_words(h: np.ndarray) -> int:
 
 
 def _plain(column: pa.Array, texts: list) -> Iterator[tuple[int, int, int, int, int]]:
-    for low, h, bounds in words(column):
+    for low, h, bounds in words(column, lower=False):
         for i in range(len(bounds) - 1):
             text, own = texts[low + i] or "", h[bounds[i] : bounds[i + 1]]
             data = text.encode()

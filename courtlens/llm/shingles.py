@@ -1,8 +1,9 @@
 """Hashes of words and of runs of words, computed over the bytes of whole Arrow batches.
 
-A word is a run of bytes other than blank and \\x09 to \\x0D, with A-Z lower-cased. Its hash is a polynomial over a
-random number for each byte, modulo 2**64, so prefix sums give all words of a batch at once; texts are gone through
-in chunks of bounded size, and a word that a chunk cuts is put together again. No cache of words is kept.
+A word is a run of bytes other than blank and \\x09 to \\x0D, with A-Z lower-cased unless the caller says otherwise. Its
+hash is a polynomial over a random number for each byte, modulo 2**64, so prefix sums give all words of a batch at
+once; texts are gone through in chunks of bounded size, and a word that a chunk cuts is put together again. No cache
+of words is kept.
 """
 
 from __future__ import annotations
@@ -34,7 +35,8 @@ def _powers(of: int) -> np.ndarray:
 class _Tables:
     def __init__(self):
         self.number = mixed((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(_BASE))
-        self.number[65:91] = self.number[97:123]
+        self.lower = self.number.copy()
+        self.lower[65:91] = self.lower[97:123]
         self.word = np.ones(256, bool)
         self.word[[9, 10, 11, 12, 13, 32]] = False
         self.power, self.inverse = (_powers(b) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
@@ -45,7 +47,7 @@ def _tables() -> _Tables:
     return _Tables()
 
 
-def _chunk(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _chunk(data: np.ndarray, firsts: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Where words start and end in at most CHUNK bytes, and their hashes; no word goes on over a place in ``firsts``."""
     t = _tables()
     word = t.word[data]
@@ -57,16 +59,16 @@ def _chunk(data: np.ndarray, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     stop[inner - 1] = word[inner - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(stop) + 1
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(t.number[data] * t.power[: len(data)], out=sums[1:])
+    np.cumsum((t.lower if lower else t.number)[data] * t.power[: len(data)], out=sums[1:])
     return starts, ends, (sums[ends] - sums[starts]) * t.inverse[starts]
 
 
-def _long(data: np.ndarray) -> np.ndarray:
+def _long(data: np.ndarray, lower: bool) -> np.ndarray:
     """Hashes of the words of one text of any length."""
     out, held, size = [], 0, 0  # held, size: hash and bytes of a word that the last chunk cut
     for at in range(0, len(data), CHUNK):
         part = data[at : at + CHUNK]
-        starts, ends, h = _chunk(part, np.empty(0, np.int64))
+        starts, ends, h = _chunk(part, np.empty(0, np.int64), lower)
         if size and (not len(starts) or starts[0] > 0):
             out.append(np.array([held], np.uint64))
             held = size = 0
@@ -84,10 +86,11 @@ def _long(data: np.ndarray) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def words(column: pa.Array, lower: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, word hashes of some rows, where each of the rows starts in them and ends) over all rows of a column.
 
-    Null texts have no words. Rows come together up to CHUNK bytes, longer ones by themselves.
+    Null texts have no words. Rows come together up to CHUNK bytes, longer ones by themselves. Without ``lower``, words
+    that differ in the case of A-Z are different.
     """
     column = column.fill_null("").cast(pa.string())
     if not len(column):
@@ -100,11 +103,11 @@ def words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + CHUNK, side="right")) - 1)
         own = data[offsets[low] : offsets[high]]
         if len(own) > CHUNK:
-            h = _long(own)
+            h = _long(own, lower)
             bounds = np.array([0, len(h)])
         else:
             firsts = offsets[low : high + 1] - offsets[low]
-            starts, _, h = _chunk(own, firsts[:-1]) if len(own) else (np.empty(0, np.int64), None, np.empty(0, np.uint64))
+            starts, _, h = _chunk(own, firsts[:-1], lower) if len(own) else (np.empty(0, np.int64), None, np.empty(0, np.uint64))
             bounds = np.searchsorted(starts, firsts)
         yield low, mixed(h), bounds
         low = high
