@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 
+#: Pixels of a side of the squares by which vectors and cells meet.
+SQUARE = 16
+
 
 def cells(spark: SparkSession, width: int, height: int, kind: str = "overlapping") -> DataFrame:
     """(cell_idx, box), column by column. ``even``: 5 by 5; ``fine``: a quarter of the frame every 7 pixels; ``overlapping``: 8 by 8 of a fifth by a quarter."""
@@ -33,9 +37,13 @@ def neighbours(grid: DataFrame, least_iou: float | None = None) -> DataFrame:
 
 def cell_means(flow: DataFrame, grid: DataFrame) -> DataFrame:
     """Mean magnitude of each cell. ``flow``: segment_id, frame, px, py, magnitude."""
-    g = F.broadcast(grid)
-    inside = (F.col("px") >= F.col("box.x")) & (F.col("px") < F.col("box.x") + F.col("box.w")) & (F.col("py") >= F.col("box.y")) & (F.col("py") < F.col("box.y") + F.col("box.h"))
-    return flow.join(g, inside).groupBy("segment_id", "frame", "cell_idx").agg(F.avg("magnitude").alias("mean"))
+    # A vector meets the cells over its square of the frame, and not all.
+    x, y, w, h = (F.col(f"box.{c}") for c in "xywh")
+    over = lambda low, size: F.explode(F.sequence(F.floor(low / SQUARE), F.floor((low + F.greatest(size, F.lit(0))) / SQUARE)))
+    g = grid.withColumn("_sx", over(x, w)).withColumn("_sy", over(y, h))
+    inside = (F.col("px") >= x) & (F.col("px") < x + w) & (F.col("py") >= y) & (F.col("py") < y + h)
+    square = (F.floor(F.col("px") / SQUARE) == F.col("_sx")) & (F.floor(F.col("py") / SQUARE) == F.col("_sy"))
+    return flow.join(F.broadcast(g), square & inside).groupBy("segment_id", "frame", "cell_idx").agg(F.avg("magnitude").alias("mean"))
 
 
 def active_cells(means: DataFrame) -> DataFrame:
@@ -79,20 +87,27 @@ def radial_points(spark: SparkSession, radius: float = 20.0, rings: int = 3, aro
     return spark.range(1).select(F.lit(0).alias("sample"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy")).unionByName(points)
 
 
-def refine(active: DataFrame, grid: DataFrame, flow: DataFrame, points: DataFrame, width: int, height: int, least: float = 1.5, compat: bool = False) -> DataFrame:
+def refine(active: DataFrame, grid: DataFrame, flow: DataFrame, points: DataFrame, width: int, height: int, least: float = 1.5, compat: bool = False, expand: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """For amplitudes above ``least``: the first point about the cell where the cell, moved there, has the largest mean.
 
     Means are compared to nine places, so that the order of summing decides nothing. Moved cells lie within the frame; where none has a positive mean, the cell stays (sample 0). ``compat`` counts
-    the y of a moved cell from the cell's x.
+    the y of a moved cell from the cell's x. With ``expand``, a row of ``flow`` stands for many vectors: it adds px, py and
+    magnitude where a row has met its cell, so that rows and not vectors are exchanged.
     """
-    base = active.where(F.col("amplitude") > least).join(F.broadcast(grid), "cell_idx")
+    base = active.where(F.col("amplitude") > least).join(F.broadcast(grid), "cell_idx").select("segment_id", "frame", "cell_idx", "box")
+    if expand is None:
+        flow = flow.select("segment_id", "frame", "px", "py", "magnitude")
+    # Never broadcast: flow grows with the frames, and Spark takes an exploded table to be as small as what it is made of.
+    own = base.join(flow.hint("merge"), ["segment_id", "frame"], "left")
+    own = own if expand is None else expand(own)
     x, y = F.col("box.x"), F.col("box.y")
     # 25 fixed points; sample 0 is the cell as it is.
     y0 = F.when(F.col("sample") == 0, y).otherwise(x) if compat else y
-    moved = base.crossJoin(F.broadcast(points)).withColumn("at", S.box(x + F.col("dx"), y0 + F.col("dy"), F.col("box.w"), F.col("box.h")))
-    moved = moved.where(S.inside_frame(F.col("at"), width, height)).drop("box")
-    inside = (F.col("px") >= F.col("at.x")) & (F.col("px") < F.col("at.x") + F.col("at.w")) & (F.col("py") >= F.col("at.y")) & (F.col("py") < F.col("at.y") + F.col("at.h"))
-    means = moved.join(flow.select("segment_id", "frame", "px", "py", "magnitude"), ["segment_id", "frame"]).where(inside).groupBy("segment_id", "frame", "cell_idx", "sample").agg(F.round(F.avg("magnitude"), 9).alias("mean"))
-    best = means.where("mean > 0").groupBy("segment_id", "frame", "cell_idx").agg(F.max(F.struct("mean", -F.col("sample"))).alias("m"))
-    found = base.select("segment_id", "frame", "cell_idx").join(best, ["segment_id", "frame", "cell_idx"], "left")
-    return found.select("segment_id", "frame", "cell_idx", F.coalesce(-F.col("m.col2"), F.lit(0)).cast("int").alias("sample"), F.coalesce("m.mean", F.lit(0.0)).alias("mean"))
+    at = S.box(x + F.col("dx"), y0 + F.col("dy"), F.col("box.w"), F.col("box.h"))
+    inside = (F.col("px") >= at["x"]) & (F.col("px") < at["x"] + at["w"]) & (F.col("py") >= at["y"]) & (F.col("py") < at["y"] + at["h"])
+    # A vector that lies in no moved cell has a null sample, which keeps its cell in the result and out of the choice.
+    moved = own.join(F.broadcast(points), inside & S.inside_frame(at, width, height), "left")
+    means = moved.groupBy("segment_id", "frame", "cell_idx", "sample").agg(F.round(F.avg("magnitude"), 9).alias("mean"))
+    chosen = F.when(F.col("sample").isNotNull() & (F.col("mean") > 0), F.struct("mean", (-F.col("sample")).alias("turned")))
+    best = means.groupBy("segment_id", "frame", "cell_idx").agg(F.max(chosen).alias("m"))
+    return best.select("segment_id", "frame", "cell_idx", F.coalesce(-F.col("m.turned"), F.lit(0)).cast("int").alias("sample"), F.coalesce("m.mean", F.lit(0.0)).alias("mean"))

@@ -715,11 +715,18 @@ def _(spark, d):
     return v.select("segment_id", "frame", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
+def _frames(s):
+    return s.select(F.col("game_id").alias("segment_id"), F.col("idx").alias("frame"), "event_id")
+
+
+def _vectors(frames):
+    """A coarse flow field of one vector every 20 pixels for each frame."""
+    px = frames.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(143)))).withColumns({"px": F.floor(F.col("i") / 9) * 20 + 10, "py": F.col("i") % 9 * 20 + 10})
+    return px.withColumn("magnitude", (F.col("event_id") * 13 + F.col("i") * F.col("i") * 7) % 101 / 10.0).drop("event_id", "i")
+
+
 def _flow(s):
-    """A coarse flow field of one vector every 20 pixels for each sample."""
-    s = s.select(F.col("game_id").alias("segment_id"), F.col("idx").alias("frame"), "event_id")
-    px = s.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(143)))).withColumns({"px": F.floor(F.col("i") / 9) * 20 + 10, "py": F.col("i") % 9 * 20 + 10})
-    return px.select("segment_id", "frame", "px", "py", ((F.col("event_id") * 13 + F.col("i") * F.col("i") * 7) % 101 / 10.0).alias("magnitude"))
+    return _vectors(_frames(s))
 
 
 _FLOW = f"{W}, flow AS (SELECT game_id AS segment_id, idx AS frame, (i // 9) * 20 + 10 AS px, i % 9 * 20 + 10 AS py, ((event_id * 13 + i * i * 7) % 101) / 10.0::DOUBLE AS magnitude FROM samples, (SELECT unnest(range(144)) AS i))"
@@ -742,9 +749,11 @@ SELECT segment_id, frame, act.cell_idx, coalesce(sample, 0) AS sample, round(coa
 
 
 def _refined(spark, d, compat):
-    f, g = _flow(X.samples(spark, d)), grid.cells(spark, 320, 180)
-    means = grid.cell_means(f, g).withColumn("mean", F.round("mean", 9))
-    return rounded(grid.refine(grid.active_cells(means), g, f, grid.radial_points(spark), 320, 180, compat=compat))
+    # Dealt by frame over all partitions: few bytes go in, but each frame comes to thousands of rows.
+    f = _frames(X.samples(spark, d)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "segment_id", "frame")
+    g = grid.cells(spark, 320, 180)
+    means = grid.cell_means(_vectors(f), g).withColumn("mean", F.round("mean", 9))
+    return rounded(grid.refine(grid.active_cells(means), g, f, grid.radial_points(spark), 320, 180, compat=compat, expand=_vectors))
 
 
 @query("e7_refine", _REFINED.format(y0="y"))

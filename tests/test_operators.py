@@ -3,7 +3,9 @@
 import math
 import os
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from courtlens.functions import folds
@@ -109,6 +111,44 @@ def test_queries_without_sql_take_every_sample_of_a_game(spark, tmp_path):
     assert {(r.segment_id, r.frame) for r in QUERIES["e7_refine"](spark, str(tmp_path)).select("segment_id", "frame").collect()} == {(u, i) for u in n for i in range(n[u])}
 
 
+def _events(spark, tmp_path, n):
+    events = [(100 * u + i, i, u, "a", 1.0) for u in n for i in range(n[u])]
+    spark.createDataFrame(events, "event_id long, ts long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def _joins_of_frames(df):
+    """How the plan joins tables that grow with the frames."""
+    return re.findall(r"(\w+Join) \[segment_id", df._jdf.queryExecution().sparkPlan().toString())
+
+
+def test_refinement_broadcasts_no_flow(spark, tmp_path):
+    df = QUERIES["e7_refine"](spark, _events(spark, tmp_path, {1: 30, 2: 7}))
+    assert _joins_of_frames(df) == ["SortMergeJoin"] and df.count() == 37
+
+
+def test_refinement_of_rows_that_stand_for_many_vectors(spark):
+    g, points = grid.cells(spark, 320, 180), grid.radial_points(spark)
+    frames = spark.range(12).select((F.col("id") % 3).alias("segment_id"), F.floor(F.col("id") / 3).alias("frame"), F.col("id").alias("seed"))
+    spread = lambda df: df.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(143)))).select("*", (F.floor(F.col("i") / 9) * 20 + 10).alias("px"), (F.col("i") % 9 * 20 + 10).alias("py"), ((F.col("seed") * 13 + F.col("i") * F.col("i") * 7) % 101 / 10.0).alias("magnitude"))
+    active = frames.select("segment_id", "frame", (F.col("seed") * 5 % 64).cast("int").alias("cell_idx"), F.lit(2.0).alias("amplitude"))
+    nowhere = active.limit(1).withColumn("segment_id", F.lit(9).cast("long"))
+    for compat in (False, True):
+        rows, many = (grid.refine(active.union(nowhere), g, f, points, 320, 180, compat=compat, expand=e).collect() for f, e in ((spread(frames), None), (frames, spread)))
+        assert sorted(rows) == sorted(many) and len(rows) == 13
+        assert [(r.sample, r.mean) for r in rows if r.segment_id == 9] == [(0, 0.0)]
+
+
+def test_vectors_meet_the_cells_that_hold_them(spark):
+    rng = random.Random(8)
+    cells = [(0, 0, 0, 16, 16), (1, 15, 15, 1, 1), (2, -20, -5, 40, 30), (3, 16, 32, 0, 5), (4, 3, 7, 100, 60)]
+    flow = [(1, k % 2, rng.choice([rng.randint(-30, 110), rng.uniform(-30, 110)]) * 1.0, float(rng.choice([15, 16, rng.randint(-10, 70)])), float(k)) for k in range(400)]
+    g = spark.createDataFrame(cells, "cell_idx int, x int, y int, w int, h int").select("cell_idx", F.struct("x", "y", "w", "h").alias("box"))
+    got = {(r.frame, r.cell_idx): r.mean for r in grid.cell_means(spark.createDataFrame(flow, "segment_id int, frame int, px double, py double, magnitude double"), g).collect()}
+    held = {(f, c): [m for _, t, px, py, m in flow if t == f and x <= px < x + w and y <= py < y + h] for f in (0, 1) for c, x, y, w, h in cells}
+    assert got == pytest.approx({k: sum(v) / len(v) for k, v in held.items() if v})
+
+
 def test_radial_points_and_the_frame(spark):
     p = {r.sample: (r.dx, r.dy) for r in grid.radial_points(spark).collect()}
     step = 20 / 3
