@@ -127,6 +127,11 @@ def test_refinement_broadcasts_no_flow(spark, tmp_path):
     assert _joins_of_frames(df) == ["SortMergeJoin"] and df.count() == 37
 
 
+def test_compat_refinement_broadcasts_no_flow(spark, tmp_path):
+    df = QUERIES["e7_refine_compat"](spark, _events(spark, tmp_path, {1: 30, 2: 7}))
+    assert _joins_of_frames(df) == ["SortMergeJoin"] and df.count() == 37
+
+
 def test_refinement_of_rows_that_stand_for_many_vectors(spark):
     g, points = grid.cells(spark, 320, 180), grid.radial_points(spark)
     frames = spark.range(12).select((F.col("id") % 3).alias("segment_id"), F.floor(F.col("id") / 3).alias("frame"), F.col("id").alias("seed"))
