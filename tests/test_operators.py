@@ -132,6 +132,26 @@ def test_compat_refinement_broadcasts_no_flow(spark, tmp_path):
     assert _joins_of_frames(df) == ["SortMergeJoin"] and df.count() == 37
 
 
+def _tables_broadcast(df):
+    """What a table is read for in the broadcasts of a plan that has been run, as first planned and as changed on the way."""
+    lines = [(len(re.match(r"[\s:+-]*", x).group()), x) for x in df._jdf.queryExecution().executedPlan().toString().split("\n")]
+    found, inside = [], None
+    for depth, x in lines:
+        inside = None if inside is not None and depth <= inside else inside
+        if inside is not None and "Scan parquet" in x:
+            found.append(x)
+        inside = depth if inside is None and re.search(r"\bBroadcastExchange\b", x) else inside
+    return found
+
+
+@pytest.mark.parametrize("name", ["e7_refine", "e7_refine_compat"])
+def test_no_broadcast_of_a_refinement_reads_a_table(spark, tmp_path, name):
+    df = QUERIES[name](spark, _events(spark, tmp_path, {1: 30, 2: 7}))
+    assert len(df.collect()) == 37
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "Scan parquet" in plan and _tables_broadcast(df) == []
+
+
 def test_refinement_of_rows_that_stand_for_many_vectors(spark):
     g, points = grid.cells(spark, 320, 180), grid.radial_points(spark)
     frames = spark.range(12).select((F.col("id") % 3).alias("segment_id"), F.floor(F.col("id") / 3).alias("frame"), F.col("id").alias("seed"))
